@@ -16,9 +16,10 @@ from pyspark.sql.window import Window
 
 from .common import staged
 
-#: Pivots (rows of the smallest hashes of their ids: the bounded sample the index is fitted on); of them, how many make
-#: a vector's order; rows of a block and queries of a batch; the share of a block, and the least, that is measured again.
-PIVOTS, ORDER, BLOCK_ROWS, BATCH_ROWS, SHARE, LEAST = 128, 16, 1 << 15, 1 << 12, 0.06, 400
+#: Pivots (different vectors among the SAMPLE rows with the smallest hashes of their ids: the bounded sample the index is
+#: fitted on); of them, how many make a vector's order; rows of a block and queries of a batch; the share of a block, and
+#: the least, that is measured again.
+PIVOTS, SAMPLE, ORDER, BLOCK_ROWS, BATCH_ROWS, SHARE, LEAST = 256, 2048, 96, 1 << 15, 1 << 12, 0.15, 2500
 
 
 def usable(vector: str) -> Column:
@@ -75,8 +76,7 @@ def search_block(index: Inverted, ids: np.ndarray, queries: np.ndarray, query_id
             bound = np.partition(far, k - 1)[k - 1]
             found, far = found[far <= bound], far[far <= bound]
         best = np.lexsort((ids[found], far))[:k]
-        out.append(np.stack([np.full(len(best), q), found[best]]))
-        out[-1] = (out[-1], far[best])
+        out.append((np.stack([np.full(len(best), q), found[best]]), far[best]))
     at = np.concatenate([a for a, _ in out], axis=1) if out else np.empty((2, 0), np.int64)
     return at[0], at[1], np.concatenate([f for _, f in out]) if out else np.empty(0)
 
@@ -96,8 +96,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
     if shapes is None or not shapes.queries:
         return spark.createDataFrame([], f"query_id long, rank int, {id_col} long, score double")
     rows = rows.where(F.size("v") == shapes.n)
-    chosen = rows.orderBy(F.xxhash64("id"), "id", "v").select("v").limit(pivots).collect()  # at most `pivots` rows
-    fixed = spark.sparkContext.broadcast(np.array([r.v for r in chosen]))
+    chosen = rows.orderBy(F.xxhash64("id"), "id", "v").select("v").limit(max(SAMPLE, pivots)).collect()
+    fixed = spark.sparkContext.broadcast(np.array(list(dict.fromkeys(tuple(r.v) for r in chosen))[:pivots]))
     blocks, batches = -(-shapes.rows // block_rows), -(-shapes.queries // batch_rows)
 
     def every(n: int) -> Column:

@@ -5,8 +5,11 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bytebpe import encode_texts
+from .decontam import find_leaks
+from .pivots import nearest
 from .rans import encode_corpus
 from .simhash import simhash_groups
 from .suffixes import suffix_dedup
@@ -31,9 +34,20 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text", BYTE_BPE, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_rans_tokens, op2_simhash_trie, op3_suffix_dedup, op6_byte_bpe)}
+def op8_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_rans_tokens, op2_simhash_trie, op3_suffix_dedup, op4_permutation_index, op6_byte_bpe, op8_cgk_decontamination)
+}
 ORACLES: dict[str, str] = {}
