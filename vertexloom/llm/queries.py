@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytebpe import encode_texts
+from .common import crc32_text
 from .decontam import find_leaks
 from .pivots import nearest
 from .rans import encode_corpus
 from .simhash import simhash_groups
 from .suffixes import suffix_dedup
+from .toxicity import score_texts, train
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -46,8 +48,15 @@ def op8_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_subsequence_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc32_text("doc_id") % 3 == 1
+    model = train(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return score_texts(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_rans_tokens, op2_simhash_trie, op3_suffix_dedup, op4_permutation_index, op6_byte_bpe, op8_cgk_decontamination)
+    for f in (op1_rans_tokens, op2_simhash_trie, op3_suffix_dedup, op4_permutation_index, op6_byte_bpe, op8_cgk_decontamination, op10_subsequence_svm)
 }
 ORACLES: dict[str, str] = {}
