@@ -10,8 +10,10 @@ ids lie.
 from __future__ import annotations
 
 import functools
+import json
 import re
 import struct
+import unicodedata
 import zlib
 
 import numpy as np
@@ -27,7 +29,7 @@ LANES, BLOCK, EVERY = 1024, 1 << 18, 128
 HEAD = struct.Struct("<4sIIIII")  # magic, tokens, lanes, words, steps between checkpoints, the table's crc32
 MAGIC = b"rAN1"
 #: Chunks of text that a worker remembers the ids of.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 
 
 class Table:
@@ -110,47 +112,70 @@ class Table:
         return self.ids[np.concatenate(out)]
 
 
-#: White space of the tokenizer's patterns; texts with other characters than these ranges hold are encoded whole.
-_ODD = re.compile("[^\t-\r -ɏ]")
+#: Where plain letters end; texts with characters beyond, or with control characters that only some count as white space,
+#: are encoded whole.
+PLAIN = 0x250
+_ODD = re.compile(f"[^\t-\r -{chr(PLAIN - 1)}]")
 
 
 class Encoder:
-    """The tokenizers library with a memory of chunks between white space, which tokens never cross: the normaliser lower-
-    cases and composes, and the pre-tokeniser drops white space."""
+    """The tokenizers library with a memory of chunks between white space, which tokens never cross where the pre-tokeniser
+    drops white space. A new chunk's pieces go to the library's model, many at once; each piece's last token has the
+    word-end suffix, which tells the pieces' tokens apart."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
-        self.known: dict[str, np.ndarray] = {}
-        self.chunks = self._by_chunk()
-
-    def _by_chunk(self) -> bool:
-        import json
-
+        self.known: dict[str, bytes] = {}
         spec = json.loads(self.whole.to_str())
         kinds = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
-        split = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
-        return kinds == ["NFC", "Replace", "Lowercase"] and split.get("behavior") == "Removed" and "\\s" in str(split.get("pattern"))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        suffix = spec["model"].get("end_of_word_suffix")
+        pattern = (splits[0].get("pattern") or {}).get("Regex", "")
+        self.chunks = kinds == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in splits] == ["Split", "ByteLevel"] and splits[0].get("invert") and bool(suffix) and "[^\\s\\p{L}\\p{N}]+" in pattern
+        if self.chunks:
+            classes = {k: "".join(re.escape(chr(c)) for c in range(PLAIN) if unicodedata.category(chr(c))[0] == k) for k in "LN"}
+            for k, chars in classes.items():
+                pattern = pattern.replace(f"\\p{{{k}}}", chars)
+            self.split = re.compile(pattern)
+            level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            self.bytes = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(PLAIN)}
+            self.pieces = Tokenizer(self.whole.model)
+            self.pieces.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            size = self.whole.get_vocab_size()
+            self.last = np.array([(self.whole.id_to_token(i) or "").endswith(suffix) for i in range(size)])
+
+    def _fresh(self, chunks: list[str]) -> dict[str, bytes]:
+        cut = [[c] if c.isascii() and c.isalpha() else self.split.findall(c) for c in chunks]
+        ids = np.array(self.pieces.encode_batch_fast([" ".join(p for ps in cut for p in ps).translate(self.bytes | {32: " "})], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        counts = np.cumsum([len(ps) for ps in cut])
+        if len(ends) != counts[-1]:
+            raise ValueError("pieces and word ends differ")
+        bounds = np.concatenate([[0], ends])[np.concatenate([[0], counts])].tolist()
+        raw = ids.tobytes()
+        return {c: raw[4 * i : 4 * j] for c, i, j in zip(chunks, bounds, bounds[1:], strict=False)}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers."""
         out: list = [None] * len(texts)
-        odd = [i for i, t in enumerate(texts) if not self.chunks or _ODD.search(t)]
+        words = {}
+        for i, t in enumerate(texts):
+            if self.chunks and not _ODD.search(t) and not _ODD.search(low := t.lower()):
+                words[i] = low.split()
+        odd = [i for i in range(len(texts)) if i not in words]
         for i, e in zip(odd, self.whole.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False), strict=True):
-            out[i] = np.array(e.ids, np.uint32)
-        words = {i: t.lower().split() for i, t in enumerate(texts) if out[i] is None}
-        known, fresh = self.known, {}
-        new = list(dict.fromkeys(w for ws in words.values() for w in ws if w not in known))
-        for w, e in zip(new, self.whole.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            fresh[w] = e.ids
+            out[i] = np.array(e.ids, "<u4").tobytes()
+        known = self.known
+        found = {i: list(map(known.get, ws)) for i, ws in words.items()}
+        new = list(dict.fromkeys(w for i, got in found.items() if None in got for w, ids in zip(words[i], got, strict=True) if ids is None))
+        fresh = self._fresh(new) if new else {}
+        for i, got in found.items():
+            out[i] = b"".join(got if None not in got else [fresh[w] if ids is None else ids for w, ids in zip(words[i], got, strict=True)])
         if len(known) < REMEMBERED:
             known |= {w: ids for w, ids in fresh.items() if len(w) <= 24}
-        for i, ws in words.items():
-            ids: list[int] = []
-            for w in ws:
-                ids += known[w] if w in known else fresh[w]
-            out[i] = np.array(ids, np.uint32)
         return out
 
 
@@ -166,11 +191,11 @@ def token_rows(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: i
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        e, end = encoder(path), np.array([end_id], np.uint32)
+        e, end = encoder(path), struct.pack("<I", end_id)
         for batch in batches:
             for part in text_slices(batch, "text"):
                 found = e.encode(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([np.concatenate([x, end]).astype("<u4").tobytes() for x in found], pa.binary())], ["id", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([x + end for x in found], pa.binary())], ["id", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, f"id {kind}, ids binary")

@@ -28,7 +28,7 @@ P, SPAN, DECAY = 4, 6, 0.6
 BOUND = 0.7
 #: Training texts at most of each label (those of the smallest hashes), letters of a text's different words read at most
 #: while training, landmarks at most, rounds.
-TEXTS, LETTERS, LANDMARKS, ROUNDS = 2000, 1 << 14, 600, 1
+TEXTS, LETTERS, LANDMARKS, ROUNDS = 2000, 1 << 14, 400, 1
 #: Bits of the table of subsequence weights.
 SLOTS = 22
 _OFFSETS = [(0, *c) for c in combinations(range(1, SPAN), P - 1)]
@@ -138,8 +138,8 @@ def fit(bags: list[tuple[list[str], int]], landmarks: int = LANDMARKS, rounds: i
     every = sorted({w for ws, _ in bags for w in ws if len(w) >= P - 1})
     place = {w: i for i, w in enumerate(every)}
     first = np.zeros(len(every))  # the second of a word's most telling runs of letters
-    for k in range(0, len(every), 50_000):
-        who, key, weight = subsequences(every[k : k + 50_000])
+    for k in range(0, len(every), 4_000):
+        who, key, weight = subsequences(every[k : k + 4_000])
         who, told = who[weight == 1], odds[slots(key[weight == 1])]
         order = np.lexsort((-told, who))
         who, told = who[order], told[order]
@@ -165,22 +165,23 @@ def fit(bags: list[tuple[list[str], int]], landmarks: int = LANDMARKS, rounds: i
         index: dict[int, int] = {}
         for s in slots(subsequences(marks)[1]).tolist():
             index.setdefault(s, len(index))
-        basis = kernel_rows(marks, index).astype(np.float64)
-        values, vectors = np.linalg.eigh(basis @ basis.T)
-        good = values > 1e-6 * values.max()
-        whiten = basis.T @ (vectors[:, good] / np.sqrt(values[good]))  # subsequences to Nyström features
+        basis = kernel_rows(marks, index)
+        values, vectors = np.linalg.eigh((basis @ basis.T).astype(np.float64))
+        good = values > 1e-5 * values.max()
+        root = vectors[:, good] / np.sqrt(values[good])
         chosen = [every[i] for i in positive] + [every[i] for i in negative]
         # Insults with a letter inserted are as bad.
         words = [every[j] for j in positive]
         padded = sorted({w[:k] + x + w[k:] for w in words for k, x in ((2, w[1]), (len(w) // 2, "x"), (len(w) - 1, "q"))} - set(every))
         y = np.array([1] * len(positive) + [0] * len(negative) + [1] * len(padded))
-        rows = kernel_rows(chosen + padded, index) @ whiten
+        words = chosen + padded
+        rows = np.concatenate([kernel_rows(words[k : k + 500], index) @ basis.T for k in range(0, len(words), 500)]) @ root  # Nyström features
         weight = np.where(y == 1, len(y) / (2 * max(1, y.sum())), len(y) / (2 * max(1, (1 - y).sum()))) * 2.0
         w, bias = linear_svm(rows, y, weight)
         table = np.zeros(1 << SLOTS)
-        table[np.array(list(index))] = whiten @ w
+        table[np.array(list(index))] = basis.T @ (root @ w)
         model = Model(table, bias, 1.0, 0.0)
-        value = np.concatenate([model.margins(every[k : k + 50_000]) for k in range(0, len(every), 50_000)])
+        value = np.concatenate([model.margins(every[k : k + 4_000]) for k in range(0, len(every), 4_000)])
     if model is None:
         return Model(np.zeros(1 << SLOTS), 0.0, 1.0, -3.0)
     worst = np.array([value[m].max() if len(m) else model.bias for m, _ in members])
@@ -202,7 +203,7 @@ def calibrate(margins: np.ndarray, truth: np.ndarray) -> tuple[float, float]:
     scale, shift = float(max(w[0], 1e-3)), float(w[1])
     low, high = np.quantile(margins[truth == 0], 0.998), np.quantile(margins[truth == 1], 0.02)
     if low < high:  # the labels part: a score of BOUND lies nearer to the clean ones
-        shift = float(np.log(BOUND / (1 - BOUND)) - scale * (2 * low + high) / 3)
+        shift = float(np.log(BOUND / (1 - BOUND)) - scale * (3 * low + 2 * high) / 5)
     return scale, shift
 
 
@@ -244,7 +245,7 @@ def score_texts(docs: DataFrame, model: Model, text_col: str = "text", threshold
         for batch in batches:
             for part in text_slices(batch, text_col):
                 bags = [chunks_of(t) if t else set() for t in part.column(text_col).to_pylist()]
-                if len(known) > 150_000:
+                if len(known) > 14_000:
                     known.clear()
                 new = sorted({w for b in bags for w in b if w not in known})
                 known |= zip(new, m.margins([letters_of(w) for w in new]).tolist(), strict=True)
