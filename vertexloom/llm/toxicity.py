@@ -210,9 +210,13 @@ def calibrate(margins: np.ndarray, truth: np.ndarray) -> tuple[float, float]:
 def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", texts: int = TEXTS, letters: int = LETTERS) -> Model:
     """Fits on at most `texts` labelled texts of each label, those of the smallest hashes of their ids among the rows
     that `learn` picks; of each at most `letters` letters of different words, the words of the smallest hashes."""
+    spark = docs.sparkSession
     known = labels.where(F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).alias("label"))
-    rows = docs.where(learn & F.col(text_col).isNotNull()).select(id_col, F.col(text_col).alias("text")).join(known, id_col)
-    picked = [rows.where(F.col("label") == y).orderBy(F.xxhash64(F.col(id_col)), id_col, F.xxhash64("text")).limit(texts) for y in (0, 1)]
+    ids = docs.where(learn & F.col(text_col).isNotNull()).select(id_col).distinct().join(known, id_col)
+    chosen = [tuple(r) for y in (0, 1) for r in ids.where(F.col("label") == y).orderBy(F.xxhash64(id_col), id_col).limit(texts).collect()]
+    kind = docs.schema[id_col].dataType.simpleString()
+    few = F.broadcast(spark.createDataFrame(chosen, f"{id_col} {kind}, label int"))  # at most 2 * texts rows
+    picked = docs.where(learn & F.col(text_col).isNotNull()).select(id_col, F.col(text_col).alias("text")).join(few, id_col)
 
     def bag(batches):
         for batch in batches:
@@ -225,10 +229,10 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
                             break
                         held.append(w)
                     found.append(" ".join(held))
-                yield pa.RecordBatch.from_arrays([pa.array(found), part.column("label").cast(pa.int32())], ["words", "label"])
+                yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(found, pa.string()), part.column("label")], [id_col, "words", "label"])
 
-    rows = picked[0].unionByName(picked[1]).select("text", "label").mapInArrow(bag, "words string, label int")
-    return fit([(r.words.split(), r.label) for r in rows.collect()])
+    rows = picked.mapInArrow(bag, f"{id_col} {kind}, words string, label int").groupBy(id_col).agg(F.min("words").alias("words"), F.first("label").alias("label"))
+    return fit([(r.words.split(), r.label) for r in rows.orderBy("label", id_col).collect()])
 
 
 def score_texts(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = BOUND) -> DataFrame:
