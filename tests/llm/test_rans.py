@@ -45,7 +45,7 @@ def test_encoder_equals_the_library():
     texts += ["".join(rng.choice(latin, int(rng.integers(0, 80)))) for _ in range(3000)]
     got = Encoder(PATH).encode(texts)
     want = [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
-    assert [np.frombuffer(g, "<u4").tolist() for g in got] == want
+    assert [np.frombuffer(g, "<u2").tolist() for g in got] == want
 
 
 def test_corpus(spark):

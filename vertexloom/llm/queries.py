@@ -10,13 +10,17 @@ from pyspark.sql import functions as F
 from .bytebpe import encode_texts
 from .common import crc32_text
 from .decontam import find_leaks
+from .langid import identify, learn
+from .licences import scan_licences
 from .pivots import nearest
 from .rans import encode_corpus
 from .simhash import simhash_groups
 from .suffixes import suffix_dedup
 from .toxicity import score_texts, train
+from .wordpiece import count_tokens
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_LEVEL = public_tokenizers.path("byte_bpe_50k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -40,14 +44,29 @@ def op4_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op5_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc32_text("doc_id") % 5 == 0, F.lit(False))
+    found = identify(docs.select("doc_id", "text"), learn(docs, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text", BYTE_BPE, public_tokenizers.PATTERN)
 
 
+def op7_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(table(spark, sf_dir, "documents"))
+
+
 def op8_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_wordpiece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), BYTE_LEVEL)
+
+
 def op10_subsequence_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = crc32_text("doc_id") % 3 == 1
@@ -57,6 +76,6 @@ def op10_subsequence_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_rans_tokens, op2_simhash_trie, op3_suffix_dedup, op4_permutation_index, op6_byte_bpe, op8_cgk_decontamination, op10_subsequence_svm)
+    for f in (op1_rans_tokens, op2_simhash_trie, op3_suffix_dedup, op4_permutation_index, op5_language_filters, op6_byte_bpe, op7_licence_digests, op8_cgk_decontamination, op9_wordpiece_counts, op10_subsequence_svm)
 }
 ORACLES: dict[str, str] = {}

@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 from .common import discard, shuffle_partitions, staged, text_slices
 
 SCALE, LOW = 18, np.uint64(1 << 31)
-LANES, BLOCK, EVERY = 1024, 1 << 18, 128
+LANES, BLOCK, EVERY = 4096, 1 << 20, 128
 HEAD = struct.Struct("<4sIIIII")  # magic, tokens, lanes, words, steps between checkpoints, the table's crc32
 MAGIC = b"rAN1"
 #: Chunks of text that a worker remembers the ids of.
@@ -50,12 +50,14 @@ class Table:
         self.freq = freq.astype(np.uint64)
         self.start = (np.cumsum(freq) - freq).astype(np.uint64)
         self.slot = np.repeat(np.arange(len(freq), dtype=np.uint32), freq)
+        self.place = np.zeros(int(self.ids.max(initial=0)) + 1, np.uint32)
+        self.place[self.ids] = np.arange(len(self.ids))
         self.crc = zlib.crc32(self.ids.tobytes() + self.freq.tobytes())
 
     def encode(self, ids: np.ndarray, lanes: int = LANES, every: int = EVERY) -> bytes:
         n = len(ids)
         lanes = max(1, min(lanes, n // 64))
-        symbols = np.searchsorted(self.ids, ids)
+        symbols = self.place[ids]
         steps = -(-n // lanes)
         x = np.full(lanes, LOW, np.uint64)
         words: list[np.ndarray] = []
@@ -129,6 +131,7 @@ class Encoder:
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.kind = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
         spec = json.loads(self.whole.to_str())
         kinds = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
@@ -141,7 +144,7 @@ class Encoder:
                 pattern = pattern.replace(f"\\p{{{k}}}", chars)
             self.split = re.compile(pattern)
             level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-            self.bytes = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(PLAIN)}
+            self.bytes = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(PLAIN)} | {32: " "}
             self.pieces = Tokenizer(self.whole.model)
             self.pieces.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
             size = self.whole.get_vocab_size()
@@ -149,17 +152,20 @@ class Encoder:
 
     def _fresh(self, chunks: list[str]) -> dict[str, bytes]:
         cut = [[c] if c.isascii() and c.isalpha() else self.split.findall(c) for c in chunks]
-        ids = np.array(self.pieces.encode_batch_fast([" ".join(p for ps in cut for p in ps).translate(self.bytes | {32: " "})], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.flatnonzero(self.last[ids]) + 1
-        counts = np.cumsum([len(ps) for ps in cut])
-        if len(ends) != counts[-1]:
-            raise ValueError("pieces and word ends differ")
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], counts])].tolist()
-        raw = ids.tobytes()
-        return {c: raw[4 * i : 4 * j] for c, i, j in zip(chunks, bounds, bounds[1:], strict=False)}
+        known = self.known
+        new = list({p: None for ps in cut for p in ps if p not in known})
+        found = {}
+        if new:
+            ids = np.array(self.pieces.encode_batch_fast([" ".join(new).translate(self.bytes)], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(new):
+                raise ValueError("pieces and word ends differ")
+            raw, ends = ids.tobytes(), (ends * ids.itemsize).tolist()
+            found = {p: raw[i:j] for p, i, j in zip(new, [0, *ends], ends, strict=False)}
+        return found | {c: b"".join([found[p] if p in found else known[p] for p in ps]) for c, ps in zip(chunks, cut, strict=True) if len(ps) > 1}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
+        """Each text's ids as little-endian unsigned integers, of 16 bits if the vocabulary has room in them."""
         out: list = [None] * len(texts)
         words = {}
         for i, t in enumerate(texts):
@@ -167,7 +173,7 @@ class Encoder:
                 words[i] = low.split()
         odd = [i for i in range(len(texts)) if i not in words]
         for i, e in zip(odd, self.whole.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False), strict=True):
-            out[i] = np.array(e.ids, "<u4").tobytes()
+            out[i] = np.array(e.ids, self.kind).tobytes()
         known = self.known
         found = {i: list(map(known.get, ws)) for i, ws in words.items()}
         new = list(dict.fromkeys(w for i, got in found.items() if None in got for w, ids in zip(words[i], got, strict=True) if ids is None))
@@ -185,13 +191,13 @@ def encoder(path: str) -> Encoder:
 
 
 def token_rows(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int) -> DataFrame:
-    """(id, ids): each text's token ids as little-endian unsigned 32-bit integers, with the end id."""
+    """(id, ids): each text's token ids, as the encoder packs them, with the end id."""
 
     def run(batches):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        e, end = encoder(path), struct.pack("<I", end_id)
+        e, end = encoder(path), np.array([end_id], encoder(path).kind).tobytes()
         for batch in batches:
             for part in text_slices(batch, "text"):
                 found = e.encode(part.column("text").to_pylist())
@@ -201,14 +207,14 @@ def token_rows(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: i
     return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, f"id {kind}, ids binary")
 
 
-def token_counts(tokens: DataFrame) -> dict[int, int]:
+def token_counts(tokens: DataFrame, kind: np.dtype) -> dict[int, int]:
     """How often each id occurs; at most as many rows as the vocabulary has reach the driver."""
 
     def run(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
-                ids = np.frombuffer(b"".join(x or b"" for x in batch.column("ids").slice(k, 512).to_pylist()), "<u4")
+                ids = np.frombuffer(b"".join(x or b"" for x in batch.column("ids").slice(k, 512).to_pylist()), kind)
                 own = np.bincount(ids, minlength=len(total))
                 own[: len(total)] += total
                 total = own
@@ -218,13 +224,12 @@ def token_counts(tokens: DataFrame) -> dict[int, int]:
     return {r[0]: r[1] for r in tokens.select("ids").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n")).collect()}
 
 
-def write_blocks(tokens: DataFrame, table: Table, block: int = BLOCK, label: str = "blocks") -> DataFrame:
+def write_blocks(tokens: DataFrame, table: Table, kind: np.dtype, block: int = BLOCK, label: str = "blocks") -> DataFrame:
     """Writes the documents' ids in ascending id order: shards by ranges of ids, blocks in a shard. The rows (shard,
     block, n_tokens, data, docs): docs has the pieces of documents that the block holds (id, number in the shard,
     ids before it in the shard, ids in all, ids here)."""
     spark = tokens.sparkSession
-    kind = tokens.schema["id"].dataType.simpleString()
-    piece = f"struct<id:{kind},no:bigint,before:bigint,size:bigint,here:bigint>"
+    piece = f"struct<id:{tokens.schema['id'].dataType.simpleString()},no:bigint,before:bigint,size:bigint,here:bigint>"
 
     def run(batches):
         held, pieces, size, shard, number, no, before = [], [], 0, 0, 0, 0, 0
@@ -238,7 +243,7 @@ def write_blocks(tokens: DataFrame, table: Table, block: int = BLOCK, label: str
         for batch in batches:
             id_type = batch.schema.field("id").type
             for key, blob, own in zip(*(batch.column(n).to_pylist() for n in ("id", "ids", "shard")), strict=True):
-                ids, at, shard = np.frombuffer(blob, "<u4"), 0, own
+                ids, at, shard = np.frombuffer(blob, kind), 0, own
                 while at < len(ids):
                     here = min(len(ids) - at, block - size)
                     held.append(ids[at : at + here])
@@ -300,7 +305,8 @@ def encode_corpus(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id
     Null and empty texts have the end id alone. Null ids come first; rows with one id come in the order of their ids'
     bytes. A document may span any number of blocks. Extra columns are ignored; an empty table gives an empty result."""
     tokens = staged(token_rows(docs, id_col, text_col, path, end_id), "tokens")
-    table = Table(token_counts(tokens))
-    blocks = write_blocks(tokens, table, block)
+    kind = encoder(path).kind
+    table = Table(token_counts(tokens, kind))
+    blocks = write_blocks(tokens, table, kind, block)
     discard(tokens)
     return read_documents(blocks, table, keep_ids).withColumnRenamed("id", id_col)
