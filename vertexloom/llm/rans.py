@@ -29,7 +29,7 @@ LANES, BLOCK, EVERY = 4096, 1 << 20, 128
 HEAD = struct.Struct("<4sIIIII")  # magic, tokens, lanes, words, steps between checkpoints, the table's crc32
 MAGIC = b"rAN1"
 #: Chunks of text that a worker remembers the ids of.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 
 
 class Table:
@@ -176,15 +176,27 @@ class Encoder:
             out[i] = np.array(e.ids, self.kind).tobytes()
         known = self.known
         found = {i: list(map(known.get, ws)) for i, ws in words.items()}
-        new = list(dict.fromkeys(w for i, got in found.items() if None in got for w, ids in zip(words[i], got, strict=True) if ids is None))
-        fresh = self._fresh(new) if new else {}
+        gaps = {i: _places(got, None) for i, got in found.items()}
+        fresh = self._fresh(list(dict.fromkeys(words[i][k] for i, at in gaps.items() for k in at)))
         for i, got in found.items():
-            out[i] = b"".join(got if None not in got else [fresh[w] if ids is None else ids for w, ids in zip(words[i], got, strict=True)])
+            for k in gaps[i]:
+                got[k] = fresh[words[i][k]]
+            out[i] = b"".join(got)
         if len(known) < REMEMBERED:
             known |= {w: ids for w, ids in fresh.items() if len(w) <= 24}
         return out
 
 
+def _places(items: list, value) -> list[int]:
+    out, at = [], -1
+    try:
+        while True:
+            at = items.index(value, at + 1)
+            out.append(at)
+    except ValueError:
+        return out
+
+
 @functools.cache
 def encoder(path: str) -> Encoder:
     return Encoder(path)
