@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.graph import Graph, SemanticError
 from ..plans.match import Node, Rel, _edges, bind_nodes, prop
+from ..sources.scratch import fixed
 
 #: Levels that an unbounded expansion goes at most.
 MOST_HOPS = 100
@@ -32,7 +33,7 @@ def expand_paths(graph: Graph, df: DataFrame, here: Node, r: Rel, n: Node, table
         if most > 16 and level.isEmpty():  # long bounds: stop at an empty frontier
             break
         if k % 8 == 0 and k < most:
-            level = level.checkpoint()  # cuts the lineage in the shared folder
+            level = fixed(level)  # cuts the lineage in the shared folder
     out = level.where(F.lit(False)) if out is None else out
     out = out.withColumn(f"{name}__length", F.size(f"{name}__rels"))
     if not r.path:
@@ -57,7 +58,7 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, most: int = MOST_HOPS,
     for k in range(1, most + 1):
         step = level.join(links, F.col("target") == F.col("src")).select("source", F.col("dst").alias("target"), F.concat("path", F.array("dst")).alias("path"))
         step = step.join(found.select("source", "target"), ["source", "target"], "left_anti").groupBy("source", "target").agg(F.min("path").alias("path"))
-        level = step.select("source", "target", F.lit(k).alias("hops"), "path").checkpoint()
+        level = fixed(step.select("source", "target", F.lit(k).alias("hops"), "path"))
         if level.isEmpty():
             break
         found = found.unionByName(level)

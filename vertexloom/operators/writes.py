@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.graph import ConstraintViolation, Graph, Nodes, ReadOnly, Rels, SemanticError
+from ..sources.scratch import fixed
 
 
 @dataclass
@@ -27,15 +28,9 @@ class Stats:
         return Stats(*(a + b for a, b in zip(vars(self).values(), vars(other).values(), strict=True)))
 
 
-def _fixed(df: DataFrame) -> DataFrame:
-    if df.sparkSession.sparkContext.getCheckpointDir() is None:
-        df.sparkSession.sparkContext.setCheckpointDir(df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
-    return df.checkpoint()
-
-
 def _numbered(rows: DataFrame, start: int) -> DataFrame:
     """Adds ids from start on. Rows are counted by partition first, so that no task sees them all."""
-    rows = _fixed(rows.withColumn("_part", F.spark_partition_id()))
+    rows = fixed(rows.withColumn("_part", F.spark_partition_id()))
     own = Window.partitionBy("_part").orderBy(F.monotonically_increasing_id())
     sizes = rows.groupBy("_part").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
     placed = rows.withColumn("_row", F.row_number().over(own)).join(F.broadcast(sizes), "_part")
@@ -67,7 +62,7 @@ def _with_rows(graph: Graph, label: str, rows: DataFrame) -> Graph:
 def create_nodes(graph: Graph, label: str, rows: DataFrame, *more_labels: str) -> tuple[Graph, Stats]:
     """A node for each row, its columns being the properties."""
     old = graph.nodes.get(label)
-    made = _fixed(_numbered(rows.drop("id"), _next_id(old.df if old else None)))
+    made = fixed(_numbered(rows.drop("id"), _next_id(old.df if old else None)))
     if more_labels or (old is not None and "labels" in old.df.columns):
         made = made.withColumn("labels", F.array(*(F.lit(x) for x in (label, *more_labels))))
         if old is not None and "labels" not in old.df.columns:
@@ -80,7 +75,7 @@ def create_rels(graph: Graph, kind: str, src_label: str, dst_label: str, rows: D
     """A relationship for each row (src, dst, properties)."""
     tables = graph.rels.get(kind, [])
     start = max((_next_id(t.df) for t in tables if t.df is not None), default=1)
-    made = _fixed(_numbered(rows.drop("id"), start))
+    made = fixed(_numbered(rows.drop("id"), start))
     out, joined = [], False
     for t in tables:
         if (t.src, t.dst) == (src_label, dst_label) and t.df is not None:
@@ -94,7 +89,7 @@ def create_rels(graph: Graph, kind: str, src_label: str, dst_label: str, rows: D
 def set_property(graph: Graph, label: str, key: str, updates: DataFrame) -> tuple[Graph, Stats]:
     """updates (id, value): of several values for one node the largest stays; null removes the property."""
     own = graph.nodes[label].df
-    new = _fixed(updates.groupBy("id").agg(F.max("value").alias("_new"), F.lit(True).alias("_hit")))
+    new = fixed(updates.groupBy("id").agg(F.max("value").alias("_new"), F.lit(True).alias("_hit")))
     old = F.col(key) if key in own.columns else F.lit(None)
     df = own.join(new, "id", "left").withColumn(key, F.when(F.col("_hit"), F.col("_new")).otherwise(old)).drop("_new", "_hit")
     out = replace(graph, nodes=graph.nodes | {label: replace(graph.nodes[label], df=df)})
@@ -104,7 +99,7 @@ def set_property(graph: Graph, label: str, key: str, updates: DataFrame) -> tupl
 def merge_properties(graph: Graph, label: str, ids: DataFrame, values: dict[str, Any], replace_all: bool = False) -> tuple[Graph, Stats]:
     """SET n += map, or with replace_all SET n = map, for the nodes in ids (id)."""
     own = graph.nodes[label]
-    hit = _fixed(ids.select("id").distinct().withColumn("_hit", F.lit(True)))
+    hit = fixed(ids.select("id").distinct().withColumn("_hit", F.lit(True)))
     df = own.df.join(hit, "id", "left")
     for key in {*values, *(own.properties if replace_all else ())}:
         old = F.col(key) if key in own.df.columns else F.lit(None)
@@ -122,7 +117,7 @@ def remove_property(graph: Graph, label: str, key: str, ids: DataFrame) -> tuple
 def _relabel(graph: Graph, label: str, ids: DataFrame, change) -> Graph:
     own = graph.nodes[label]
     df = own.df if "labels" in own.df.columns else own.df.withColumn("labels", F.array(F.lit(label)))
-    hit = _fixed(ids.select("id").distinct().withColumn("_hit", F.lit(True)))
+    hit = fixed(ids.select("id").distinct().withColumn("_hit", F.lit(True)))
     df = df.join(hit, "id", "left").withColumn("labels", F.when(F.col("_hit"), change(F.col("labels"))).otherwise(F.col("labels"))).drop("_hit")
     return replace(graph, nodes=graph.nodes | {label: replace(own, df=df)})
 
@@ -137,7 +132,7 @@ def remove_label(graph: Graph, label: str, removed: str, ids: DataFrame) -> Grap
 
 def delete_nodes(graph: Graph, label: str, ids: DataFrame, detach: bool = False) -> tuple[Graph, Stats]:
     """Without detach, a node that has relationships is an error."""
-    gone = _fixed(ids.select("id").distinct())
+    gone = fixed(ids.select("id").distinct())
     rels, cut = {}, 0
     for kind, tables in graph.rels.items():
         out = []
@@ -171,7 +166,7 @@ def delete_nodes(graph: Graph, label: str, ids: DataFrame, detach: bool = False)
 
 
 def delete_rels(graph: Graph, kind: str, ids: DataFrame) -> tuple[Graph, Stats]:
-    gone, n, out = _fixed(ids.select("id").distinct()), 0, []
+    gone, n, out = fixed(ids.select("id").distinct()), 0, []
     for t in graph.rels.get(kind, []):
         if t.df is None:
             raise SemanticError(f"{kind} stands for a key; set the key to null")
@@ -184,7 +179,7 @@ def merge_nodes(graph: Graph, label: str, rows: DataFrame, on_create: dict[str,
     """A node for each different row of keys that no node of the label matches; rows of one statement see each other.
     on_create, on_match: expressions over the node's columns. Returns the merged nodes (id, keys) too."""
     keys = rows.columns
-    wanted = _fixed(rows.dropDuplicates())
+    wanted = fixed(rows.dropDuplicates())
     old = graph.nodes.get(label)
     if old is None or any(k not in old.df.columns for k in keys):
         graph, stats = create_nodes(graph, label, wanted.withColumns(on_create or {}))
