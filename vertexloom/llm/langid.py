@@ -97,8 +97,11 @@ def learn(docs: DataFrame, picked: Column, text_col: str = "text", lang_col: str
     """A filter from the rows that `picked` picks with text and language: counts are made in Spark; the driver gets at
     most GRAMS rows of a language."""
     rows = docs.where(picked & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text"))
-    sample = rows.withColumn("place", place).where(F.col("place") <= TEXTS).select("text", "lang")
+    # Texts are chosen by their hashes, so that neither a common language nor copies of a text bring texts to one task.
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
+    chosen = rows.select("lang", "hash").distinct().withColumn("place", place).where(F.col("place") <= TEXTS).select("lang", "hash")
+    sample = rows.join(F.broadcast(chosen), ["lang", "hash"]).groupBy("lang", "hash").agg(F.first("text").alias("text")).select("text", "lang")
 
     def count(batches):
         for batch in batches:
