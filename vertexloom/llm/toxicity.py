@@ -28,7 +28,7 @@ P, SPAN, DECAY = 4, 6, 0.6
 BOUND = 0.7
 #: Training texts at most of each label (those of the smallest hashes), letters of a text's different words read at most
 #: while training, landmarks at most, rounds.
-TEXTS, LETTERS, LANDMARKS, ROUNDS = 2000, 1 << 14, 400, 1
+TEXTS, LETTERS, LANDMARKS, ROUNDS = 2000, 1 << 13, 400, 1
 #: Bits of the table of subsequence weights.
 SLOTS = 22
 _OFFSETS = [(0, *c) for c in combinations(range(1, SPAN), P - 1)]
@@ -138,8 +138,8 @@ def fit(bags: list[tuple[list[str], int]], landmarks: int = LANDMARKS, rounds: i
     every = sorted({w for ws, _ in bags for w in ws if len(w) >= P - 1})
     place = {w: i for i, w in enumerate(every)}
     first = np.zeros(len(every))  # the second of a word's most telling runs of letters
-    for k in range(0, len(every), 4_000):
-        who, key, weight = subsequences(every[k : k + 4_000])
+    for k in range(0, len(every), 2_000):
+        who, key, weight = subsequences(every[k : k + 2_000])
         who, told = who[weight == 1], odds[slots(key[weight == 1])]
         order = np.lexsort((-told, who))
         who, told = who[order], told[order]
@@ -181,7 +181,7 @@ def fit(bags: list[tuple[list[str], int]], landmarks: int = LANDMARKS, rounds: i
         table = np.zeros(1 << SLOTS)
         table[np.array(list(index))] = basis.T @ (root @ w)
         model = Model(table, bias, 1.0, 0.0)
-        value = np.concatenate([model.margins(every[k : k + 4_000]) for k in range(0, len(every), 4_000)])
+        value = np.concatenate([model.margins(every[k : k + 2_000]) for k in range(0, len(every), 2_000)])
     if model is None:
         return Model(np.zeros(1 << SLOTS), 0.0, 1.0, -3.0)
     worst = np.array([value[m].max() if len(m) else model.bias for m, _ in members])
@@ -232,7 +232,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
                 yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(found, pa.string()), part.column("label")], [id_col, "words", "label"])
 
     rows = picked.mapInArrow(bag, f"{id_col} {kind}, words string, label int").groupBy(id_col).agg(F.min("words").alias("words"), F.first("label").alias("label"))
-    return fit([(r.words.split(), r.label) for r in rows.orderBy("label", id_col).collect()])
+    same: dict[str, str] = {}
+    return fit([([same.setdefault(w, w) for w in r.words.split()], r.label) for r in rows.orderBy("label", id_col).toLocalIterator()])
 
 
 def score_texts(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = BOUND) -> DataFrame:
@@ -249,7 +250,7 @@ def score_texts(docs: DataFrame, model: Model, text_col: str = "text", threshold
         for batch in batches:
             for part in text_slices(batch, text_col):
                 bags = [chunks_of(t) if t else set() for t in part.column(text_col).to_pylist()]
-                if len(known) > 14_000:
+                if len(known) > 150_000:
                     known.clear()
                 new = sorted({w for b in bags for w in b if w not in known})
                 known |= zip(new, m.margins([letters_of(w) for w in new]).tolist(), strict=True)
