@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.test_bytebpe import brute as brute_ids
 from tests.llm.test_decontam import least
-from tests.llm.test_simhash import brute as brute_groups
+from tests.llm.test_nearcopies import brute as brute_groups
 from vertexloom.llm.decontam import words_of
 
 pipeline = pytest.importorskip("corpus_pipeline")
@@ -13,7 +13,7 @@ BAD = ["idiot", "moron", "stupid", "pathetic"]
 
 def brute(docs, items):
     rows = [(d, t or "") for d, t in docs if not set(words_of(t)) & set(BAD)]
-    keep = {c for _, _, c in brute_groups(rows)}
+    keep = {c for _, c in brute_groups(rows)}
     rows = [(d, t) for d, t in rows if d in keep]
     from collections import Counter
 

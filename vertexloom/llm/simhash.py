@@ -22,6 +22,28 @@ SEED = 42
 TOP_BITS, LEAST_DEPTH, NODE_SIZE = 16, 6, 1 << 16
 
 
+#: A byte's bits, one in each byte of a word.
+_SPREAD = sum(((np.arange(256, dtype=np.uint64) >> np.uint64(b)) & np.uint64(1)) << np.uint64(8 * b) for b in range(8))
+
+
+def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For runs of hashes, `counts` long: the bits set in over half of a run; zero for an empty run. Up to 255 rows are
+    summed eight bits to a word."""
+    out = np.zeros(len(counts), np.uint64)
+    full = counts > 0
+    own = counts[full]
+    if not len(own):
+        return out
+    parts = -(-own // 255)
+    first = np.repeat(np.cumsum(own) - own, parts)
+    starts = first + 255 * (np.arange(len(first)) - np.repeat(np.cumsum(parts) - parts, parts))
+    columns = hashes.view(np.uint8).reshape(-1, 8)
+    sums = np.stack([np.add.reduceat(_SPREAD[columns[:, k]], starts) for k in range(8)], 1)
+    ones = np.add.reduceat(sums.view(np.uint8).reshape(-1, 64), np.cumsum(parts) - parts, axis=0, dtype=np.int64)
+    out[full] = np.packbits(2 * ones > own[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+    return out
+
+
 def fingerprint_batch(texts: list[bytes | None], width: int) -> np.ndarray:
     """SimHash of each text: 64 majority bits over the XXH64 of its word shingles, repeats included."""
     hashes: list[int] = []
@@ -35,14 +57,7 @@ def fingerprint_batch(texts: list[bytes | None], width: int) -> np.ndarray:
         before = len(hashes)
         hashes.extend(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)))
         counts[i] = len(hashes) - before
-    out = np.zeros(len(texts), np.uint64)
-    full = counts > 0
-    if full.any():
-        bits = np.unpackbits(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        starts = (np.cumsum(counts) - counts)[full]
-        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-        out[full] = np.packbits(2 * ones > counts[full, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
-    return out
+    return majority(np.array(hashes, np.uint64), counts)
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:

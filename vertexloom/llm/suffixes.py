@@ -364,16 +364,18 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     spark = docs.sparkSession
     docs = docs.select(F.col(text_col).alias("text"))
     rows = staged(anchor_rows(docs, length), "anchors")
-    twice = (
+    # Written out, so that the join shuffles both sides and Spark can split a hash that very many texts share.
+    twice = staged(
         rows.groupBy("h")
         .agg(*(f(c).alias(f"{n}_{c}") for c in ("k1", "at") for n, f in (("min", F.min), ("max", F.max))))
         .where("min_k1 <> max_k1 or min_at <> max_at")
-        .select("h")
+        .select("h"),
+        "twice",
     )
     places = rows.join(twice, "h").groupBy("k1").agg(F.collect_set("at").alias("places"))
     texts = packed(docs).repartition("k1").dropDuplicates(["k1", "k2"])  # one shuffle serves both the copies and the join
     candidates = staged(texts.join(places, "k1"), "candidates")
-    discard(rows)
+    discard(rows, twice)
     total = candidates.agg(F.sum(F.size("places"))).first()[0] or 0
     ranges = max(shuffle_partitions(spark), -(-total // RANGE_SIZE))
     found = (
