@@ -25,24 +25,45 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
     "notice-CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
 }
 # Spellings that count as one.
-SPELLINGS = {"licence": "license", "licenced": "licensed", "sublicence": "sublicense", "organisation": "organization", "noninfringement": "non infringement", "merchantability": "merchantability", "favour": "favor", "honour": "honor", "judgement": "judgment", "acknowledgement": "acknowledgment", "whilst": "while", "programme": "program", "analogue": "analog", "copyright owner": "copyright holder", "http": "https"}
-_HEADING = r"^(the )?(mit|isc|0bsd|bsd zero clause|zero clause bsd) license "
+SPELLINGS = {"licence": "license", "licenced": "licensed", "sublicence": "sublicense", "organisation": "organization", "noninfringement": "non infringement", "favour": "favor", "honour": "honor", "judgement": "judgment", "acknowledgement": "acknowledgment", "whilst": "while", "programme": "program", "analogue": "analog", "copyright owner": "copyright holder", "http": "https"}
+_HEADING = "^(the )?(mit|isc|0bsd|bsd zero clause|zero clause bsd) license "
+_COPYRIGHT = "^[ \\t]*(copyright[ \\t:]*(\\(c\\)|\u00a9|<|[0-9]{4})|\\(c\\)[ \\t]|\u00a9)[^\\n]*$"
+_RESERVED = "^[ \\t]*all rights reserved\\.?[ \\t]*$"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def canonical(text: str) -> Column:
     """A text's canonical form: lower case (A-Z), no copyright lines, letters and digits only with single spaces between,
     equivalent spellings as one, no title line of its own."""
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    c = F.translate(F.col(text), upper, lower)
-    c = F.regexp_replace(c, r"(^|\n)[ \t]*(copyright[ \t:]*(\(c\)|©|<|[0-9]{4})|\(c\)[ \t]|©)[^\n]*", "\n")
-    c = F.regexp_replace(c, r"(^|\n)[ \t]*all rights reserved\.?[ \t]*(?=\n|$)", "\n")
-    c = F.concat(F.lit(" "), F.regexp_replace(c, "[^a-z0-9\u0080-\U0010ffff]+", " "), F.lit(" "))
+    c = F.translate(F.col(text), _UPPER, _LOWER)
+    for line in (_COPYRIGHT, _RESERVED):
+        c = F.regexp_replace(c, f"(?md){line}", "")
+    c = F.concat(F.lit(" "), F.regexp_replace(c, "[^a-z0-9\\x{80}-\\x{10ffff}]+", " "), F.lit(" "))
     for a, b in SPELLINGS.items():
-        if a != b:
-            c = F.replace(c, F.lit(f" {a} "), F.lit(f" {b} "))
+        c = F.replace(c, F.lit(f" {a} "), F.lit(f" {b} "))
     return F.regexp_replace(F.trim(c), _HEADING, "")
 
 
+def canonical_sql(text: str) -> str:
+    """The same as SQL."""
+    c = f"translate({text}, '{_UPPER}', '{_LOWER}')"
+    for line in (_COPYRIGHT, _RESERVED):
+        c = f"regexp_replace({c}, '(?m){line}', '', 'g')"
+    c = f"' ' || regexp_replace({c}, '[^a-z0-9\\x{{80}}-\\x{{10ffff}}]+', ' ', 'g') || ' '"
+    for a, b in SPELLINGS.items():
+        c = f"replace({c}, ' {a} ', ' {b} ')"
+    return f"regexp_replace(trim({c}, ' '), '{_HEADING}', '')"
+
+
+def scan_sql() -> str:
+    """scan_licences of `documents` as SQL."""
+    known = " UNION ALL ".join(f"SELECT '{k}' AS licence, '{t.replace(chr(39), chr(39) * 2)}' AS text" for k, t in KNOWN.items())
+    return f"""
+WITH k AS (SELECT sha256({canonical_sql("text")}) AS digest, min(licence) AS licence FROM ({known}) GROUP BY 1),
+d AS (SELECT doc_id, sha256({canonical_sql("text")}) AS digest FROM documents)
+SELECT doc_id, digest, licence FROM d LEFT JOIN k USING (digest)"""
+
+
 def known_licences(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
     """(licence, digest) of known texts."""
     rows = spark.createDataFrame(list((KNOWN if texts is None else texts).items()), "licence string, text string")

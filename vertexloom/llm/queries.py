@@ -11,7 +11,7 @@ from .bytebpe import encode_texts
 from .common import crc32_text
 from .decontam import find_leaks
 from .langid import identify, learn
-from .licences import scan_licences
+from .licences import scan_licences, scan_sql
 from .pivots import nearest
 from .rans import encode_corpus
 from .simhash import simhash_groups
@@ -78,4 +78,16 @@ QUERIES = {
     f.__name__: f
     for f in (op1_rans_tokens, op2_simhash_trie, op3_suffix_dedup, op4_permutation_index, op5_language_filters, op6_byte_bpe, op7_licence_digests, op8_cgk_decontamination, op9_wordpiece_counts, op10_subsequence_svm)
 }
-ORACLES: dict[str, str] = {}
+SUFFIX_SQL = """
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, encode(coalesce(text, '')) AS b FROM documents),
+t AS (SELECT b, min(r) AS k, count(*) AS n FROM d GROUP BY b),
+w AS (SELECT k, i, n, md5(array_slice(b, i + 1, i + 200)) AS h FROM (SELECT k, b, n, unnest(range(octet_length(b) - 199)) AS i FROM t)),
+s AS (SELECT k, i FROM w WHERE n > 1 OR h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+g AS (SELECT k, i, CASE WHEN i <= lag(i) OVER (PARTITION BY k ORDER BY i) + 200 THEN 0 ELSE 1 END AS new FROM s),
+p AS (SELECT k, min(i) AS lo, max(i) + 200 AS hi FROM (SELECT k, i, sum(new) OVER (PARTITION BY k ORDER BY i) AS c FROM g) GROUP BY k, c),
+q AS (SELECT k, lo, hi, coalesce(lag(hi) OVER (PARTITION BY k ORDER BY lo), 0) AS before, lead(lo) OVER (PARTITION BY k ORDER BY lo) IS NULL AS final FROM p),
+c AS (SELECT q.k, sum(hi - lo) AS gone, count(*) AS spans, string_agg(hex(array_slice(b, before + 1, lo)) || CASE WHEN final THEN hex(array_slice(b, hi + 1, octet_length(b))) ELSE '' END, '' ORDER BY lo) AS kept FROM q JOIN t USING (k) GROUP BY q.k)
+SELECT d.doc_id, octet_length(d.b)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(coalesce(unhex(kept), d.b)) AS kept_sha256
+FROM d JOIN t ON d.b = t.b LEFT JOIN c ON c.k = t.k
+"""
+ORACLES = {"op3_suffix_dedup": SUFFIX_SQL, "op7_licence_digests": scan_sql()}
