@@ -142,7 +142,7 @@ def delete_nodes(graph: Graph, label: str, ids: DataFrame, detach: bool = False)
             n = sum(h.count() for h in hit) if hit else 0
             if n and not detach:
                 raise ConstraintViolation(f"nodes of {label} still have {kind} relationships")
-            if n and t.key is None:
+            if n and t.held is None:
                 kept = edges
                 for end, own in (("src", t.src), ("dst", t.dst)):
                     if own == label:
@@ -152,11 +152,12 @@ def delete_nodes(graph: Graph, label: str, ids: DataFrame, detach: bool = False)
                 t = replace(t, df=kept)
             elif n:
                 cut += n
-                if t.dst == label and t.src != label:  # the key goes with its target
-                    own = graph.nodes[t.src]
+                holder, key, other = t.held
+                if other == label and holder != label:  # the key goes with what it refers to
+                    own = graph.nodes[holder]
                     mark = gone.select(F.col("id").alias("_gone"))
-                    df = own.df.join(mark, F.col(t.key) == F.col("_gone"), "left").withColumn(t.key, F.when(F.col("_gone").isNull(), F.col(t.key))).drop("_gone")
-                    graph = replace(graph, nodes=graph.nodes | {t.src: replace(own, df=df)})
+                    df = own.df.join(mark, F.col(key) == F.col("_gone"), "left").withColumn(key, F.when(F.col("_gone").isNull(), F.col(key))).drop("_gone")
+                    graph = replace(graph, nodes=graph.nodes | {holder: replace(own, df=df)})
             out.append(t)
         rels[kind] = out
     own = graph.nodes[label]

@@ -50,8 +50,17 @@ class Rels:
     src: str
     dst: str
     df: DataFrame | None = None
-    #: Of a foreign-key relationship: the column of the source's node table that holds the target's id.
+    #: Of a foreign-key relationship: the column of the source's node table that holds the target's id, or the column of
+    #: the target's that holds the source's.
     key: str | None = None
+    back: str | None = None
+
+    @property
+    def held(self) -> tuple[str, str, str] | None:
+        """(label of the table that holds the key, its column, label it refers to)."""
+        if self.key:
+            return self.src, self.key, self.dst
+        return (self.dst, self.back, self.src) if self.back else None
 
     @property
     def properties(self) -> list[str]:
@@ -88,11 +97,13 @@ class Graph:
         return self.nodes.get(label)
 
     def rel_frame(self, rels: Rels) -> DataFrame:
-        """(id, src, dst, properties); a foreign key's relationship takes its source's id."""
+        """(id, src, dst, properties); a foreign key's relationship takes its holder's id."""
         if rels.df is not None:
             return rels.df
-        own = self.nodes[rels.src].df
-        return own.where(F.col(rels.key).isNotNull()).select("id", F.col("id").alias("src"), F.col(rels.key).alias("dst"))
+        holder, key, _ = rels.held
+        own = self.nodes[holder].df.where(F.col(key).isNotNull())
+        ends = [F.col("id"), F.col(key).cast("long")] if rels.key else [F.col(key).cast("long"), F.col("id")]
+        return own.select("id", ends[0].alias("src"), ends[1].alias("dst"))
 
     def rel_tables(self, types: list[str] | None) -> list[Rels]:
         names = list(self.rels) if not types else [t for t in types if t in self.rels]
@@ -121,7 +132,9 @@ class Graph:
         return F.lit(self.nodes[label].code << LABEL_SHIFT) + local
 
     def labels(self) -> DataFrame:
-        return self.all_nodes().select(F.explode("labels").alias("label")).distinct()
+        """The labels that nodes have; a table of one label is read for a single row."""
+        parts = [n.df.select(F.explode("labels").alias("label")).distinct() if "labels" in n.df.columns else n.df.limit(1).select(F.lit(n.label).alias("label")) for n in self.nodes.values()]
+        return reduce(DataFrame.unionByName, parts).distinct() if parts else self.spark.createDataFrame([], "label string")
 
     def relationship_types(self) -> list[str]:
         return sorted(t for t, tables in self.rels.items() if any(self.rel_frame(r).limit(1).count() for r in tables))

@@ -140,6 +140,9 @@ def match(graph: Graph, *pattern: Node | Rel, into_df: DataFrame | None = None)
     first, rest = pattern[0], pattern[1:]
     bound = into_df
     if bound is None:
+        df = _start(graph, first, *rest[:2]) if rest and not first.fetch and not first.props else None
+        if df is not None:
+            return match(graph, rest[1], *rest[2:], into_df=df) if len(rest) > 2 else df
         df = bind_nodes(graph, first)
     elif f"{first.var}__id" in bound.columns:
         df = bound
@@ -152,6 +155,33 @@ def match(graph: Graph, *pattern: Node | Rel, into_df: DataFrame | None = None)
     return df
 
 
+def _shortcut(tables: list[Rels], r: Rel) -> tuple[Rels, bool] | None:
+    """The foreign key that the pattern follows, and whether from its holder."""
+    if len(tables) != 1 or not tables[0].held or r.props or r.var or r.hops or r.direction == "both":
+        return None
+    return tables[0], bool(tables[0].key) == (r.direction == "out")
+
+
+def _start(graph: Graph, first: Node, r: Rel, n: Node) -> DataFrame | None:
+    """The first hop of a chain whose first node is bound by id only: its relationships tell the id, so its table isn't
+    joined."""
+    if r.hops or n.var == first.var:
+        return None
+    tables = _possible(graph.rel_tables(list(r.types)), r.direction, _tables_of(graph, first), _tables_of(graph, n))
+    if not tables or any("labels" in graph.nodes[x].df.columns for t in tables for x in (t.src, t.dst) if x in graph.nodes):
+        return None
+    short = _shortcut(tables, r)
+    if short:
+        t, ahead = short
+        if ahead:
+            return None
+        holder, key, other = t.held
+        far = bind_nodes(graph, n, [graph.nodes[holder]])
+        return far.where(prop(n.var, key).isNotNull()).withColumns({f"{first.var}__id": prop(n.var, key).cast("long"), f"{first.var}__label": F.lit(other)})
+    edges = _edges(graph, r, tables).withColumnsRenamed({"_near": f"{first.var}__id", "_near_label": f"{first.var}__label"})
+    return _far_end(graph, edges, r, n, tables)
+
+
 def _expand(graph: Graph, df: DataFrame, here: Node, r: Rel, n: Node) -> DataFrame:
     tables = _possible(graph.rel_tables(list(r.types)), r.direction, _tables_of(graph, here), _tables_of(graph, n))
     seen = f"{n.var}__id" in df.columns
@@ -159,17 +189,17 @@ def _expand(graph: Graph, df: DataFrame, here: Node, r: Rel, n: Node) -> DataFra
         from ..operators.paths import expand_paths
 
         return expand_paths(graph, df, here, r, n, tables, seen)
-    if len(tables) == 1 and tables[0].key and not r.props and not r.var and r.direction != "both" and not seen:
-        t = tables[0]
-        if r.direction == "out" and f"{here.var}__{t.key}" in df.columns:
-            key = prop(here.var, t.key)
+    short = None if seen else _shortcut(tables, r)
+    if short:
+        t, ahead = short
+        holder, column, other = t.held
+        if ahead and f"{here.var}__{column}" in df.columns:
+            key = prop(here.var, column).cast("long")
             if not n.fetch and not n.props:
-                return df.where(key.isNotNull()).withColumns({f"{n.var}__id": key, f"{n.var}__label": F.lit(t.dst)})
-            far = bind_nodes(graph, n, [graph.nodes[t.dst]])
-            return df.join(far, key == prop(n.var))
-        if r.direction == "in":
-            far = bind_nodes(graph, n, [graph.nodes[t.src]])
-            return df.join(far, prop(here.var) == prop(n.var, t.key))
+                return df.where(key.isNotNull()).withColumns({f"{n.var}__id": key, f"{n.var}__label": F.lit(other)})
+            return df.join(bind_nodes(graph, n, [graph.nodes[other]]), key == prop(n.var))
+        if not ahead:
+            return df.join(bind_nodes(graph, n, [graph.nodes[holder]]), prop(here.var) == prop(n.var, column))
     edges = _edges(graph, r, tables)
     mixed = len({x for t in tables for x in (t.src, t.dst)}) > 1 and f"{here.var}__label" in df.columns
     on = prop(here.var) == F.col("_near")
@@ -180,7 +210,11 @@ def _expand(graph: Graph, df: DataFrame, here: Node, r: Rel, n: Node) -> DataFra
         if f"{n.var}__label" in df.columns:
             on &= prop(n.var, "label") == F.col("_far_label")
         return df.join(edges, on).drop("_near", "_near_label", "_far", "_far_label")
-    df = df.join(edges, on).drop("_near", "_near_label")
+    return _far_end(graph, df.join(edges, on).drop("_near", "_near_label"), r, n, tables)
+
+
+def _far_end(graph: Graph, df: DataFrame, r: Rel, n: Node, tables: list[Rels]) -> DataFrame:
+    """Binds the far node of a hop."""
     if not n.fetch and not n.props:
         return df.withColumnsRenamed({"_far": f"{n.var}__id", "_far_label": f"{n.var}__label"})
     ends = {t.dst for t in tables if r.direction != "in"} | {t.src for t in tables if r.direction != "out"}
@@ -213,7 +247,7 @@ def having(left: DataFrame, right: DataFrame, negate: bool = False) -> DataFrame
     shared = sorted(c for c in set(left.columns) & set(right.columns) if c.endswith("__id"))
     if not shared:
         raise SemanticError("EXISTS needs a variable that both sides have")
-    return left.join(right.select(*shared).distinct(), shared, "left_anti" if negate else "left_semi")
+    return left.join(right.select(*shared), shared, "left_anti" if negate else "left_semi")
 
 
 def distinct_edges(df: DataFrame, *vars_: str) -> DataFrame:

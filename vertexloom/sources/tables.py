@@ -18,7 +18,7 @@ KEY_RELS = (("IN_REGION", "Nation", "n_regionkey", "Region"), ("IN_NATION", "Cus
 
 
 def star_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """Nodes keep their table's columns besides id. PLACED is orders by customer; HAS_PART and FROM_SUPPLIER are the
+    """Nodes keep their table's columns besides id. PLACED and DID are keys of orders and events; HAS_PART and FROM_SUPPLIER are the
     lines, with their measures; SUPPLIES the different pairs; DID and NEXT come from events."""
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     graph = Graph(spark)
@@ -30,15 +30,15 @@ def star_graph(spark: SparkSession, sf_dir: str) -> Graph:
     graph = graph.add_nodes("User", events.where("user_id is not null").select(F.col("user_id").alias("id"), "user_id").distinct(), 7)
     for kind, src, key, dst in KEY_RELS:
         graph = graph.add_rels(Rels(kind, src, dst, key=key))
-    orders, lines = read("orders"), read("lineitem")
-    graph = graph.add_rels(Rels("PLACED", "Customer", "PurchaseOrder", orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst"))))
+    lines = read("lineitem")
+    graph = graph.add_rels(Rels("PLACED", "Customer", "PurchaseOrder", back="o_custkey"))
     measures = [c for c in lines.columns if c not in ("l_orderkey", "l_partkey", "l_suppkey")]
     rows = lines.select("*", F.col("_metadata.row_index").alias("id"))
     graph = graph.add_rels(Rels("HAS_PART", "PurchaseOrder", "Part", rows.select("id", F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"), *measures)))
     graph = graph.add_rels(Rels("FROM_SUPPLIER", "PurchaseOrder", "Supplier", rows.select("id", F.col("l_orderkey").alias("src"), F.col("l_suppkey").alias("dst"), *measures)))
     pairs = lines.select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
     graph = graph.add_rels(Rels("SUPPLIES", "Supplier", "Part", pairs.select((F.col("src") * (1 << 40) + F.col("dst")).alias("id"), "src", "dst")))
-    graph = graph.add_rels(Rels("DID", "User", "Event", events.select(F.col("event_id").alias("id"), F.col("user_id").alias("src"), F.col("event_id").alias("dst"))))
+    graph = graph.add_rels(Rels("DID", "User", "Event", back="user_id"))
     after = F.lead("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     nexts = events.select(F.col("event_id").alias("id"), F.col("event_id").alias("src"), after.alias("dst")).where("dst is not null")
     return graph.add_rels(Rels("NEXT", "Event", "Event", nexts))
@@ -55,15 +55,15 @@ def save(graph: Graph, path: str) -> None:
         for k, t in enumerate(tables):
             if t.df is not None:
                 t.df.write.parquet(f"{path}/rels/{t.type}-{k}")
-            plan["rels"].append([t.type, t.src, t.dst, t.key, k])
+            plan["rels"].append([t.type, t.src, t.dst, t.key, t.back, k])
     graph.spark.createDataFrame([(json.dumps(plan),)], "plan string").coalesce(1).write.text(f"{path}/plan")
 
 
 def load(spark: SparkSession, path: str) -> Graph:
     plan = json.loads(spark.read.text(f"{path}/plan").first()[0])
     graph = Graph(spark, {label: Nodes(label, spark.read.parquet(f"{path}/nodes/{label}"), code) for label, code in plan["nodes"]})
-    for kind, src, dst, key, k in plan["rels"]:
-        graph = graph.add_rels(Rels(kind, src, dst, None if key else spark.read.parquet(f"{path}/rels/{kind}-{k}"), key))
+    for kind, src, dst, key, back, k in plan["rels"]:
+        graph = graph.add_rels(Rels(kind, src, dst, None if key or back else spark.read.parquet(f"{path}/rels/{kind}-{k}"), key, back))
     pairs = lambda name: frozenset(map(tuple, plan[name]))
     return replace(graph, indexes=pairs("indexes"), unique=pairs("unique"), required=pairs("required"))
 
