@@ -74,7 +74,7 @@ class Model:
     its subsequences, by the norm of their weights."""
 
     def __init__(self, table: np.ndarray, bias: float, scale: float, shift: float):
-        self.table, self.bias, self.scale, self.shift = table.astype(np.float32), bias, scale, shift
+        self.table, self.bias, self.scale, self.shift = table.astype(np.float32, copy=False), bias, scale, shift
 
     def margins(self, words: list[str]) -> np.ndarray:
         if not words:
@@ -100,18 +100,19 @@ def kernel_rows(words: list[str], index: dict[int, int]) -> np.ndarray:
 
 
 def linear_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, float]:
-    """Weights and bias of a linear SVM with squared hinge loss, by Nesterov's accelerated gradient."""
-    x = np.concatenate([x, np.ones((len(x), 1), x.dtype)], 1)
-    sign = np.where(y, 1.0, -1.0)
-    w = v = np.zeros(x.shape[1])
-    size = float(np.linalg.norm((x * np.sqrt(cost)[:, None]).astype(np.float64), 2)) ** 2 if len(x) else 1.0
-    step = 1 / (1 + 2 * size)
+    """Weights and bias of a linear SVM with squared hinge loss, by Nesterov's accelerated gradient; the last column of
+    x is one. In single precision, without copies of x."""
+    sign = np.where(y, 1, -1).astype(np.float32)
+    cost = cost.astype(np.float32)
+    gram = sum((x[k : k + 2_000] * cost[k : k + 2_000, None]).T @ x[k : k + 2_000] for k in range(0, len(x), 2_000))
+    step = np.float32(1 / (1 + 2 * np.linalg.eigvalsh(gram.astype(np.float64))[-1]))
+    w = v = np.zeros(x.shape[1], np.float32)
     for k in range(rounds):
-        slack = np.maximum(0, 1 - sign * (x @ v))
-        new = v - step * (v - 2 * x.T @ (cost * sign * slack))
-        v = new + k / (k + 3) * (new - w)
+        slack = np.maximum(np.float32(0), 1 - sign * (x @ v))
+        new = v - step * (v - 2 * ((cost * sign * slack) @ x))
+        v = new + np.float32(k / (k + 3)) * (new - w)
         w = new
-    return w[:-1], float(w[-1])
+    return w[:-1].astype(np.float64), float(w[-1])
 
 
 def fit(bags: list[tuple[list[str], int]], landmarks: int = LANDMARKS, rounds: int = ROUNDS) -> Model:
@@ -128,13 +129,16 @@ def fit(bags: list[tuple[list[str], int]], landmarks: int = LANDMARKS, rounds: i
     # Texts with a run of letters, by label: what insults with varied endings share shows there.
     share = {}
     for y in (0, 1):
-        total = np.zeros(1 << SLOTS)
+        total = np.zeros(1 << SLOTS, np.float32)
         for ws, z in bags:
             if z == y and ws:
                 _, key, weight = subsequences(ws)
                 total[np.unique(slots(key[weight == 1]))] += 1
-        share[y] = (total + 5) / (n[y] + 10)  # a few texts prove little
-    odds = np.log(share[1] / share[0])
+        total += 5  # a few texts prove little
+        share[y] = np.log(total, out=total)
+    odds = share.pop(1)
+    odds -= share.pop(0)
+    odds += np.float32(np.log((n[0] + 10) / (n[1] + 10)))
     every = sorted({w for ws, _ in bags for w in ws if len(w) >= P - 1})
     place = {w: i for i, w in enumerate(every)}
     first = np.zeros(len(every))  # the second of a word's most telling runs of letters
@@ -175,10 +179,12 @@ def fit(bags: list[tuple[list[str], int]], landmarks: int = LANDMARKS, rounds: i
         padded = sorted({w[:k] + x + w[k:] for w in words for k, x in ((2, w[1]), (len(w) // 2, "x"), (len(w) - 1, "q"))} - set(every))
         y = np.array([1] * len(positive) + [0] * len(negative) + [1] * len(padded))
         words = chosen + padded
-        rows = np.concatenate([kernel_rows(words[k : k + 500], index) @ basis.T for k in range(0, len(words), 500)]) @ root  # Nyström features
+        rows = np.ones((len(words), root.shape[1] + 1), np.float32)
+        for k in range(0, len(words), 200):  # Nyström features
+            rows[k : k + 200, :-1] = (kernel_rows(words[k : k + 200], index) @ basis.T) @ root
         weight = np.where(y == 1, len(y) / (2 * max(1, y.sum())), len(y) / (2 * max(1, (1 - y).sum()))) * 2.0
         w, bias = linear_svm(rows, y, weight)
-        table = np.zeros(1 << SLOTS)
+        table = np.zeros(1 << SLOTS, np.float32)
         table[np.array(list(index))] = basis.T @ (root @ w)
         model = Model(table, bias, 1.0, 0.0)
         value = np.concatenate([model.margins(every[k : k + 2_000]) for k in range(0, len(every), 2_000)])
