@@ -2,6 +2,7 @@
 
 import datetime
 import math
+import os
 from pathlib import Path
 
 import duckdb
@@ -9,7 +10,7 @@ import pytest
 
 from vertexloom.plans.queries import QUERIES, SQL
 
-DATA = "/root/testdata/sf0.001"
+DATA = os.environ.get("ORACLE_DIR", "/root/testdata/sf0.001")
 
 
 def _plain(v):
