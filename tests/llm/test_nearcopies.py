@@ -47,6 +47,30 @@ def test_rows_equal_all_pairs(monkeypatch):
         assert all(len(set(got[root == r])) == 1 for r in np.unique(root)) and len(set(got)) == len(set(root))
 
 
+def test_hot_fingerprint_loses_no_links():
+    """Chains of rows 40 bits apart, in random order: an end is beyond APART from what is two links on."""
+    rng = np.random.default_rng(5)
+    chains, length = 60, 20
+    shape = np.empty((chains, length, 384), bool)
+    shape[:, 0] = rng.random((chains, 384)) < 0.5
+    for k in range(1, length):
+        shape[:, k] = shape[:, k - 1]
+        for c in range(chains):
+            shape[c, k, rng.choice(384, 40, replace=False)] ^= True
+    packed = np.packbits(shape.reshape(-1, 384), axis=1).view(np.uint64)
+    order = rng.permutation(len(packed))
+    assert len(order) ** 2 > 1 << 20
+    packed = np.ascontiguousarray(packed[order])
+    near = np.bitwise_count(packed[:, None] ^ packed[None]).sum(2) <= APART
+    root = np.arange(len(packed))
+    for _ in range(length):
+        root = np.where(near, root[None], len(root)).min(1)
+    for second in (0, 1):  # one fingerprint, then two of half the rows each
+        fp = np.uint64(second) * (np.arange(len(packed)) % 2).astype(np.uint64)
+        got = near_rows(fp, packed)
+        assert all(len(set(got[root == r])) == 1 for r in np.unique(root)) and len(set(got)) == len(set(root))
+
+
 def test_near_copies_are_found_and_others_left(spark):
     rng = np.random.default_rng(1)
     vocab = [f"w{i}" for i in range(4000)] + ["the", "of", "and"] * 300

@@ -24,7 +24,7 @@ WIDTH = 5
 #: bits of a shingle fingerprint at most: the mean at a similarity of 0.8 is 58 of 384. Measured on near copies: of pairs
 #: of similarity 0.85 and more over 0.999 are linked, from 0.8 on 0.95, from 0.6 to 0.7 0.03.
 TRIES, SHAPES, LEVELS, BUDGET, APART = 12, 6, 8, 5, 64
-#: Rows with one fingerprint, times those with another, that are compared each with each; beyond, through leaders.
+#: Rows with one fingerprint, times those with another, that are compared in one array; beyond, row by row.
 PAIRS = 1 << 20
 _ODD = np.random.Generator(np.random.PCG64(21)).integers(0, 2**63, (TRIES + SHAPES, 2), np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -63,18 +63,17 @@ def near_rows(fp: np.ndarray, shape: np.ndarray, budget: int = BUDGET, apart: in
     def close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.bitwise_count(shape[a] ^ shape[b]).sum(1, dtype=np.int32) <= apart
 
-    leaders: dict[int, np.ndarray] = {}
-
-    def leaders_of(v: int) -> np.ndarray:
-        if v not in leaders:
-            rest, own = np.arange(first[v], first[v] + count[v]), []
-            while len(rest):
-                own.append(rest[0])
-                hit = close(np.full(len(rest), rest[0]), rest)
-                groups.link(np.full(int(hit.sum()), rest[0]), rest[hit])
+    def reach(rows: np.ndarray) -> None:
+        """Links what all pairs of rows would: each row, once reached, is compared with every row not yet reached."""
+        rest = rows
+        while len(rest):
+            open_, rest = [rest[0]], rest[1:]
+            while open_ and len(rest):
+                row = open_.pop()
+                hit = close(np.full(1, row), rest)
+                groups.link(np.full(int(hit.sum()), row), rest[hit])
+                open_.extend(rest[hit].tolist())
                 rest = rest[~hit]
-            leaders[v] = np.array(own)
-        return leaders[v]
 
     def compare(a: np.ndarray, b: np.ndarray) -> None:
         x, y = np.repeat(a, len(b)), np.tile(b, len(a))
@@ -82,10 +81,11 @@ def near_rows(fp: np.ndarray, shape: np.ndarray, budget: int = BUDGET, apart: in
         groups.link(x[hit], y[hit])
 
     def meet(v: int, w: int) -> None:
-        if count[v] * count[w] <= PAIRS:
-            compare(np.arange(first[v], first[v] + count[v]), np.arange(first[w], first[w] + count[w]))
+        a, b = np.arange(first[v], first[v] + count[v]), np.arange(first[w], first[w] + count[w])
+        if len(a) * len(b) <= PAIRS:
+            compare(a, b)
         else:
-            compare(leaders_of(v), leaders_of(w))
+            reach(a if v == w else np.concatenate([a, b]))
 
     for v in np.flatnonzero(count > 1):
         meet(int(v), int(v))
@@ -106,8 +106,7 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Texts with the same fingerprints throughout are one. Null and wordless texts are alike. Repeated rows and ids stay;
     null ids are never a component_id unless a group has no other; extra columns are ignored; an empty table gives an
-    empty result. Rows go to a task by trie and first levels; fingerprints that very many rows share there are compared
-    through leaders, rows that stand for all within the bound of them."""
+    empty result. Rows go to a task by trie and first levels."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
