@@ -195,6 +195,24 @@ def test_reasoning(spark):
     assert reasoning.masked(tensors, "s_sign").first()["o_mant"] == 0.0
 
 
+def test_whole_tables_are_reasoned_over(spark):
+    """As many rows as all relationships and all customers give, not those of some keys."""
+    from collections import Counter
+    from itertools import combinations
+
+    from vertexloom.plans.queries import QUERIES
+
+    read = lambda name: spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+    pairs = {(r.l_suppkey, r.l_partkey) for r in read("lineitem").collect()}
+    for name, end in (("nars_abduction_all", 1), ("nars_induction_all", 0)):
+        assert QUERIES[name](spark, "/root/testdata/sf0.001").count() == sum(n * (n - 1) for n in Counter(p[end] for p in pairs).values())
+    bought = {}
+    for r in read("orders").join(read("lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).collect():
+        bought.setdefault(r.o_custkey, set()).add(r.l_partkey)
+    want = {(a, b, round(len(bought[a] & bought[b]) / len(bought[a] | bought[b]), 9)) for a, b in combinations(sorted(bought), 2) if bought[a] & bought[b]}
+    assert {tuple(r) for r in QUERIES["jaccard_similarity_all"](spark, "/root/testdata/sf0.001").collect()} == want and len(want) > 1000
+
+
 def test_algorithms_and_procedures(spark, people):
     edges = spark.createDataFrame([(k, k + 1) for k in range(30)] + [(50, 51)], "src long, dst long")
     assert {r.id: r.component for r in algorithms.components(edges).collect()} == {k: 0 for k in range(31)} | {50: 50, 51: 50}

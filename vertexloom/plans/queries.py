@@ -440,6 +440,24 @@ def nars_induction(g: Graph) -> DataFrame:
     return reasoning.induction(_opinions(g)).withColumns({"frequency": F.round("frequency", 9), "confidence": F.round("confidence", 9)})
 
 
+_TRUTHS = "t AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem), u AS (SELECT src * 1099511627776 + dst AS id, src, dst, (src % 10) / 10.0::DOUBLE AS f, (dst % 9) / 10.0::DOUBLE AS c FROM t)"
+
+
+def _all_opinions(g: Graph) -> DataFrame:
+    """All SUPPLIES relationships with truth values made from their keys."""
+    return g.rel_frame(g.rels["SUPPLIES"][0]).select("id", "src", "dst", ((F.col("src") % 10) / 10.0).alias("frequency"), ((F.col("dst") % 9) / 10.0).alias("confidence"))
+
+
+@query(f"WITH {_TRUTHS} SELECT a.src AS src, a.dst AS via, b.src AS dst, round(a.f, 9) AS frequency, round(a.c * b.c * b.f, 9) AS confidence FROM u a JOIN u b ON a.dst = b.dst AND a.id <> b.id")
+def nars_abduction_all(g: Graph) -> DataFrame:
+    return reasoning.abduction(_all_opinions(g)).withColumns({"frequency": F.round("frequency", 9), "confidence": F.round("confidence", 9)})
+
+
+@query(f"WITH {_TRUTHS} SELECT a.dst AS src, a.src AS via, b.dst AS dst, round(b.f, 9) AS frequency, round(a.c * b.c * a.f, 9) AS confidence FROM u a JOIN u b ON a.src = b.src AND a.id <> b.id")
+def nars_induction_all(g: Graph) -> DataFrame:
+    return reasoning.induction(_all_opinions(g)).withColumns({"frequency": F.round("frequency", 9), "confidence": F.round("confidence", 9)})
+
+
 _NINE = ", ".join(f"((vec_id * {k + 3}) % 11) / 10.0::DOUBLE AS {d}" for k, d in enumerate(reasoning.DIMENSIONS))
 _MEAN = "(" + " + ".join(reasoning.DIMENSIONS) + ") / 9.0::DOUBLE"
 
@@ -539,6 +557,13 @@ def jaccard_similarity(g: Graph) -> DataFrame:
     return algorithms.jaccard(bought, pairs).where("similarity > 0").withColumn("similarity", F.round("similarity", 9))
 
 
+@query("WITH e AS (SELECT DISTINCT o_custkey AS a, l_partkey AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey), n AS (SELECT a, count(*) AS n FROM e GROUP BY 1), m AS (SELECT x.a AS a, y.a AS b, count(*) AS m FROM e x JOIN e y ON x.b = y.b AND x.a < y.a GROUP BY 1, 2) SELECT m.a AS a, m.b AS b, round(m / (p.n + q.n - m)::DOUBLE, 9) AS similarity FROM m JOIN n p ON p.a = m.a JOIN n q ON q.a = m.b")
+def jaccard_similarity_all(g: Graph) -> DataFrame:
+    """All pairs of customers that bought a part in common."""
+    bought = match(g, node("c", "Customer", fetch=False), out("PLACED"), node("o", "PurchaseOrder", fetch=False), out("HAS_PART"), node("p", "Part", fetch=False)).select(prop("c").alias("src"), prop("p").alias("dst"))
+    return algorithms.jaccard_all(bought).withColumn("similarity", F.round("similarity", 9))
+
+
 @query(None)
 def export_dump(g: Graph) -> DataFrame:
     small = Graph(g.spark, {k: g.nodes[k] for k in ("Region", "Nation", "Supplier")}, {"IN_REGION": g.rels["IN_REGION"], "IN_NATION": [t for t in g.rels["IN_NATION"] if t.src == "Supplier"]})
