@@ -195,6 +195,23 @@ def test_reasoning(spark):
     assert reasoning.masked(tensors, "s_sign").first()["o_mant"] == 0.0
 
 
+def test_every_query_vector_is_asked(spark):
+    from vertexloom.plans.queries import QUERIES
+
+    table = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    asked = {r.vec_id for r in table.collect() if r.vec_id % 50 == 0}
+    book = vectors.Codebook.fit(table, "embedding")
+    coded = {r.vec_id: r.n for r in table.select("vec_id", book.encode(F.col("embedding")).alias("n")).collect()}
+    want = set()
+    for q in asked:
+        each = sorted((sum(abs(x - y) for x, y in zip(coded[q], n, strict=True)), i) for i, n in coded.items())
+        want |= {(q, i, d) for d, i in each[:10]}
+    assert {(r.query, r.id, r.distance) for r in QUERIES["nib4_knn"](spark, "/root/testdata/sf0.001").collect()} == want and len(asked) == 10
+    near = QUERIES["bf16_distance"](spark, "/root/testdata/sf0.001").collect()
+    assert {(r.query, r.id) for r in near} == {(q, i) for q in asked for i in coded} and len(near) == len(asked) * len(coded)
+    assert all(r.score == 0 for r in near if r.query == r.id)
+
+
 def test_whole_tables_are_reasoned_over(spark):
     """As many rows as all relationships and all customers give, not those of some keys."""
     from collections import Counter

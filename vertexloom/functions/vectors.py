@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 # The weights of a differing sign and of an exponent step, the largest exponent step whose mantissas are
 # compared, the largest exponent step there is, mantissa bits, a nibble's largest level.
@@ -147,3 +148,9 @@ def euclidean(a: Column, b: Column) -> Column:
 def top_k(df: DataFrame, score: Column, k: int, *ties: str, largest: bool = True) -> DataFrame:
     """The k best rows, as a top-k without a full sort."""
     return df.withColumn("score", score).orderBy(F.desc("score") if largest else F.asc("score"), *ties).limit(k)
+
+
+def top_k_each(df: DataFrame, by: str, score: Column, k: int, *ties: str, largest: bool = True) -> DataFrame:
+    """The k best rows of each key; Spark keeps k of each in a partition before it exchanges them."""
+    best = Window.partitionBy(by).orderBy(F.desc("score") if largest else F.asc("score"), *ties)
+    return df.withColumn("score", score).withColumn("_place", F.row_number().over(best)).where(F.col("_place") <= k).drop("_place")

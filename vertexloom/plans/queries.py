@@ -474,20 +474,24 @@ def nib4_codebook(g: Graph) -> DataFrame:
     return g.spark.createDataFrame([(d, lo, hi) for d, (lo, hi) in enumerate(zip(book.low, book.high, strict=True))], "d int, low float, high float")
 
 
+def _asked(rows: DataFrame, vector: str) -> DataFrame:
+    """Every row beside each query, the rows whose id is divisible by 50."""
+    return rows.crossJoin(rows.where("id % 50 = 0").select(F.col("id").alias("query"), F.col(vector).alias("q")))
+
+
 @query(None)
 def nib4_knn(g: Graph) -> DataFrame:
     book = vectors.Codebook.fit(g.nodes["Vec"].df, "embedding")
     rows = g.nodes["Vec"].df.select("id", book.encode(F.col("embedding")).alias("n"))
-    near = rows.crossJoin(F.broadcast(rows.where("id = 0").select(F.col("n").alias("q"))))  # one query row
-    return vectors.top_k(near, vectors.nibble_distance(F.col("n"), F.col("q")), 10, "id", largest=False).select("id", F.col("score").alias("distance"), vectors.nibble_hex(F.col("n")).alias("hex"))
+    near = vectors.top_k_each(_asked(rows, "n"), "query", vectors.nibble_distance(F.col("n"), F.col("q")), 10, "id", largest=False)
+    return near.select("query", "id", F.col("score").alias("distance"), vectors.nibble_hex(F.col("n")).alias("hex"))
 
 
 @query(None)
 def bf16_distance(g: Graph) -> DataFrame:
     rows = g.nodes["Vec"].df.select("id", vectors.to_bf16("embedding").alias("w"))
-    near = rows.crossJoin(F.broadcast(rows.where("id = 0").select(F.col("w").alias("q"))))  # one query row
-    d = near.select("id", vectors.bf16_distance(F.col("w"), F.col("q")).alias("d"))
-    return d.select("id", "d.score", "d.sign_flips", "d.exp_delta_sum", "d.mant_bit_flips", F.round(vectors.bf16_similarity(F.col("d")), 9).alias("similarity"))
+    d = _asked(rows, "w").select("query", "id", vectors.bf16_distance(F.col("w"), F.col("q")).alias("d"))
+    return d.select("query", "id", "d.score", "d.sign_flips", "d.exp_delta_sum", "d.mant_bit_flips", F.round(vectors.bf16_similarity(F.col("d")), 9).alias("similarity"))
 
 
 @query("SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 0)::DOUBLE[]), 6) AS score FROM embeddings ORDER BY list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 0)::DOUBLE[]) DESC, vec_id LIMIT 10")
@@ -503,6 +507,19 @@ def vector_distances(g: Graph) -> DataFrame:
     return near.select("id", F.round(vectors.euclidean(F.col("embedding"), F.col("q")), 6).alias("l2"), F.round(vectors.dot(F.col("embedding"), F.col("q")), 6).alias("dot"))
 
 
+@query("WITH q AS (SELECT vec_id AS query, embedding AS e FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query, vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]) AS s FROM embeddings, q) SELECT query, id, round(s, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY s DESC, id) <= 10")
+def cosine_knn_all(g: Graph) -> DataFrame:
+    rows = g.nodes["Vec"].df
+    near = vectors.top_k_each(_asked(rows, "embedding"), "query", vectors.cosine(F.col("embedding"), F.col("q")), 10, "id")
+    return near.select("query", "id", F.round("score", 6).alias("score"))
+
+
+@query("SELECT q.vec_id AS query, v.vec_id AS id, round(list_distance(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS l2, round(list_inner_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS dot FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0")
+def vector_distances_all(g: Graph) -> DataFrame:
+    near = _asked(g.nodes["Vec"].df, "embedding")
+    return near.select("query", "id", F.round(vectors.euclidean(F.col("embedding"), F.col("q")), 6).alias("l2"), F.round(vectors.dot(F.col("embedding"), F.col("q")), 6).alias("dot"))
+
+
 @query("SELECT o_orderkey AS id, bit_count(xor(o_orderkey, o_custkey))::INTEGER AS distance FROM orders WHERE bit_count(xor(o_orderkey, o_custkey)) < 6")
 def hamming_sweep(g: Graph) -> DataFrame:
     rows = g.nodes["PurchaseOrder"].df.select("id", vectors.hamming(F.array("o_orderkey"), F.array("o_custkey")).alias("distance"))
