@@ -48,7 +48,7 @@ def test_rows_equal_all_pairs(monkeypatch):
 
 
 def test_hot_fingerprint_loses_no_links():
-    """Chains of rows 40 bits apart, in random order: an end is beyond APART from what is two links on."""
+    """Chains of rows 40 bits apart, in random order: an end is beyond 64 bits from what is two links on."""
     rng = np.random.default_rng(5)
     chains, length = 60, 20
     shape = np.empty((chains, length, 384), bool)
@@ -61,13 +61,13 @@ def test_hot_fingerprint_loses_no_links():
     order = rng.permutation(len(packed))
     assert len(order) ** 2 > 1 << 20
     packed = np.ascontiguousarray(packed[order])
-    near = np.bitwise_count(packed[:, None] ^ packed[None]).sum(2) <= APART
+    near = np.bitwise_count(packed[:, None] ^ packed[None]).sum(2) <= 64
     root = np.arange(len(packed))
     for _ in range(length):
         root = np.where(near, root[None], len(root)).min(1)
     for second in (0, 1):  # one fingerprint, then two of half the rows each
         fp = np.uint64(second) * (np.arange(len(packed)) % 2).astype(np.uint64)
-        got = near_rows(fp, packed)
+        got = near_rows(fp, packed, apart=64)
         assert all(len(set(got[root == r])) == 1 for r in np.unique(root)) and len(set(got)) == len(set(root))
 
 
@@ -92,3 +92,42 @@ def test_near_copies_are_found_and_others_left(spark):
     assert len(got) == len(rows)
     assert all(c == w or c == sure[d] for (d, c), (_, w) in zip(got, want, strict=True)) or sum(g != w for g, w in zip(got, want, strict=True)) <= 2
     assert near_copy_groups(df.limit(0)).count() == 0
+
+
+def test_the_similarity_itself_decides(spark, monkeypatch):
+    """Texts of one base with more and more words changed at the end: linked from 0.8 on, not at 0.79."""
+    from vertexloom.llm import nearcopies
+
+    rng = np.random.default_rng(3)
+    rows, want = [], []
+    for d in range(60):
+        words = [f"v{x}" for x in rng.integers(0, 10**6, 304)]
+        # 300 shingles, of which k change: similarity (300 - k) / (300 + k); k = 33 gives 0.802, k = 36 gives 0.786
+        for i, k in enumerate((0, 33 if d % 2 else 36)):
+            rows.append((1000 * i + d, " ".join(words[: len(words) - k] + [f"c{d}-{x}" for x in range(k)])))
+            want.append((rows[-1][0], d if d % 2 or not i else rows[-1][0]))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for block in (4096, 1):
+        monkeypatch.setattr(nearcopies, "BLOCK", block)
+        got = sorted(map(tuple, near_copy_groups(df).collect()))
+        wrong = [g for g, w in zip(got, sorted(want), strict=True) if g != w]
+        assert not [g for g in wrong if g[1] != g[0]]  # none linked below 0.8
+        assert len(wrong) <= 1
+
+
+def test_sets_equal_all_pairs():
+    from vertexloom.llm.nearcopies import similar_rows
+
+    rng = np.random.default_rng(4)
+    base = [rng.choice(10**6, 50, replace=False) for _ in range(12)]
+    sets = []
+    for _ in range(300):
+        own = base[int(rng.integers(0, 12))].copy()
+        own[rng.choice(50, int(rng.integers(0, 10)), replace=False)] = rng.integers(10**6, 2 * 10**6, 1)[0]
+        sets.append(np.unique(own))
+    near = np.array([[5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b)) for b in sets] for a in sets])
+    root = np.arange(len(sets))
+    for _ in range(len(sets)):
+        root = np.where(near, root[None], len(sets)).min(1)
+    got = similar_rows(np.concatenate(sets), np.array(list(map(len, sets))))
+    assert all(len(set(got[root == r])) == 1 for r in np.unique(root)) and len(set(got)) == len(set(root))

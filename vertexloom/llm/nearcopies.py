@@ -2,8 +2,10 @@
 
 A changed word changes one of a text's words but up to five of its five-word shingles, so that near copies lie closest
 in fingerprints of single words. Each of several seeds has a trie of its own; its first levels have no error budget, so
-that each node there is joined by itself, the levels below share one. A pair that a trie proposes is linked if the two
-texts' fingerprints of five-word shingles agree as those of texts of similarity 0.8 do.
+that each node there is joined by itself, the levels below share one. A pair that a trie proposes stands if the two
+texts' fingerprints of five-word shingles agree loosely. Changes in one place leave fewer words in common than single
+changed words do, so equal bands of least hashes of shingles propose pairs, too. Within the components of such pairs, texts are linked by the
+Jaccard similarity of their sets of shingles itself.
 """
 
 from __future__ import annotations
@@ -21,13 +23,18 @@ from .simhash import SEED, Groups, majority, trie_links
 
 WIDTH = 5
 #: Tries, words of a text's shingle fingerprints, levels without budget, budget of the levels below, and the differing
-#: bits of a shingle fingerprint at most: the mean at a similarity of 0.8 is 58 of 384. Measured on near copies: of pairs
-#: of similarity 0.85 and more over 0.999 are linked, from 0.8 on 0.95, from 0.6 to 0.7 0.03.
-TRIES, SHAPES, LEVELS, BUDGET, APART = 12, 6, 8, 5, 64
+#: bits of a shingle fingerprint at most: the mean at a similarity of 0.8 is 58 of 384, with a deviation of 7.
+TRIES, SHAPES, LEVELS, BUDGET, APART = 12, 6, 8, 5, 112
+#: Texts of a component that go to a task as one block; larger components go as pairs of blocks.
+BLOCK = 4096
+#: Bands of least hashes, and hashes of a band: of pairs of a similarity of 0.8, 0.35 per cent share none (1 - 0.8^7)^24.
+BANDS, DEEP = 24, 7
 #: Rows with one fingerprint, times those with another, that are compared in one array; beyond, row by row.
 PAIRS = 1 << 20
 _ODD = np.random.Generator(np.random.PCG64(21)).integers(0, 2**63, (TRIES + SHAPES, 2), np.uint64) * np.uint64(2) + np.uint64(1)
 
+_MIN = np.random.Generator(np.random.PCG64(22)).integers(0, 2**63, (BANDS, DEEP, 2), np.uint64) * np.uint64(2) + np.uint64(1)
+
 
 def _majority(hashes: np.ndarray, counts: np.ndarray, odd: np.ndarray) -> np.ndarray:
     h = hashes * odd[0]
@@ -35,22 +42,72 @@ def _majority(hashes: np.ndarray, counts: np.ndarray, odd: np.ndarray) -> np.nda
     return majority(h ^ (h >> np.uint64(32)), counts)
 
 
-def prints(texts: list[bytes | None]) -> np.ndarray:
-    """TRIES fingerprints of the different words and SHAPES of the five-word shingles of each text, in rows."""
-    words, shingles, sizes = [], [], []
+def shingles(text: bytes | None) -> tuple[list[bytes], list[bytes]]:
+    """A text's words and its five-word shingles; fewer words are one shingle."""
+    ws = text.lower().split() if text else []
+    return ws, list(map(b" ".join, zip(*(ws[k:] for k in range(WIDTH)), strict=False))) if len(ws) >= WIDTH else [b" ".join(ws)] if ws else []
+
+
+def _hashes(items: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, items, repeat(SEED)), np.uint64, len(items))
+
+
+def prints(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """TRIES fingerprints of the different words and SHAPES of the five-word shingles of each text, in rows; its bands, all
+    0 without words; and a hash of its set of shingles."""
+    words, grams, sizes = [], [], []
     for text in texts:
-        ws = text.lower().split() if text else []
-        own = dict.fromkeys(ws)
-        grams = list(map(b" ".join, zip(*(ws[k:] for k in range(WIDTH)), strict=False))) if len(ws) >= WIDTH else [b" ".join(ws)] if ws else []
-        words.extend(own)
-        shingles.extend(grams)
-        sizes.append((len(own), len(grams)))
+        ws, own = shingles(text)
+        ws = dict.fromkeys(ws)
+        words.extend(ws)
+        grams.extend(own)
+        sizes.append((len(ws), len(own)))
     n = np.array(sizes, np.int64).reshape(-1, 2)
-    out = []
-    for items, counts, odds in ((words, n[:, 0], _ODD[:TRIES]), (shingles, n[:, 1], _ODD[TRIES:])):
-        h = np.fromiter(map(xxhash.xxh64_intdigest, items, repeat(SEED)), np.uint64, len(items))
+    found, out = [_hashes(words), _hashes(grams)], []
+    for h, counts, odds in ((found[0], n[:, 0], _ODD[:TRIES]), (found[1], n[:, 1], _ODD[TRIES:])):
         out += [_majority(h, counts, odd) for odd in odds]
-    return np.stack(out, 1) if texts else np.empty((0, TRIES + SHAPES), np.uint64)
+    sets = (xxhash.xxh64_intdigest(np.unique(x).tobytes(), SEED) for x in np.split(found[1], np.cumsum(n[:-1, 1])))
+    nodes = np.fromiter(sets, np.uint64) if texts else np.empty(0, np.uint64)
+    full, least = n[:, 1] > 0, np.zeros((len(n), BANDS), np.uint64)
+    least[full] = bands(found[1], n[full, 1])
+    return np.stack(out, 1) if texts else np.empty((0, TRIES + SHAPES), np.uint64), least, nodes
+
+
+def bands(grams: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """BANDS hashes of least hashes of each run of shingle hashes, `sizes` (none 0) long, in rows."""
+    starts = np.cumsum(sizes) - sizes
+    out = np.zeros((len(sizes), BANDS), np.uint64)
+    if len(sizes):
+        for k in range(BANDS):
+            for odd, place in _MIN[k]:
+                h = np.minimum.reduceat(grams * odd, starts)
+                out[:, k] = (out[:, k] ^ (h >> np.uint64(29)) ^ h) * place
+    return out
+
+
+def similar_rows(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For sets (their members in a row, and their sizes, none 0), one row of each row's group over links of a Jaccard
+    similarity of 0.8 and more: each row, once reached, is compared with every row not yet reached."""
+    value, flat = np.unique(flat, return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    root, mark = np.arange(len(sizes)), np.zeros(len(value), bool)
+    rest, left, at = np.arange(1, len(sizes)), flat[sizes[0] :] if len(sizes) else flat, sizes[1:]
+    open_ = [0]
+    while len(rest):
+        if not open_:
+            open_, rest, left, at = [int(rest[0])], rest[1:], left[at[0] :], at[1:]
+            continue
+        row = open_.pop()
+        own = flat[starts[row] : starts[row] + sizes[row]]
+        mark[own] = True
+        both = np.add.reduceat(mark[left], np.cumsum(at) - at, dtype=np.int64)
+        mark[own] = False
+        hit = 5 * both >= 4 * (sizes[row] + at - both)
+        if hit.any():
+            root[rest[hit]] = root[row]
+            open_.extend(rest[hit].tolist())
+            rest, left, at = rest[~hit], left[np.repeat(~hit, at)], at[~hit]
+    return root
 
 
 def near_rows(fp: np.ndarray, shape: np.ndarray, budget: int = BUDGET, apart: int = APART) -> np.ndarray:
@@ -101,24 +158,63 @@ def near_rows(fp: np.ndarray, shape: np.ndarray, budget: int = BUDGET, apart: in
     return out
 
 
+def _same_bands(classes: DataFrame) -> DataFrame:
+    """classes (node, bands) to links (a, b): each node of a band to the band's least node."""
+    each = classes.select("node", F.posexplode("bands").alias("k", "band")).where("band <> 0")
+    least = each.groupBy("k", "band").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b < top")
+    return each.join(least, ["k", "band"]).where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+
+
+def _similar(texts: DataFrame, classes: DataFrame, comps: DataFrame) -> DataFrame:
+    """texts (text, key), classes (node, key) and their components to links (a, b) that give the groups which all pairs
+    within a component of a similarity of 0.8 and more do."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    size = comps.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    own = classes.select("node", "key").join(comps, "node").join(size, "component").select("node", "key", "component", blocks.alias("blocks"))
+    once = texts.join(own.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+
+    def sets(batches):
+        for batch in batches:
+            for part in text_slices(batch, "text"):
+                found = [np.unique(_hashes(shingles(t)[1])).view(np.int64) for t in part.column("text").cast(pa.binary()).to_pylist()]
+                ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+                flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
+                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("component"), part.column("blocks"), flat], ["node", "component", "blocks", "grams"])
+
+    def link(table: pa.Table) -> pa.Table:
+        node = table.column("node").to_numpy()
+        grams = table.column("grams").combine_chunks()
+        root = similar_rows(grams.flatten().to_numpy(), grams.value_lengths().to_numpy().astype(np.int64))
+        hit = root != np.arange(len(node))
+        return pa.table({"a": node[hit], "b": node[root[hit]]})
+
+    found = once.join(own, "key").select("node", "component", "blocks", "text").mapInArrow(sets, "node long, component long, blocks int, grams array<long>").where("size(grams) > 0")
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    found = found.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("mine <> other or blocks = 1")
+    pairs = found.select("component", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "node", "grams")
+    return pairs.groupBy("component", "low", "high").applyInArrow(link, "a long, b long")
+
+
 def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id and component_id, the smallest id reachable over links of near copies.
 
-    Texts with the same fingerprints throughout are one. Null and wordless texts are alike. Repeated rows and ids stay;
+    Texts with the same set of shingles are one. Null and wordless texts are alike. Repeated rows and ids stay;
     null ids are never a component_id unless a group has no other; extra columns are ignored; an empty table gives an
-    empty result. Rows go to a task by trie and first levels."""
+    empty result. Rows go to a task by trie and first levels, then by block of
+    their component."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             for part in text_slices(batch, "text"):
-                found = prints(part.column("text").cast(pa.binary()).to_pylist()).view(np.int64)
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, TRIES + SHAPES, dtype=np.int32)), pa.array(found.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("id"), flat], ["id", "fps"])
-
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fps array<long>")
-    rows = staged(rows.withColumn("node", F.xxhash64("fps")), "prints")
-    classes = staged(rows.groupBy("node").agg(F.min("id").alias("rep"), F.first("fps").alias("fps")), "classes")
+                found, least, nodes = prints(part.column("text").cast(pa.binary()).to_pylist())
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.view(np.int64).ravel())) for x in (found, least)]
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("key"), *lists, pa.array(nodes.view(np.int64))], ["id", "key", "fps", "bands", "node"])
+
+    key = F.xxhash64(F.col(text_col)).alias("key")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), key).mapInArrow(run, f"id {kind}, key long, fps array<long>, bands array<long>, node long")
+    rows = staged(rows, "prints")
+    classes = staged(rows.groupBy("node").agg(F.min("id").alias("rep"), F.first("fps").alias("fps"), F.first("bands").alias("bands"), F.min("key").alias("key")), "classes")
     each = classes.select("node", F.slice("fps", TRIES + 1, SHAPES).alias("shape"), F.posexplode(F.slice("fps", 1, TRIES)).alias("trie", "fp"))
 
     def join(table: pa.Table) -> pa.Table:
@@ -129,11 +225,12 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return pa.table({"a": node[hit], "b": node[root[hit]]})
 
     top = F.shiftrightunsigned("fp", 64 - LEVELS)
-    edges = staged(each.withColumn("top", top).groupBy("trie", "top").applyInArrow(join, "a long, b long"), "links")
+    proposed = staged(each.withColumn("top", top).groupBy("trie", "top").applyInArrow(join, "a long, b long").unionByName(_same_bands(classes)), "proposals")
+    edges = staged(_similar(docs.select(F.col(text_col).alias("text"), key), classes, connected_components(proposed)), "links")
     comps = connected_components(edges)
     linked = classes.select("node", "rep").join(comps, "node")
     least = linked.groupBy("component").agg(F.min("rep").alias("least"))
     named = linked.join(least, "component").select("node", "least")
     by_node = staged(classes.select("node", "rep").join(named, "node", "left").select("node", F.coalesce("least", "rep").alias("component_id")), "components")
-    discard(classes, edges)
+    discard(classes, proposed, edges)
     return rows.join(by_node, "node").select(F.col("id").alias(id_col), "component_id")
