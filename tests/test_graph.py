@@ -195,6 +195,29 @@ def test_reasoning(spark):
     assert reasoning.masked(tensors, "s_sign").first()["o_mant"] == 0.0
 
 
+def test_shortest_paths_do_not_end_silently(spark, monkeypatch):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(4)], "src long, dst long")
+    start = spark.createDataFrame([(0,)], "id long")
+    assert paths.shortest_paths(edges, start).count() == 5
+    assert paths.shortest_paths(edges, start, most=2).count() == 3
+    for most in (4, 3):
+        monkeypatch.setattr(paths, "MOST_HOPS", most)
+        if most == 4:
+            assert paths.shortest_paths(edges, start).count() == 5
+        else:
+            with pytest.raises(RuntimeError):
+                paths.shortest_paths(edges, start)
+
+
+def test_dump_holds_the_whole_graph(spark):
+    from vertexloom.plans.queries import QUERIES
+    from vertexloom.sources.tables import star_graph
+
+    g = star_graph(spark, "/root/testdata/sf0.001")
+    parts = {r.part: r["count"] for r in QUERIES["export_dump"](spark, "/root/testdata/sf0.001").groupBy("part").count().collect()}
+    assert parts == {0: 3, 1: g.node_count(), 2: g.relationship_count()}
+
+
 def test_every_query_vector_is_asked(spark):
     from vertexloom.plans.queries import QUERIES
 

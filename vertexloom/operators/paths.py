@@ -46,21 +46,24 @@ def expand_paths(graph: Graph, df: DataFrame, here: Node, r: Rel, n: Node, table
     return out.join(far, F.col("_at") == prop(n.var)).drop("_at")
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, most: int = MOST_HOPS, directed: bool = True) -> DataFrame:
+def shortest_paths(edges: DataFrame, sources: DataFrame, most: int | None = None, directed: bool = True) -> DataFrame:
     """(source, target, hops, path) from each of sources (id) to all it reaches over edges (src, dst): breadth first,
-    level by level; of paths of one length the least by node ids stays. The source itself is there with 0 hops."""
+    level by level; of paths of one length the least by node ids stays. The source itself is there with 0 hops.
+    Without `most`, an error tells if MOST_HOPS levels aren't enough."""
     links = edges.select("src", "dst")
     if not directed:
         links = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     links = links.distinct()
     found = sources.select(F.col("id").alias("source"), F.col("id").alias("target"), F.lit(0).alias("hops"), F.array("id").alias("path"))
     level = found
-    for k in range(1, most + 1):
+    for k in range(1, (MOST_HOPS + 1 if most is None else most) + 1):
         step = level.join(links, F.col("target") == F.col("src")).select("source", F.col("dst").alias("target"), F.concat("path", F.array("dst")).alias("path"))
         step = step.join(found.select("source", "target"), ["source", "target"], "left_anti").groupBy("source", "target").agg(F.min("path").alias("path"))
         level = fixed(step.select("source", "target", F.lit(k).alias("hops"), "path"))
         if level.isEmpty():
             break
+        if most is None and k > MOST_HOPS:
+            raise RuntimeError(f"paths are longer than {MOST_HOPS} hops")
         found = found.unionByName(level)
     return found
 

@@ -583,8 +583,7 @@ def jaccard_similarity_all(g: Graph) -> DataFrame:
 
 @query(None)
 def export_dump(g: Graph) -> DataFrame:
-    small = Graph(g.spark, {k: g.nodes[k] for k in ("Region", "Nation", "Supplier")}, {"IN_REGION": g.rels["IN_REGION"], "IN_NATION": [t for t in g.rels["IN_NATION"] if t.src == "Supplier"]})
-    return dump_lines(small)
+    return dump_lines(g)
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
