@@ -3,7 +3,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from vertexloom.llm.pivots import nearest
+from vertexloom.llm.pivots import Inverted, nearest, nearest_pivots
 
 SCHEMA = "vec_id long, embedding array<float>, rank string"
 
@@ -30,7 +30,7 @@ def test_small_blocks_give_recall_and_exact_scores(spark):
     rows += [(20_000, None), (20_100, [0.0] * 16), (20_200, [float("nan")] * 16), (20_300, [None] + [1.0] * 15), (None, [1.0] * 16), (20_400, [float("inf")] * 16)]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], SCHEMA).repartition(3)
     got = {}
-    for r in nearest(df, F.col("vec_id") % 100 == 0, block_rows=900, batch_rows=20, share=0.3, least=50).collect():
+    for r in nearest(df, F.col("vec_id") % 100 == 0, pivots=256, block_rows=900).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.score, r.vec_id))
     want = brute(rows)
     assert set(got) == set(want)
@@ -44,6 +44,45 @@ def test_small_blocks_give_recall_and_exact_scores(spark):
     assert [i for _, _, i in sorted(got[100])] == [i for _, i in want[100]]  # ties among copies
 
 
+def test_recall_with_production_parameters(spark):
+    """Unit vectors of no structure, the hardest case, in two blocks; a third of the rows is one vector."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(40_000, 64))
+    v /= np.sqrt((v**2).sum(1))[:, None]
+    v[5::6] = v[5]
+    v[8::6] = v[5]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>").repartition(8)
+    got = {}
+    for r in nearest(rows, F.col("vec_id") % 2000 == 0, block_rows=16_000).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    hits = total = 0
+    for q in range(0, 40_000, 2000):
+        far = np.sqrt(((v - v[q]) ** 2).sum(1))
+        far[q] = np.inf
+        best = np.lexsort((np.arange(len(v)), far))[:10]
+        found = sorted(got[q])
+        assert len(found) == 10 and np.allclose([s for _, _, s in found], far[[i for _, i, _ in found]], rtol=1e-12)
+        hits, total = hits + len({i for _, i, _ in found} & set(best.tolist())), total + 10
+        if v[q].tolist() == v[5].tolist():
+            assert [i for _, i, _ in found] == best.tolist()  # of the copies, the smallest ids
+    assert hits >= 0.9 * total
+
+
+def test_few_of_the_rows_are_measured():
+    rng = np.random.default_rng(4)
+    rows = rng.normal(size=(20_000, 16))
+    near = nearest_pivots(rows, rows[:256], 32)
+    index = Inverted.of(near, 256)
+    assert len(index.best(near[0], 500)) < 600 and 0 in index.best(near[0], 500)
+    full = np.full((1, 256), 32)
+    full[0, near[0]] = np.arange(32)
+    places = np.full((len(rows), 256), 32)
+    np.put_along_axis(places, near, np.arange(32)[None], 1)
+    footrule = np.abs(places - full).sum(1)
+    close = index.closeness(near[0])
+    assert np.array_equal(close.max() - close, footrule)
+
+
 def test_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0], ""), (1, [0.0, 1.0], ""), (2, [1.0, 1.0], ""), (3, [1.0], "")], SCHEMA)
     got = sorted(map(tuple, nearest(df, F.col("vec_id") % 100 == 0).collect()))
