@@ -1,11 +1,10 @@
-"""Near copies at a five-word similarity of 0.8 by SimHash: several tries over fingerprints of the different words.
-
-A changed word changes one of a text's words but up to five of its five-word shingles, so that near copies lie closest
-in fingerprints of single words. Each of several seeds has a trie of its own; its first levels have no error budget, so
-that each node there is joined by itself, the levels below share one. A pair that a trie proposes stands if the two
-texts' fingerprints of five-word shingles agree loosely. Changes in one place leave fewer words in common than single
-changed words do, so equal bands of least hashes of shingles propose pairs, too. Within the components of such pairs, texts are linked by the
-Jaccard similarity of their sets of shingles itself.
+"""Near copies at a five-word similarity of 0.8: the SimHash trie and bands of least hashes propose pairs, the sets of
+shingles decide.
+
+The trie self-join of `simhash.py` runs over fingerprints of five-word shingles. At a similarity of 0.8 two of these
+differ in about ten bits, which few pairs have less of; so bands of least hashes of the same shingles propose pairs, too.
+Each text is first compared with one text of each of its bands. Where that leaves a band in several groups, all its texts
+of different groups are compared, in blocks. Every comparison is the Jaccard similarity itself.
 """
 
 from __future__ import annotations
@@ -19,33 +18,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, discard, staged, text_slices
-from .simhash import SEED, Groups, majority, trie_links
-
-WIDTH = 5
-#: Tries, words of a text's shingle fingerprints, levels without budget, budget of the levels below, and the differing
-#: bits of a shingle fingerprint at most: the mean at a similarity of 0.8 is 58 of 384, with a deviation of 7.
-TRIES, SHAPES, LEVELS, BUDGET, APART = 12, 6, 8, 5, 112
-#: Texts of a component that go to a task as one block; larger components go as pairs of blocks.
-BLOCK = 4096
+from .simhash import SEED, Groups, fingerprint_links, majority
+
+#: Words of a shingle, and the differing bits of two fingerprints that the trie proposes.
+WIDTH, BUDGET = 5, 3
 #: Bands of least hashes, and hashes of a band: of pairs of a similarity of 0.8, 0.35 per cent share none (1 - 0.8^7)^24.
 BANDS, DEEP = 24, 7
-#: Rows with one fingerprint, times those with another, that are compared in one array; beyond, row by row.
-PAIRS = 1 << 20
-_ODD = np.random.Generator(np.random.PCG64(21)).integers(0, 2**63, (TRIES + SHAPES, 2), np.uint64) * np.uint64(2) + np.uint64(1)
+#: Shingles of a block on average; texts of a band that aren't all in one group are compared block by block.
+BLOCK_GRAMS = 1 << 20
 
 _MIN = np.random.Generator(np.random.PCG64(22)).integers(0, 2**63, (BANDS, DEEP, 2), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _majority(hashes: np.ndarray, counts: np.ndarray, odd: np.ndarray) -> np.ndarray:
-    h = hashes * odd[0]
-    h = (h ^ (h >> np.uint64(29))) * odd[1]
-    return majority(h ^ (h >> np.uint64(32)), counts)
-
-
-def shingles(text: bytes | None) -> tuple[list[bytes], list[bytes]]:
-    """A text's words and its five-word shingles; fewer words are one shingle."""
+def shingles(text: bytes | None) -> list[bytes]:
+    """A text's five-word shingles; fewer words are one shingle."""
     ws = text.lower().split() if text else []
-    return ws, list(map(b" ".join, zip(*(ws[k:] for k in range(WIDTH)), strict=False))) if len(ws) >= WIDTH else [b" ".join(ws)] if ws else []
+    return list(map(b" ".join, zip(*(ws[k:] for k in range(WIDTH)), strict=False))) if len(ws) >= WIDTH else [b" ".join(ws)] if ws else []
 
 
 def _hashes(items: list[bytes]) -> np.ndarray:
@@ -53,24 +41,15 @@ def _hashes(items: list[bytes]) -> np.ndarray:
 
 
 def prints(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """TRIES fingerprints of the different words and SHAPES of the five-word shingles of each text, in rows; its bands, all
-    0 without words; and a hash of its set of shingles."""
-    words, grams, sizes = [], [], []
-    for text in texts:
-        ws, own = shingles(text)
-        ws = dict.fromkeys(ws)
-        words.extend(ws)
-        grams.extend(own)
-        sizes.append((len(ws), len(own)))
-    n = np.array(sizes, np.int64).reshape(-1, 2)
-    found, out = [_hashes(words), _hashes(grams)], []
-    for h, counts, odds in ((found[0], n[:, 0], _ODD[:TRIES]), (found[1], n[:, 1], _ODD[TRIES:])):
-        out += [_majority(h, counts, odd) for odd in odds]
-    sets = (xxhash.xxh64_intdigest(np.unique(x).tobytes(), SEED) for x in np.split(found[1], np.cumsum(n[:-1, 1])))
+    """Each text's fingerprint; its bands, all 0 without words; and a hash of its set of shingles."""
+    grams = [shingles(t) for t in texts]
+    sizes = np.array(list(map(len, grams)), np.int64)
+    found = _hashes([g for own in grams for g in own])
+    sets = (xxhash.xxh64_intdigest(np.unique(x).tobytes(), SEED) for x in np.split(found, np.cumsum(sizes[:-1])))
     nodes = np.fromiter(sets, np.uint64) if texts else np.empty(0, np.uint64)
-    full, least = n[:, 1] > 0, np.zeros((len(n), BANDS), np.uint64)
-    least[full] = bands(found[1], n[full, 1])
-    return np.stack(out, 1) if texts else np.empty((0, TRIES + SHAPES), np.uint64), least, nodes
+    full, least = sizes > 0, np.zeros((len(sizes), BANDS), np.uint64)
+    least[full] = bands(found, sizes[full])
+    return majority(found, sizes), least, nodes
 
 
 def bands(grams: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -85,152 +64,142 @@ def bands(grams: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def similar_rows(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """For sets (their members in a row, and their sizes, none 0), one row of each row's group over links of a Jaccard
-    similarity of 0.8 and more: each row, once reached, is compared with every row not yet reached."""
+def similar_groups(flat: np.ndarray, sizes: np.ndarray, group: np.ndarray, side: np.ndarray | None = None) -> np.ndarray:
+    """For sets (their members in a row, and their sizes, none 0) in known groups: for each group, by its number, one
+    group of those that links of a Jaccard similarity of 0.8 and more tie together. Sets of one group aren't compared,
+    nor, if sides are given, those of one side. The largest group is only compared with."""
     value, flat = np.unique(flat, return_inverse=True)
-    starts = np.cumsum(sizes) - sizes
-    root, mark = np.arange(len(sizes)), np.zeros(len(value), bool)
-    rest, left, at = np.arange(1, len(sizes)), flat[sizes[0] :] if len(sizes) else flat, sizes[1:]
-    open_ = [0]
-    while len(rest):
-        if not open_:
-            open_, rest, left, at = [int(rest[0])], rest[1:], left[at[0] :], at[1:]
-            continue
-        row = open_.pop()
-        own = flat[starts[row] : starts[row] + sizes[row]]
-        mark[own] = True
-        both = np.add.reduceat(mark[left], np.cumsum(at) - at, dtype=np.int64)
-        mark[own] = False
-        hit = 5 * both >= 4 * (sizes[row] + at - both)
-        if hit.any():
-            root[rest[hit]] = root[row]
-            open_.extend(rest[hit].tolist())
-            rest, left, at = rest[~hit], left[np.repeat(~hit, at)], at[~hit]
-    return root
-
-
-def near_rows(fp: np.ndarray, shape: np.ndarray, budget: int = BUDGET, apart: int = APART) -> np.ndarray:
-    """For rows (fingerprint; shingle fingerprints), one row of each row's group."""
-    order = np.argsort(fp, kind="stable")
-    value, first, count = np.unique(fp[order], return_index=True, return_counts=True)
-    shape = shape[order]
-    groups = Groups(len(fp))
-
-    def close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(shape[a] ^ shape[b]).sum(1, dtype=np.int32) <= apart
-
-    def reach(rows: np.ndarray) -> None:
-        """Links what all pairs of rows would: each row, once reached, is compared with every row not yet reached."""
-        rest = rows
-        while len(rest):
-            open_, rest = [rest[0]], rest[1:]
-            while open_ and len(rest):
-                row = open_.pop()
-                hit = close(np.full(1, row), rest)
-                groups.link(np.full(int(hit.sum()), row), rest[hit])
-                open_.extend(rest[hit].tolist())
-                rest = rest[~hit]
-
-    def compare(a: np.ndarray, b: np.ndarray) -> None:
-        x, y = np.repeat(a, len(b)), np.tile(b, len(a))
-        hit = close(x, y)
-        groups.link(x[hit], y[hit])
-
-    def meet(v: int, w: int) -> None:
-        a, b = np.arange(first[v], first[v] + count[v]), np.arange(first[w], first[w] + count[w])
-        if len(a) * len(b) <= PAIRS:
-            compare(a, b)
-        else:
-            reach(a if v == w else np.concatenate([a, b]))
-
-    for v in np.flatnonzero(count > 1):
-        meet(int(v), int(v))
-    for ia, ib in trie_links(value, value, budget, True):
-        one = (count[ia] == 1) & (count[ib] == 1)
-        x, y = first[ia[one]], first[ib[one]]
-        hit = close(x, y)
-        groups.link(x[hit], y[hit])
-        for v, w in zip(ia[~one].tolist(), ib[~one].tolist(), strict=True):
-            meet(v, w)
-    out = np.empty(len(fp), np.int64)
-    out[order] = order[groups.find(np.arange(len(fp)))]
-    return out
-
-
-def _same_bands(classes: DataFrame) -> DataFrame:
-    """classes (node, bands) to links (a, b): each node of a band to the band's least node."""
+    ties, mark = Groups(int(group.max(initial=-1)) + 1), np.zeros(len(value), bool)
+    many = np.bincount(group)
+    order = np.lexsort((group, many[group]))
+    starts = (np.cumsum(sizes) - sizes)[order]
+    size, own = sizes[order], group[order]
+    apart = None if side is None else side[order]
+    members = np.concatenate([flat[s : s + n] for s, n in zip(starts.tolist(), size.tolist(), strict=True)])
+    starts = np.cumsum(size) - size
+    for a in np.sort(np.unique(own, return_index=True)[1]).tolist():
+        end = a + int(many[own[a]])
+        if end == len(own):
+            break
+        rest, left, at = np.arange(end, len(own)), members[starts[end] :], size[end:]
+        stale = True
+        for row in range(a, end):
+            if stale:
+                keep = ties.find(own[rest]) != ties.find(own[a : a + 1])
+                rest, left, at = rest[keep], left[np.repeat(keep, at)], at[keep]
+                stale = False
+            if not len(rest):
+                break
+            mine = members[starts[row] : starts[row] + size[row]]
+            mark[mine] = True
+            both = np.add.reduceat(mark[left], np.cumsum(at) - at, dtype=np.int64)
+            mark[mine] = False
+            hit = 5 * both >= 4 * (size[row] + at - both)
+            if apart is not None:
+                hit &= apart[rest] != apart[row]
+            if hit.any():
+                ties.link(np.full(int(hit.sum()), own[row]), own[rest[hit]])
+                stale = True
+    return ties.find(np.arange(len(ties.root)))
+
+
+def _proposals(classes: DataFrame) -> DataFrame:
+    """classes (node, fp, bands) to pairs (a, b): each node with the least node of its fingerprint and of each of its
+    bands, and those of fingerprints that the trie links with the least of its root."""
+    heads = classes.groupBy("fp").agg(F.min("node").alias("head"))
+    same = classes.join(heads, "fp").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    links = fingerprint_links(heads, BUDGET).where("fp <> root")
+    near = links.join(heads, "fp").select(F.col("head").alias("a"), F.col("root").alias("fp")).join(heads, "fp").select("a", F.col("head").alias("b"))
     each = classes.select("node", F.posexplode("bands").alias("k", "band")).where("band <> 0")
     least = each.groupBy("k", "band").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b < top")
-    return each.join(least, ["k", "band"]).where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    banded = each.join(least, ["k", "band"]).where("node <> b").select(F.col("node").alias("a"), "b")
+    return same.unionByName(near).unionByName(banded).distinct()
 
 
-def _similar(texts: DataFrame, classes: DataFrame, comps: DataFrame) -> DataFrame:
-    """texts (text, key), classes (node, key) and their components to links (a, b) that give the groups which all pairs
-    within a component of a similarity of 0.8 and more do."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    size = comps.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    own = classes.select("node", "key").join(comps, "node").join(size, "component").select("node", "key", "component", blocks.alias("blocks"))
-    once = texts.join(own.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+def _sets(texts: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, grams): the sets of shingles of the named nodes that have words."""
 
-    def sets(batches):
+    def run(batches):
         for batch in batches:
             for part in text_slices(batch, "text"):
-                found = [np.unique(_hashes(shingles(t)[1])).view(np.int64) for t in part.column("text").cast(pa.binary()).to_pylist()]
+                found = [np.unique(_hashes(shingles(t))).view(np.int64) for t in part.column("text").cast(pa.binary()).to_pylist()]
                 ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
-                flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
-                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("component"), part.column("blocks"), flat], ["node", "component", "blocks", "grams"])
+                flat = np.concatenate(found) if found else np.empty(0, np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["node", "grams"])
+
+    wanted = classes.join(nodes, "node", "left_semi").select("node", F.col("rep.id").alias("rep_id"), F.col("rep.key").alias("rep_key"))
+    once = texts.join(wanted, texts["id"].eqNullSafe(wanted["rep_id"]) & (texts["key"] == wanted["rep_key"])).groupBy("node").agg(F.first("text").alias("text"))
+    return once.mapInArrow(run, "node long, grams array<long>").where("size(grams) > 0")
+
+
+def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of a similarity of 0.8 and more."""
+    a, b = (sets.select(F.col("node").alias(x), F.col("grams").alias(f"g{x}")) for x in "ab")
+    both = F.size(F.array_intersect("ga", "gb"))
+    return pairs.join(a, "a").join(b, "b").where(5 * both >= 4 * (F.size("ga") + F.size("gb") - both)).select("a", "b")
+
+
+def _within_bands(classes: DataFrame, sets: DataFrame, comps: DataFrame) -> DataFrame:
+    """Links (a, b) between groups of comps (node, component) that share a band. Of a band's groups the largest one's
+    texts meet the others' only, so that a group of any size that is already one costs nothing."""
+    sized = sets.select("node", F.size("grams").alias("size")).join(comps, "node", "left").select("node", "size", F.coalesce("component", "node").alias("component"))
+    each = classes.select("node", F.posexplode("bands").alias("k", "band")).where("band <> 0").join(sized, "node")
+    per = each.groupBy("k", "band", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sign"))
+    open_ = per.groupBy("k", "band").agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.sum("sign").alias("sign"), F.max(F.struct("n", "size", "component")).alias("top")).where("groups > 1 and n > 2")
+    # Bands with the same texts count once.
+    open_ = open_.groupBy("sign", "n").agg(F.min(F.struct("k", "band", "size", "top")).alias("x")).select("x.k", "x.band", (F.col("x.size") - F.col("x.top.size")).alias("few"), F.col("x.top.size").alias("many"), F.col("x.top.component").alias("main"))
+    blocks = [F.ceil(F.col(c) / BLOCK_GRAMS).cast("int").alias(f"{c}_blocks") for c in ("few", "many")]
+    rows = each.join(open_.select("k", "band", "main", *blocks), ["k", "band"])
+    rows = rows.withColumn("big", F.col("component") == F.col("main")).withColumn("mine", F.pmod(F.xxhash64("node"), F.when(F.col("big"), F.col("many_blocks")).otherwise(F.col("few_blocks"))).cast("int"))
+    few = F.sequence(F.lit(0), F.col("few_blocks") - 1)
+    # A text of the largest group goes to every block of others; one of these to that of its own, and to pairs.
+    met = F.when(F.col("big"), F.transform(few, lambda j: F.struct(j.alias("low"), (-1 - F.col("mine")).alias("high"))))
+    met = met.otherwise(F.concat(F.transform(few, lambda j: F.struct(F.least(j, "mine").alias("low"), F.greatest(j, "mine").alias("high"))), F.transform(F.sequence(F.lit(0), F.col("many_blocks") - 1), lambda j: F.struct(F.col("mine").alias("low"), (-1 - j).alias("high")))))
+    dealt = rows.select("k", "band", "node", "component", F.when(F.col("big"), -1 - F.col("mine")).otherwise(F.col("mine")).alias("side"), F.explode(met).alias("at")).select("*", "at.*").drop("at")
 
     def link(table: pa.Table) -> pa.Table:
-        node = table.column("node").to_numpy()
         grams = table.column("grams").combine_chunks()
-        root = similar_rows(grams.flatten().to_numpy(), grams.value_lengths().to_numpy().astype(np.int64))
-        hit = root != np.arange(len(node))
-        return pa.table({"a": node[hit], "b": node[root[hit]]})
+        names, group = np.unique(table.column("component").to_numpy(), return_inverse=True)
+        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        side = None if low == high else table.column("side").to_numpy()
+        root = similar_groups(grams.flatten().to_numpy(), grams.value_lengths().to_numpy().astype(np.int64), group, side)
+        hit = np.flatnonzero(root != np.arange(len(names)))
+        return pa.table({"a": names[hit], "b": names[root[hit]]})
 
-    found = once.join(own, "key").select("node", "component", "blocks", "text").mapInArrow(sets, "node long, component long, blocks int, grams array<long>").where("size(grams) > 0")
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    found = found.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("mine <> other or blocks = 1")
-    pairs = found.select("component", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "node", "grams")
-    return pairs.groupBy("component", "low", "high").applyInArrow(link, "a long, b long")
+    return dealt.join(sets, "node").groupBy("k", "band", "low", "high").applyInArrow(link, "a long, b long")
 
 
 def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id and component_id, the smallest id reachable over links of near copies.
+    """One row per row of docs: id, text_key (the text's xxhash64), and component_id and component_key, those of the row
+    with the smallest id, then key, that is reachable over links of near copies.
 
-    Texts with the same set of shingles are one. Null and wordless texts are alike. Repeated rows and ids stay;
-    null ids are never a component_id unless a group has no other; extra columns are ignored; an empty table gives an
-    empty result. Rows go to a task by trie and first levels, then by block of
-    their component."""
+    Texts with the same set of shingles are one. Null and wordless texts are alike. Repeated rows and ids stay; null ids
+    are never a component_id unless a group has no other; extra columns are ignored; an empty table gives an empty
+    result."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             for part in text_slices(batch, "text"):
-                found, least, nodes = prints(part.column("text").cast(pa.binary()).to_pylist())
-                lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.view(np.int64).ravel())) for x in (found, least)]
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("key"), *lists, pa.array(nodes.view(np.int64))], ["id", "key", "fps", "bands", "node"])
-
-    key = F.xxhash64(F.col(text_col)).alias("key")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), key).mapInArrow(run, f"id {kind}, key long, fps array<long>, bands array<long>, node long")
-    rows = staged(rows, "prints")
-    classes = staged(rows.groupBy("node").agg(F.min("id").alias("rep"), F.first("fps").alias("fps"), F.first("bands").alias("bands"), F.min("key").alias("key")), "classes")
-    each = classes.select("node", F.slice("fps", TRIES + 1, SHAPES).alias("shape"), F.posexplode(F.slice("fps", 1, TRIES)).alias("trie", "fp"))
-
-    def join(table: pa.Table) -> pa.Table:
-        node = table.column("node").to_numpy()
-        shape = table.column("shape").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SHAPES)
-        root = near_rows(table.column("fp").to_numpy().view(np.uint64), shape)
-        hit = root != np.arange(len(node))
-        return pa.table({"a": node[hit], "b": node[root[hit]]})
-
-    top = F.shiftrightunsigned("fp", 64 - LEVELS)
-    proposed = staged(each.withColumn("top", top).groupBy("trie", "top").applyInArrow(join, "a long, b long").unionByName(_same_bands(classes)), "proposals")
-    edges = staged(_similar(docs.select(F.col(text_col).alias("text"), key), classes, connected_components(proposed)), "links")
-    comps = connected_components(edges)
-    linked = classes.select("node", "rep").join(comps, "node")
-    least = linked.groupBy("component").agg(F.min("rep").alias("least"))
-    named = linked.join(least, "component").select("node", "least")
-    by_node = staged(classes.select("node", "rep").join(named, "node", "left").select("node", F.coalesce("least", "rep").alias("component_id")), "components")
-    discard(classes, proposed, edges)
-    return rows.join(by_node, "node").select(F.col("id").alias(id_col), "component_id")
+                fp, least, nodes = prints(part.column("text").cast(pa.binary()).to_pylist())
+                own = pa.ListArray.from_arrays(pa.array(np.arange(0, least.size + 1, BANDS, dtype=np.int32)), pa.array(least.view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("key"), pa.array(fp.view(np.int64)), own, pa.array(nodes.view(np.int64))], ["id", "key", "fp", "bands", "node"])
+
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key"))
+    rows = staged(texts.mapInArrow(run, f"id {kind}, key long, fp long, bands array<long>, node long"), "prints")
+    row = F.struct("id", "key")
+    rep = F.coalesce(F.min(F.when(F.col("id").isNotNull(), row)), F.min(row)).alias("rep")
+    classes = staged(rows.groupBy("node").agg(rep, F.first("fp").alias("fp"), F.first("bands").alias("bands")), "classes")
+    pairs = staged(_proposals(classes), "proposals")
+    sets = staged(_sets(texts, classes, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "shingles")
+    first = staged(_checked(pairs, sets), "links")
+    comps = staged(connected_components(first), "groups")
+    more = staged(_within_bands(classes, sets, comps), "more-links")
+    if not more.isEmpty():
+        comps = staged(connected_components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "groups")
+    linked = classes.select("node", "rep").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    found = F.coalesce(F.min(F.when(F.col("rep.id").isNotNull(), F.col("rep"))), F.min("rep")).alias("rep")
+    least = linked.groupBy("component").agg(found)
+    by_node = staged(linked.select("node", "component").join(least, "component").select("node", "rep"), "components")
+    discard(classes, pairs, sets, first, more)
+    return rows.join(by_node, "node").select(F.col("id").alias(id_col), F.col("key").alias("text_key"), F.col("rep.id").alias("component_id"), F.col("rep.key").alias("component_key"))
