@@ -27,11 +27,14 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near copies (five words, similarity 0.8, by SimHash tries),
-    one row if that id repeats; rows without an id stay."""
-    groups = near_copy_groups(docs.select("doc_id", "text")).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(groups, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    """Keeps of each group of near copies (five words, similarity 0.8, by the SimHash trie and bands) the document with the
+    smallest id, one row if id and text repeat; without any id in the group, one of its texts."""
+    groups = near_copy_groups(docs.select("doc_id", "text"))
+    reps = groups.where("doc_id <=> component_id and text_key = component_key").select("doc_id", F.col("text_key").alias("_near_key")).distinct()
+    keyed = docs.withColumn("_near_key", F.xxhash64("text"))
+    named = keyed.where("doc_id is not null").join(reps, ["doc_id", "_near_key"], "left_semi").dropDuplicates(["doc_id", "_near_key"])
+    unnamed = keyed.where("doc_id is null").join(reps.where("doc_id is null").drop("doc_id"), "_near_key", "left_semi").dropDuplicates(["_near_key"])
+    return named.unionByName(unnamed).select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
