@@ -41,7 +41,6 @@ def test_token_files(spark, duck):
     from vertexloom.llm.queries import WORD_BPE
 
     enc, want, start = Tokenizer.from_file(WORD_BPE), [], 0
-    enc.encode_special_tokens = True
     for d, t in sorted(duck.execute("SELECT doc_id, text FROM documents").fetchall()):
         ids = np.array([*enc.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
         want.append((d, start, len(ids), zlib.crc32(ids.tobytes())))

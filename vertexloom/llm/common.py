@@ -14,15 +14,26 @@ SLICE_BYTES = 1 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder for intermediate tables: spark.checkpoint.dir; where that is unset (tests), a folder in the warehouse."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return root or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    """The folder for intermediate tables: spark.checkpoint.dir, or the checkpoint folder that the context was given.
+    Where neither is set, a folder in the warehouse, but only if Spark runs on this machine alone or the warehouse has
+    a shared file system."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root:
+        return root
+    house = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not spark.sparkContext.master.startswith("local") and (":" not in house or house.startswith("file:")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return house + "/_scratch"
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage, and a lost executor costs a reread only."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path

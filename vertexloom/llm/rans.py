@@ -2,9 +2,10 @@
 
 One frequency table serves all blocks. A block interleaves lanes: token t goes to lane t mod L, and each step codes one
 token of every lane in arrays. A block holds checkpoints, the lanes' states and the place in the stream every so many
-steps, from which decoding can start, and a checksum. Blocks are rows of Parquet files (shard, block, n_tokens, data):
-Spark writes and commits them, so a lost executor costs only its tasks. An index row for each document tells where its
-ids lie.
+steps, from which its sections are decoded independently, and a checksum.
+
+A corpus is a folder of two Parquet tables that Spark writes and commits: `table` (id, freq), and `blocks` (shard, block,
+n_tokens, data, docs), docs telling where in a block each document's ids lie. Nothing else is needed to read it.
 """
 
 from __future__ import annotations
@@ -15,17 +16,18 @@ import re
 import struct
 import unicodedata
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, shuffle_partitions, staged, text_slices
+from .common import discard, scratch_path, shuffle_partitions, staged, text_slices
 
 SCALE, LOW = 18, np.uint64(1 << 31)
-LANES, BLOCK, EVERY = 4096, 1 << 20, 128
+LANES, BLOCK, EVERY = 4096, 1 << 20, 64
 HEAD = struct.Struct("<4sIIIII")  # magic, tokens, lanes, words, steps between checkpoints, the table's crc32
 MAGIC = b"rAN1"
 #: Chunks of text that a worker remembers the ids of.
@@ -33,11 +35,21 @@ REMEMBERED = 500_000
 
 
 class Table:
-    """Frequencies of the ids that occur, scaled to 2^SCALE in all, none below one."""
+    """Frequencies of the ids that occur, in ascending order; they add up to 2^SCALE."""
+
+    def __init__(self, ids: np.ndarray, freq: np.ndarray):
+        self.ids, self.freq = ids.astype(np.uint32), freq.astype(np.uint64)
+        self.start = (np.cumsum(self.freq) - self.freq).astype(np.uint64)
+        self.slot = np.repeat(np.arange(len(freq), dtype=np.uint32), freq.astype(np.int64))
+        self.place = np.zeros(int(self.ids.max(initial=0)) + 1, np.uint32)
+        self.place[self.ids] = np.arange(len(self.ids))
+        self.crc = zlib.crc32(self.ids.tobytes() + self.freq.tobytes())
 
-    def __init__(self, counts: dict[int, int]):
-        self.ids = np.array(sorted(counts), np.uint32)
-        n = np.array([counts[i] for i in self.ids.tolist()], np.float64)
+    @classmethod
+    def of(cls, counts: dict[int, int]) -> Table:
+        """Counts scaled to 2^SCALE in all, none below one."""
+        ids = np.array(sorted(counts), np.uint32)
+        n = np.array([counts[i] for i in ids.tolist()], np.float64)
         total = 1 << SCALE
         if len(n) > total:
             raise ValueError("more different ids than the table has room for")
@@ -47,12 +59,7 @@ class Table:
             freq[take] -= freq[take] > 1
         if len(freq):
             freq[np.argmax(freq)] += total - int(freq.sum())
-        self.freq = freq.astype(np.uint64)
-        self.start = (np.cumsum(freq) - freq).astype(np.uint64)
-        self.slot = np.repeat(np.arange(len(freq), dtype=np.uint32), freq)
-        self.place = np.zeros(int(self.ids.max(initial=0)) + 1, np.uint32)
-        self.place[self.ids] = np.arange(len(self.ids))
-        self.crc = zlib.crc32(self.ids.tobytes() + self.freq.tobytes())
+        return cls(ids, freq)
 
     def encode(self, ids: np.ndarray, lanes: int = LANES, every: int = EVERY) -> bytes:
         n = len(ids)
@@ -81,37 +88,57 @@ class Table:
         data = HEAD.pack(MAGIC, n, lanes, written, every, self.crc) + body + stream.tobytes()
         return data + struct.pack("<I", zlib.crc32(data))
 
-    def decode(self, data: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
-        """The ids between two checkpoints, counted from 0; all by default."""
-        if zlib.crc32(data[:-4]) != struct.unpack("<I", data[-4:])[0]:
+    def decode(self, data: bytes) -> np.ndarray:
+        """All ids of a block."""
+        block = Block(self, data)
+        return np.concatenate([np.empty(0, np.uint32), *map(block.section, range(block.sections))])
+
+
+class Block:
+    """A block that is open for reading: its checksum holds, and each section is decoded from its own checkpoint."""
+
+    def __init__(self, table: Table, data: bytes):
+        if zlib.crc32(memoryview(data)[:-4]) != struct.unpack("<I", data[-4:])[0]:
             raise ValueError("a block's checksum doesn't hold")
-        magic, n, lanes, written, every, crc = HEAD.unpack_from(data)
-        if magic != MAGIC or crc != self.crc:
+        magic, self.n, self.lanes, written, self.every, crc = HEAD.unpack_from(data)
+        if magic != MAGIC or crc != table.crc:
             raise ValueError("a block of another format or table")
-        steps = -(-n // lanes)
-        width = 4 + 8 * lanes
-        stream = np.frombuffer(data, np.uint32, written, HEAD.size + width * -(-steps // every))
-        marks = -(-steps // every)
-        last = marks if last is None else min(last, marks)
-        if n == 0 or first >= last:
-            return np.empty(0, np.uint32)
-        mark = HEAD.size + width * first
-        at = struct.unpack_from("<I", data, mark)[0]
-        x = np.frombuffer(data, np.uint64, lanes, mark + 4).copy()
+        self.table, self.data = table, data
+        self.steps = -(-self.n // self.lanes)
+        self.sections = -(-self.steps // self.every)
+        self.width = 4 + 8 * self.lanes
+        self.stream = np.frombuffer(data, np.uint32, written, HEAD.size + self.width * self.sections)
+        self.last: tuple[int, np.ndarray] = (-1, np.empty(0, np.uint32))
+
+    def section(self, k: int) -> np.ndarray:
+        """The ids between checkpoint k and the next."""
+        if self.last[0] == k:
+            return self.last[1]
+        table, lanes, mark = self.table, self.lanes, HEAD.size + self.width * k
+        at = struct.unpack_from("<I", self.data, mark)[0]
+        x = np.frombuffer(self.data, np.uint64, lanes, mark + 4).copy()
         out, mask, shift, word = [], np.uint64((1 << SCALE) - 1), np.uint64(SCALE), np.uint64(32)
-        for step in range(first * every, min(last * every, steps)):
-            k = min(lanes, n - step * lanes)
-            low = x[:k] & mask
-            s = self.slot[low]
+        for step in range(k * self.every, min((k + 1) * self.every, self.steps)):
+            width = min(lanes, self.n - step * lanes)
+            low = x[:width] & mask
+            s = table.slot[low]
             out.append(s)
-            y = self.freq[s] * (x[:k] >> shift) + low - self.start[s]
+            y = table.freq[s] * (x[:width] >> shift) + low - table.start[s]
             empty = y < LOW
             m = int(np.count_nonzero(empty))
             if m:
-                y[empty] = (y[empty] << word) | stream[at : at + m]
+                y[empty] = (y[empty] << word) | self.stream[at : at + m]
                 at += m
-            x[:k] = y
-        return self.ids[np.concatenate(out)]
+            x[:width] = y
+        self.last = (k, table.ids[np.concatenate(out)])
+        return self.last[1]
+
+    def ids(self, at: int, n: int) -> np.ndarray:
+        """n ids from place `at` on; sections that have none of them aren't decoded."""
+        each = self.lanes * self.every
+        first, end = at // each, -(-(at + n) // each)
+        parts = [self.section(k)[max(0, at - k * each) : at + n - k * each] for k in range(first, end)]
+        return parts[0] if len(parts) == 1 else np.concatenate([np.empty(0, np.uint32), *parts])
 
 
 #: Where plain letters end; texts with characters beyond, or with control characters that only some count as white space,
@@ -129,7 +156,8 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        #: Texts that hold an added token's content are the library's to encode.
+        self.added = [t.content.lower() for t in self.whole.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         self.kind = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
         spec = json.loads(self.whole.to_str())
@@ -169,7 +197,7 @@ class Encoder:
         out: list = [None] * len(texts)
         words = {}
         for i, t in enumerate(texts):
-            if self.chunks and not _ODD.search(t) and not _ODD.search(low := t.lower()):
+            if self.chunks and not _ODD.search(t) and not _ODD.search(low := t.lower()) and not any(a in low for a in self.added):
                 words[i] = low.split()
         odd = [i for i in range(len(texts)) if i not in words]
         for i, e in zip(odd, self.whole.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False), strict=True):
@@ -236,12 +264,12 @@ def token_counts(tokens: DataFrame, kind: np.dtype) -> dict[int, int]:
     return {r[0]: r[1] for r in tokens.select("ids").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n")).collect()}
 
 
-def write_blocks(tokens: DataFrame, table: Table, kind: np.dtype, block: int = BLOCK, label: str = "blocks") -> DataFrame:
+def write_blocks(tokens: DataFrame, table: Table, kind: np.dtype, folder: str, block: int = BLOCK) -> None:
     """Writes the documents' ids in ascending id order: shards by ranges of ids, blocks in a shard. The rows (shard,
     block, n_tokens, data, docs): docs has the pieces of documents that the block holds (id, number in the shard,
-    ids before it in the shard, ids in all, ids here)."""
-    spark = tokens.sparkSession
-    piece = f"struct<id:{tokens.schema['id'].dataType.simpleString()},no:bigint,before:bigint,size:bigint,here:bigint>"
+    ids before it in the shard, ids in all, place in the block, ids here)."""
+    names = ("no", "before", "size", "at", "here")
+    piece = f"struct<id:{tokens.schema['id'].dataType.simpleString()},{','.join(n + ':bigint' for n in names)}>"
 
     def run(batches):
         held, pieces, size, shard, number, no, before = [], [], 0, 0, 0, 0, 0
@@ -249,7 +277,7 @@ def write_blocks(tokens: DataFrame, table: Table, kind: np.dtype, block: int = B
         def out():
             ids = np.concatenate(held)
             cols = [pa.array([shard], pa.int32()), pa.array([number], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([table.encode(ids)], pa.binary())]
-            docs = pa.array([pieces], pa.list_(pa.struct([("id", id_type), *((n, pa.int64()) for n in ("no", "before", "size", "here"))])))
+            docs = pa.array([pieces], pa.list_(pa.struct([("id", id_type), *((n, pa.int64()) for n in names)])))
             return pa.RecordBatch.from_arrays([*cols, docs], ["shard", "block", "n_tokens", "data", "docs"])
 
         for batch in batches:
@@ -259,7 +287,7 @@ def write_blocks(tokens: DataFrame, table: Table, kind: np.dtype, block: int = B
                 while at < len(ids):
                     here = min(len(ids) - at, block - size)
                     held.append(ids[at : at + here])
-                    pieces.append({"id": key, "no": no, "before": before, "size": len(ids), "here": here})
+                    pieces.append({"id": key, "no": no, "before": before, "size": len(ids), "at": size, "here": here})
                     at, size = at + here, size + here
                     if size == block:
                         yield out()
@@ -268,28 +296,33 @@ def write_blocks(tokens: DataFrame, table: Table, kind: np.dtype, block: int = B
         if size:
             yield out()
 
-    dealt = tokens.repartitionByRange(shuffle_partitions(spark), "id").sortWithinPartitions("id", "ids")
+    dealt = tokens.repartitionByRange(shuffle_partitions(tokens.sparkSession), "id").sortWithinPartitions("id", "ids")
     rows = dealt.withColumn("shard", F.spark_partition_id()).mapInArrow(run, f"shard int, block long, n_tokens long, data binary, docs array<{piece}>")
-    return staged(rows, label, codec="none")
+    rows.write.option("compression", "none").parquet(f"{folder}/blocks")
 
 
-def read_documents(blocks: DataFrame, table: Table, keep_ids: bool = False) -> DataFrame:
-    """From the files, per document: id, start, n_tokens, ids_crc32, and with keep_ids the ids' bytes."""
+def read_tokens(spark: SparkSession, folder: str, id_col: str = "doc_id", keep_ids: bool = False, wanted: Callable[[Column], Column] | None = None) -> DataFrame:
+    """From a folder alone, per document: id, start (ids of all documents before it), n_tokens, ids_crc32, and with
+    keep_ids the ids' bytes. wanted: a condition on ids; only sections that hold a wanted document's ids are decoded."""
+    found = spark.read.parquet(f"{folder}/table").orderBy("id").toPandas()  # a row for each id that occurs
+    shared = spark.sparkContext.broadcast(Table(found["id"].to_numpy(np.int64), found["freq"].to_numpy(np.int64)))
+    blocks = spark.read.parquet(f"{folder}/blocks")
     kind = blocks.schema["docs"].dataType.elementType["id"].dataType.simpleString()
+    names = ["id", "shard", "no", "before", "n_tokens", "block", "ids_crc32", "ids"]
     fields = f"id {kind}, shard int, no long, before long, n_tokens long, block long, ids_crc32 long, ids binary"
 
     def run(batches):
         for batch in batches:
-            for shard, number, data, docs in zip(*(batch.column(n).to_pylist() for n in ("shard", "block", "data", "docs")), strict=True):
-                ids, at, rows = table.decode(data).astype("<u4"), 0, []
+            id_type = batch.schema.field("docs").type.value_type.field("id").type
+            kinds = (id_type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            for k in range(batch.num_rows):
+                shard, number, data, docs = (batch.column(n)[k].as_py() for n in ("shard", "block", "data", "docs"))
+                block, rows = Block(shared.value, data), []
                 for d in docs:
-                    own = ids[at : at + d["here"]].tobytes()
-                    at += d["here"]
+                    own = block.ids(d["at"], d["here"]).astype("<u4").tobytes()
                     whole = d["here"] == d["size"]
                     rows.append((d["id"], shard, d["no"], d["before"], d["size"], number, zlib.crc32(own) if whole else None, own if keep_ids or not whole else None))
-                id_type = batch.schema.field("docs").type.value_type.field("id").type
-                kinds = (id_type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["id", "shard", "no", "before", "n_tokens", "block", "ids_crc32", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     def join(batches):
         for batch in batches:
@@ -297,7 +330,8 @@ def read_documents(blocks: DataFrame, table: Table, keep_ids: bool = False) -> D
             names = ["id", "shard", "no", "before", "n_tokens"]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array([zlib.crc32(x) for x in whole], pa.int64()), pa.array([x if keep_ids else None for x in whole], pa.binary())], [*names, "ids_crc32", "ids"])
 
-    pieces = blocks.mapInArrow(run, fields)
+    chosen = blocks if wanted is None else blocks.withColumn("docs", F.filter("docs", lambda d: wanted(d["id"]))).where("size(docs) > 0")
+    pieces = chosen.mapInArrow(run, fields)
     # Only documents that cross a block's end are put together, in block order.
     cross = (
         pieces.where("ids_crc32 is null").groupBy("shard", "no").agg(F.first("id").alias("id"), F.first("before").alias("before"), F.first("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("block", "ids"))).alias("parts"))
@@ -307,18 +341,26 @@ def read_documents(blocks: DataFrame, table: Table, keep_ids: bool = False) -> D
     docs = pieces.where("ids_crc32 is not null").drop("block").unionByName(cross)
     sizes = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n"))  # a row for each shard
     ahead = sizes.select("shard", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
-    return docs.join(F.broadcast(ahead), "shard").select("id", (F.col("ahead") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if keep_ids else []))
+    return docs.join(F.broadcast(ahead), "shard").select(F.col("id").alias(id_col), (F.col("ahead") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if keep_ids else []))
 
 
-def encode_corpus(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, keep_ids: bool = False) -> DataFrame:
-    """Tokenises, writes the block files in ascending id order and reads them back: one row per row of docs with id,
-    start (ids of all documents before it), n_tokens (with the end id) and ids_crc32.
+def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> None:
+    """Tokenises and writes a corpus into a new folder, documents in ascending id order.
 
     Null and empty texts have the end id alone. Null ids come first; rows with one id come in the order of their ids'
-    bytes. A document may span any number of blocks. Extra columns are ignored; an empty table gives an empty result."""
+    bytes. A document may span any number of blocks. Extra columns are ignored; an empty table gives an empty corpus."""
     tokens = staged(token_rows(docs, id_col, text_col, path, end_id), "tokens")
     kind = encoder(path).kind
-    table = Table(token_counts(tokens, kind))
-    blocks = write_blocks(tokens, table, kind, block)
+    table = Table.of(token_counts(tokens, kind))
+    rows = pa.table({"id": table.ids.astype(np.int64), "freq": table.freq.astype(np.int64)})
+    docs.sparkSession.createDataFrame(rows).coalesce(1).write.parquet(f"{folder}/table")
+    write_blocks(tokens, table, kind, folder, block)
     discard(tokens)
-    return read_documents(blocks, table, keep_ids).withColumnRenamed("id", id_col)
+
+
+def encode_corpus(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, keep_ids: bool = False, folder: str | None = None) -> DataFrame:
+    """write_tokens to a folder (by default one in the scratch folder), then read_tokens from it: one row per row of docs
+    with id, start, n_tokens (with the end id) and ids_crc32."""
+    folder = folder or scratch_path(docs.sparkSession, "token-files")
+    write_tokens(docs, folder, path, end_id, id_col, text_col, block)
+    return read_tokens(docs.sparkSession, folder, id_col, keep_ids)
