@@ -1,6 +1,6 @@
 import numpy as np
 
-from vertexloom.llm.decontam import budget_of, edit_distance, find_leaks, word_blocks, words_of
+from vertexloom.llm.decontam import Items, budget_of, edit_distance, find_leaks, word_blocks, words_of
 
 SCHEMA = "doc_id long, text string, item_id string"
 
@@ -66,3 +66,45 @@ def test_equals_brute_force(spark):
         assert set(got) <= set(want)
         assert len(got) >= 0.99 * len(want)
     assert find_leaks(df.limit(0), frame).count() == 0 and find_leaks(df, frame.limit(0)).count() == 0
+
+
+def test_recall_of_the_tables_alone():
+    """Passages at the very budget of a fifth: how many some table proposes, at a start within the edits."""
+    rng = np.random.default_rng(2)
+    vocab = ["the", "of", "a", "to"] * 30 + [f"v{i}" for i in range(2000)]
+    items = [rng.choice(vocab, int(n)).tolist() for n in rng.integers(8, 90, 200)]
+    ready = Items([(i, " ".join(w)) for i, w in enumerate(items)], 0.8)
+    found = 0
+    for i, w in enumerate(items):
+        part, budget = list(w), budget_of(len(w), 0.8)
+        for _ in range(budget):
+            p = int(rng.integers(0, len(part)))
+            part[p : p + 1] = [[], ["zz"], [part[p], "yy"]][rng.integers(0, 3)]
+        text = [*rng.choice(vocab, 50).tolist(), *part, *rng.choice(vocab, 50).tolist()]
+        ids = np.array([ready.ids.get(x, 0) for x in text] + [0] * 64)
+        item, place = ready.propose(ids)
+        found += bool((np.abs(place[item == i] - 50) <= budget).any())
+    assert found >= 0.97 * len(items)
+    # Unrelated text: few places are proposed, and none stands.
+    other = rng.choice(vocab, 20_000).tolist()
+    assert len(ready.propose(np.array([ready.ids.get(x, 0) for x in other] + [0] * 64))[0]) < 200_000
+    assert ready.match([other]) == [{}]
+
+
+def test_long_items_ids_of_other_kinds_and_nulls(spark):
+    import resource
+
+    rng = np.random.default_rng(3)
+    vocab = [f"v{i}" for i in range(5000)]
+    long = rng.choice(vocab, 50_000).tolist()
+    short = [rng.choice(vocab, 40).tolist() for _ in range(200)]
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    ready = Items([(0, " ".join(long)), *((k + 1, " ".join(w)) for k, w in enumerate(short))], 0.8)
+    cut = [w for k, w in enumerate(long) if k % 10]
+    assert [sorted(x) for x in ready.match([cut, short[3], short[5] + short[6]])] == [[0], [4], [6, 7]]
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400 << 10  # KB
+    docs = spark.createDataFrame([(None, " ".join(short[1]), 5), (2, None, 5), (None, " ".join(cut), 6)], "doc_id short, text string, text_key int")
+    items = spark.createDataFrame([(7, " ".join(short[1])), (None, " ".join(long)), (9, None)], "item_id int, text string")
+    got = find_leaks(docs, items)
+    assert dict(got.dtypes)["item_id"] == "int" and dict(got.dtypes)["doc_id"] == "smallint"
+    assert sorted(((r.doc_id, r.item_id, r.distance) for r in got.collect()), key=str) == [(None, 7, 0), (None, None, 5000)]

@@ -1,10 +1,11 @@
 """Benchmark decontamination by edit distance over words.
 
-Where a text shares a few words in a row with an item, a window of the item's size is laid so that they align; an item
-within the edit budget of a passage always shares such a run with it. Windows and items go through a CGK random walk:
-reading a word, the walk stays or moves on by a random bit of the word and the step, so that after an edit two walks
-soon meet again and few edits become few differing places. Tables that each sample some places of a walk of their own
-propose (window, item) pairs; the edit distance decides.
+An item is a window of its words, or, if it has more than PART, several of equal size: of a passage within the budget
+one lies within its share of the edits. Windows of the same sizes of the texts, and those of the items, go through a CGK
+random walk: reading a word, the walk stays or moves on by a random bit of the word and the step, so that after an edit
+two walks soon meet again and few edits become few differing places. Tables that each sample some places of a walk
+propose (text, item, place); a bound on the words in common and the edit distance decide. Every window of a text is
+walked but those with more words that no item has than edits are allowed.
 """
 
 from __future__ import annotations
@@ -15,15 +16,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import text_slices
 
-#: Tables, and places that each samples; with these, recall over edit distances up to a fifth of an item is above 0.99.
-TABLES, PLACES = 32, 2
+#: Walks, tables of each, and places that a table samples; with these, the tables' recall of passages at the very budget
+#: of a fifth is above 0.98. Words of an item's part at most (half the bits of a step), and the share of a walk's steps
+#: that places are sampled from: later ones lie past a window's end.
+WALKS, TABLES, PLACES, PART, DEPTH = 3, 8, 2, 32, 0.9
 #: Text bytes of the items that are matched in one pass over the documents; more items take more passes.
 ITEM_BYTES = 8 << 20
-#: Words of a text that are looked at together; blocks overlap by more than any window.
+#: Words of a text that are looked at together; blocks overlap by more than the passages.
 WORD_BLOCK = 1 << 16
+#: Bits of the filters in front of a table, and of the one of items' words.
+FILTER_BITS, BAG_BITS = 16, 22
 _WORD = re.compile(r"\w+")
 
 
@@ -35,11 +41,6 @@ def budget_of(size: int, similarity: float) -> int:
     return int((1 - similarity) * size + 1e-9)
 
 
-def run_of(size: int, budget: int) -> int:
-    """Words in a row, at most three, that survive any `budget` edits of an item."""
-    return min(3, -(-(size - budget) // (budget + 1)))
-
-
 def edit_distance(item: dict[int, int], size: int, words: list[int]) -> tuple[int, int]:
     """Least edit distance of the item to a run of `words`, and where that run ends. item: each word's places as bits.
     Bit-parallel (Myers 1999)."""
@@ -60,9 +61,9 @@ def edit_distance(item: dict[int, int], size: int, words: list[int]) -> tuple[in
 
 
 class Items:
-    """Items prepared for matching: word ids, runs, tables."""
+    """Items prepared for matching: word ids, parts by size, tables. A long item costs its own size."""
 
-    def __init__(self, rows: list[tuple], similarity: float, tables: int = TABLES, places: int = PLACES, seed: int = 11):
+    def __init__(self, rows: list[tuple], similarity: float, walks: int = WALKS, tables: int = TABLES, places: int = PLACES, seed: int = 11):
         self.rows = [(key, w) for key, w in ((k, words_of(t)) for k, t in rows) if w]
         self.ids: dict[str, int] = {}
         for _, ws in self.rows:
@@ -71,117 +72,137 @@ class Items:
         self.words = [np.array([self.ids[w] for w in ws], np.int64) for _, ws in self.rows]
         self.sizes = np.array([len(w) for w in self.words], np.int64)
         self.budgets = np.array([budget_of(int(n), similarity) for n in self.sizes], np.int64)
-        self.bits = []
-        for ws in self.words:
-            bits: dict[int, int] = {}
-            for k, w in enumerate(ws.tolist()):
-                bits[w] = bits.get(w, 0) | 1 << k
-            self.bits.append(bits)
-        self.widest = int(self.sizes.max(initial=0))
+        self.widest = int((self.sizes + self.budgets).max(initial=0))
         rng = np.random.default_rng(seed)
-        self.odd = rng.integers(0, 2**63, (tables, 2), np.uint64) * np.uint64(2) + np.uint64(1)
-        self.steps = rng.integers(0, 2**63, 2 * max(1, self.widest), np.uint64)
-        self.sample = rng.random((tables, places))
-        runs: dict[int, list] = {}
+        self.odd = rng.integers(0, 2**63, (walks, tables, places), np.uint64) * np.uint64(2) + np.uint64(1)
+        #: A bit for each word, walk and step; no word has the number 0.
+        self.coins = rng.integers(0, 2**64 - 1, (walks, len(self.ids) + 1), np.uint64, endpoint=True)
+        self.sample = rng.random((walks, tables, places))
+        self.bag = np.zeros(1 << BAG_BITS, bool)
         for i, ws in enumerate(self.words):
-            g = run_of(len(ws), int(self.budgets[i]))
-            for k in range(len(ws) - g + 1):
-                runs.setdefault(g, []).append((self._key(ws[k : k + g]), i, k))
-        self.runs = {}
-        for g, found in runs.items():
-            found.sort()
-            self.runs[g] = tuple(np.array(x, np.int64) for x in zip(*found, strict=True))
-        flat = np.full((len(self.words), self.widest + 1), -1, np.int64)
-        for k, w in enumerate(self.words):
-            flat[k, : len(w)] = w
-        keys = self.walk(flat, self.sizes)
-        flat = np.argsort(keys.ravel(), kind="stable")
-        self.keys, self.owner = keys.ravel()[flat], (flat // max(1, tables)).astype(np.int64)
+            self.bag[self._bag_slots(np.full(len(ws), i), ws)] = True
+        parts: dict[int, list[tuple[int, int, int]]] = {}
+        for i, (n, b) in enumerate(zip(self.sizes.tolist(), self.budgets.tolist(), strict=True)):
+            k = -(-n // PART)
+            size = n // k
+            parts.setdefault(size, []).extend((i, j * (n - size) // max(1, k - 1), b // k) for j in range(k))
+        self.parts = {size: self._tables(size, own) for size, own in sorted(parts.items())}
+        self.bits: dict[int, dict[int, int]] = {}
 
     @staticmethod
-    def _key(ws: np.ndarray) -> int:
-        key = 0
-        for w in ws.tolist():
-            key = key << 21 | w
-        return key
-
-    def walk(self, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """A key for each window and table: the window's size and the words at the sampled places of the table's walk.
-        flat: the windows' words, -1 from their sizes on."""
-        m, t = len(flat), len(self.odd)
-        places = (self.sample[None] * 2 * sizes[:, None, None]).astype(np.int64)
-        keys = np.repeat(sizes.astype(np.uint64)[:, None], t, 1) * self.odd[None, :, 1]
-        at, rows = np.zeros((m, t), np.int64), np.arange(m)[:, None]
-        ends = sizes[:, None]
-        for j in range(2 * int(sizes.max(initial=0))):
-            w = flat[rows, at].astype(np.uint64)
-            for p in range(places.shape[2]):
-                hit = places[:, :, p] == j
-                if hit.any():
-                    keys = np.where(hit, (keys ^ (w + np.uint64(p + 1))) * self.odd[None, :, 0], keys)
-                    keys ^= np.where(hit, keys >> np.uint64(31), np.uint64(0))
-            x = (w + self.steps[j]) * self.odd[None, :, 1]
-            x ^= x >> np.uint64(32)
-            at = np.minimum(at + ((x * self.odd[None, :, 0]) >> np.uint64(63)).astype(np.int64), ends)
-        return keys + np.arange(t, dtype=np.uint64)
+    def _bag_slots(item: np.ndarray, words: np.ndarray) -> np.ndarray:
+        h = words.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + item.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        return ((h ^ (h >> np.uint64(29))) * np.uint64(0x165667B19E3779F9) >> np.uint64(64 - BAG_BITS)).astype(np.int64)
+
+    def _tables(self, size: int, own: list[tuple[int, int, int]]):
+        """(edits allowed, and of each walk and table: the filter, sorted keys, and their parts as (item, offset))."""
+        item, offset, edits = (np.array(x, np.int64) for x in zip(*own, strict=True))
+        flat = np.concatenate([np.concatenate([self.words[i][o : o + size], [0]]) for i, o, _ in own])
+        starts = np.arange(len(own)) * (size + 1)
+        out = []
+        for keys in self.walks(flat, starts, size, starts + size):
+            good = np.flatnonzero(keys)
+            good = good[np.argsort(keys[good], kind="stable")]
+            there = np.zeros(1 << FILTER_BITS, bool)
+            there[(keys[good] >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
+            out.append((there, keys[good], item[good], offset[good]))
+        return int(edits.max()), out
+
+    def walks(self, ids: np.ndarray, starts: np.ndarray, size: int, ends: np.ndarray | None = None):
+        """For each walk and table a key of each window: the words at the sampled places, 0 if one of them has no number.
+        Walks read on past a window's end, by its size at most, or stay at `ends`."""
+        steps = np.minimum((self.sample * 2 * size * DEPTH).astype(np.int64), 2 * size - 1)
+        for coins, places, odds in zip(self.coins, steps, self.odd, strict=True):
+            toss, at, seen = coins[ids], starts.copy(), {}
+            wanted = set(places.ravel().tolist())
+            for j in range(max(wanted) + 1):
+                if j in wanted:
+                    seen[j] = ids[at].astype(np.uint64)
+                at += ((toss[at] >> np.uint64(j % 64)) & np.uint64(1)).astype(np.int64)
+                if ends is not None:
+                    np.minimum(at, ends, out=at)
+            for own, odd in zip(places.tolist(), odds, strict=True):
+                key, good = np.full(len(starts), size, np.uint64), np.ones(len(starts), bool)
+                for j, o in zip(own, odd, strict=True):
+                    good &= seen[j] > 0
+                    key = (key ^ seen[j]) * o
+                    key ^= key >> np.uint64(31)
+                yield np.where(good, key * odd[0], np.uint64(0))
+
+    def propose(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, start) that some table proposes; a start may lie before or after the passage by the edits."""
+        known = np.concatenate([[0], np.cumsum(ids > 0)])
+        items, places = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for size, (edits, tables) in self.parts.items():
+            starts = np.flatnonzero(known[size : len(ids) - PART] - known[: len(ids) - PART - size] >= size - edits)
+            for k in range(0, len(starts), 1 << 16):
+                own = starts[k : k + (1 << 16)]
+                for key, (there, keys, item, offset) in zip(self.walks(ids, own, size), tables, strict=True):
+                    at = np.flatnonzero(there[(key >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] & (key > 0))
+                    lo = np.searchsorted(keys, key[at])
+                    n = np.searchsorted(keys, key[at], side="right") - lo
+                    which = np.repeat(np.arange(len(at)), n)
+                    hit = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + lo[which]
+                    items.append(item[hit])
+                    places.append(own[at[which]] - offset[hit])
+        return np.concatenate(items), np.concatenate(places)
 
     def match(self, texts: list[list[str]]) -> list[dict[int, tuple[int, int]]]:
         """For each text's words, {item's number: (least distance, first word)}."""
         get = self.ids.get
         sizes = np.array([len(ws) + 1 for ws in texts], np.int64)
-        ends = np.cumsum(sizes) - 1  # a zero ends each text, so that no run crosses
+        ends = np.cumsum(sizes) - 1  # a zero ends each text
         starts = ends + 1 - sizes
-        ids = np.zeros(int(sizes.sum()), np.int64)
+        ids = np.zeros(int(sizes.sum()) + 2 * PART, np.int64)
         for ws, s, e in zip(texts, starts.tolist(), ends.tolist(), strict=True):
             ids[s:e] = [get(w, 0) for w in ws]
         out: list[dict[int, tuple[int, int]]] = [{} for _ in texts]
-        laid = []
-        for g, (keys, item, place) in self.runs.items():
-            if len(ids) < g:
-                continue
-            own = ids[: len(ids) - g + 1].copy()
-            known = own > 0
-            for k in range(1, g):
-                nxt = ids[k : len(ids) - g + 1 + k]
-                own = own << 21 | nxt
-                known &= nxt > 0
-            at = np.flatnonzero(known)
-            lo = np.searchsorted(keys, own[at])
-            at, lo = at[(there := keys[np.minimum(lo, len(keys) - 1)] == own[at])], lo[there]
-            n = np.searchsorted(keys, own[at], side="right") - lo
-            which = np.repeat(np.arange(len(at)), n)
-            hit = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + lo[which]
-            text = np.searchsorted(ends, at[which])
-            laid.append(np.stack([text, np.maximum(starts[text], at[which] - place[hit]), self.sizes[item[hit]]], 1))
-        if not laid or not sum(map(len, laid)):
+        item, place = self.propose(ids)
+        if not len(item):
             return out
-        spots = np.concatenate(laid)
-        spots = spots[np.unique(spots[:, 1] * (self.widest + 1) + spots[:, 2], return_index=True)[1]]
-        for k in range(0, len(spots), 2048):
-            part = spots[k : k + 2048]
-            reach = np.arange(self.widest + 1)
-            place = part[:, 1:2] + reach
-            inside = (reach < part[:, 2:]) & (place < ends[part[:, 0]][:, None])  # past a text's end the walk reads none
-            keys = self.walk(np.where(inside, ids[np.minimum(place, len(ids) - 1)], -1), part[:, 2])
-            lo = np.searchsorted(self.keys, keys)
-            w, t = np.nonzero(self.keys[np.minimum(lo, len(self.keys) - 1)] == keys)
-            first = lo[w, t]
-            n = np.searchsorted(self.keys, keys[w, t], side="right") - first
-            w = np.repeat(w, n)
-            i = self.owner[np.repeat(first, n) + np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n)]
-            pairs = np.unique(w * len(self.rows) + i)
-            for w, i in zip((pairs // len(self.rows)).tolist(), (pairs % len(self.rows)).tolist(), strict=True):
-                text, s, n = part[w].tolist()
-                if n != self.sizes[i]:
-                    continue
-                b = int(self.budgets[i])
-                first = max(int(starts[text]), s - b)
-                d, end = edit_distance(self.bits[i], n, ids[first : min(s + n + b, int(ends[text]))].tolist())
-                if d <= b:
-                    found = (d, max(0, first + end - n - int(starts[text])))
-                    out[text][i] = min(out[text].get(i, found), found)
+        text = np.searchsorted(ends, np.clip(place, 0, ends[-1]))
+        # Places of one text and item that lie within its budget of each other are one range.
+        order = np.lexsort((place, item, text))
+        item, place, text = item[order], place[order], text[order]
+        new = np.concatenate([[True], (item[1:] != item[:-1]) | (text[1:] != text[:-1]) | (place[1:] - place[:-1] > self.budgets[item[1:]] + 1)])
+        first = np.flatnonzero(new)
+        last = np.concatenate([first[1:], [len(item)]]) - 1
+        low, high, item, text = place[first], place[last], item[first], text[first]
+        low = np.maximum(starts[text], low - self.budgets[item])
+        high = np.minimum(ends[text], high + self.sizes[item] + self.budgets[item])
+        fits = self._share_words(ids, low, high, item) >= self.sizes[item] - self.budgets[item]
+        for t, i, lo, hi in zip(*(x[fits].tolist() for x in (text, item, low, high)), strict=True):
+            n, b = int(self.sizes[i]), int(self.budgets[i])
+            d, end = edit_distance(self._bits(i), n, ids[lo:hi].tolist())
+            if d <= b:
+                found = (d, max(0, lo + end - n - int(starts[t])))
+                out[t][i] = min(out[t].get(i, found), found)
         return out
 
+    def _share_words(self, ids: np.ndarray, low: np.ndarray, high: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """At least as many words of each range as the item has, too."""
+        out = np.zeros(len(low), np.int64)
+        width = np.maximum(high - low, 0)
+        cut = np.cumsum(width)
+        at = 0
+        while at < len(low):
+            end = max(at + 1, int(np.searchsorted(cut, (cut[at - 1] if at else 0) + (1 << 20), side="right")))
+            n = width[at:end]
+            which = np.repeat(np.arange(at, end), n)
+            words = ids[np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + low[which]]
+            out[at:end] = np.bincount(which[self.bag[self._bag_slots(item[which], words)] & (words > 0)] - at, minlength=end - at)
+            at = end
+        return out
+
+    def _bits(self, i: int) -> dict[int, int]:
+        """Each word's places in an item as bits."""
+        if i not in self.bits:
+            own: dict[int, int] = {}
+            for k, w in enumerate(self.words[i].tolist()):
+                own[w] = own.get(w, 0) | 1 << k
+            self.bits[i] = own
+        return self.bits[i]
+
 
 def word_blocks(text: str, overlap: int, block: int = WORD_BLOCK):
     """(number of the first word, words): a long text's words in blocks that overlap."""
@@ -211,12 +232,14 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     size = wanted.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = -(-size // item_bytes) or 1
 
+    item_kind = to_arrow_type(items.schema[item_col].dataType)
+
     def one(known: list[tuple]):
         shared = docs.sparkSession.sparkContext.broadcast(known)  # at most about item_bytes of text
 
         def run(batches):
             ready = Items(shared.value, similarity)
-            overlap = 2 * ready.widest + 2
+            overlap = 2 * ready.widest + PART + 2
             names = ["id", "text_key", "item", "distance", "similarity", "first_word"]
             for batch in batches:
                 for part in text_slices(batch, "text"):
@@ -230,7 +253,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
                         where, item, d, s, at = zip(*out, strict=True)
                         where = pa.array(where, pa.int64())
                         yield pa.RecordBatch.from_arrays(
-                            [part.column("id").take(where), part.column("text_key").take(where), pa.array(item, pa.int64() if item_type == "bigint" else None), pa.array(d, pa.int32()), pa.array(s, pa.float64()), pa.array(at, pa.int64())], names
+                            [part.column("id").take(where), part.column("text_key").take(where), pa.array(item, item_kind), pa.array(d, pa.int32()), pa.array(s, pa.float64()), pa.array(at, pa.int64())], names
                         )
 
         return rows.mapInArrow(run, f"id {id_type}, text_key long, item {item_type}, distance int, similarity double, first_word long")
