@@ -71,9 +71,9 @@ class Automaton:
         return n
 
 
-@functools.cache
-def from_byte_vocabulary(path: str) -> Automaton:
-    """Pieces from a byte-level BPE vocabulary: those with a leading space begin words, the others follow."""
+def vocabulary(path: str) -> tuple[set[bytes], set[bytes]]:
+    """From a byte-level BPE vocabulary the pieces that begin words, those with a leading space, and those that follow, the
+    others. Pieces of white space, and those that aren't whole UTF-8 characters, are in neither."""
     from tokenizers import Tokenizer, decoders
 
     tokens = json.loads(Tokenizer.from_file(path).to_str())["model"]["vocab"]
@@ -82,12 +82,18 @@ def from_byte_vocabulary(path: str) -> Automaton:
     raw = {t: level.decode([t]).encode() for t in tokens}
     sound = {t: b for t, b in raw.items() if "�" not in b.decode()}
     initial = {b[1:] for t, b in sound.items() if t[0] == space and len(b) > 1 and not b[1:].isspace()}
-    return Automaton(initial, {b for t, b in sound.items() if t[0] != space and not b.isspace()})
+    return initial, {b for t, b in sound.items() if t[0] != space and not b.isspace()}
+
+
+@functools.cache
+def from_byte_vocabulary(path: str) -> Automaton:
+    return Automaton(*vocabulary(path))
 
 
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, n_words (runs of letters, digits and underscores, and each other visible character),
-    n_tokens (their pieces in all).
+    n_tokens (their pieces in all). A word that greedy matching can't cut, as one with characters that no whole piece has,
+    counts one, the unknown piece.
 
     Null and empty texts have none. Repeated rows and null ids stay; extra columns are ignored; an empty table gives an
     empty result."""
