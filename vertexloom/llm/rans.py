@@ -197,8 +197,10 @@ class Encoder:
         out: list = [None] * len(texts)
         words = {}
         for i, t in enumerate(texts):
-            if self.chunks and not _ODD.search(t) and not _ODD.search(low := t.lower()) and not any(a in low for a in self.added):
-                words[i] = low.split()
+            if self.chunks and not _ODD.search(t):
+                low = t.lower()
+                if (t.isascii() or not _ODD.search(low)) and not any(a in low for a in self.added):
+                    words[i] = low.split()
         odd = [i for i in range(len(texts)) if i not in words]
         for i, e in zip(odd, self.whole.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False), strict=True):
             out[i] = np.array(e.ids, self.kind).tobytes()
@@ -330,15 +332,17 @@ def read_tokens(spark: SparkSession, folder: str, id_col: str = "doc_id", keep_i
             names = ["id", "shard", "no", "before", "n_tokens"]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array([zlib.crc32(x) for x in whole], pa.int64()), pa.array([x if keep_ids else None for x in whole], pa.binary())], [*names, "ids_crc32", "ids"])
 
-    chosen = blocks if wanted is None else blocks.withColumn("docs", F.filter("docs", lambda d: wanted(d["id"]))).where("size(docs) > 0")
-    pieces = chosen.mapInArrow(run, fields)
+    def pieces(pick: Callable[[Column], Column]) -> DataFrame:
+        own = F.filter("docs", pick if wanted is None else lambda d: pick(d) & wanted(d["id"]))
+        return blocks.withColumn("docs", own).where("size(docs) > 0").mapInArrow(run, fields)
+
     # Only documents that cross a block's end are put together, in block order.
     cross = (
-        pieces.where("ids_crc32 is null").groupBy("shard", "no").agg(F.first("id").alias("id"), F.first("before").alias("before"), F.first("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("block", "ids"))).alias("parts"))
+        pieces(lambda d: d["here"] < d["size"]).groupBy("shard", "no").agg(F.first("id").alias("id"), F.first("before").alias("before"), F.first("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("block", "ids"))).alias("parts"))
         .select("id", "shard", "no", "before", "n_tokens", "parts")
         .mapInArrow(join, fields.replace("block long, ", ""))
     )
-    docs = pieces.where("ids_crc32 is not null").drop("block").unionByName(cross)
+    docs = pieces(lambda d: d["here"] == d["size"]).drop("block").unionByName(cross)
     sizes = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n"))  # a row for each shard
     ahead = sizes.select("shard", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
     return docs.join(F.broadcast(ahead), "shard").select(F.col("id").alias(id_col), (F.col("ahead") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if keep_ids else []))
