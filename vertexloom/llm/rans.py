@@ -233,37 +233,43 @@ def encoder(path: str) -> Encoder:
 
 
 def token_rows(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int) -> DataFrame:
-    """(id, ids): each text's token ids, as the encoder packs them, with the end id."""
+    """(id, ids, counts): each text's token ids, as the encoder packs them, with the end id; and of each task a row that
+    has only the packed (token, how often) of its texts."""
 
     def run(batches):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         e, end = encoder(path), np.array([end_id], encoder(path).kind).tobytes()
+        total, id_type = np.zeros(0, np.int64), None
         for batch in batches:
+            id_type = batch.schema.field("id").type
             for part in text_slices(batch, "text"):
-                found = e.encode(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([x + end for x in found], pa.binary())], ["id", "ids"])
+                found = [x + end for x in e.encode(part.column("text").to_pylist())]
+                own = np.bincount(np.frombuffer(b"".join(found), e.kind), minlength=len(total))
+                own[: len(total)] += total
+                total = own
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(found, pa.binary()), pa.nulls(part.num_rows, pa.binary())], ["id", "ids", "counts"])
+        hit = np.flatnonzero(total)
+        if len(hit):
+            pairs = np.stack([hit, total[hit]], 1).astype("<i8").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.nulls(1, pa.binary()), pa.array([pairs], pa.binary())], ["id", "ids", "counts"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, f"id {kind}, ids binary")
+    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, f"id {kind}, ids binary, counts binary")
 
 
-def token_counts(tokens: DataFrame, kind: np.dtype) -> dict[int, int]:
+def token_counts(tokens: DataFrame) -> dict[int, int]:
     """How often each id occurs; at most as many rows as the vocabulary has reach the driver."""
 
     def run(batches):
-        total = np.zeros(0, np.int64)
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                ids = np.frombuffer(b"".join(x or b"" for x in batch.column("ids").slice(k, 512).to_pylist()), kind)
-                own = np.bincount(ids, minlength=len(total))
-                own[: len(total)] += total
-                total = own
-        hit = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(total[hit])], ["token", "n"])
+            for x in batch.column("counts").to_pylist():
+                pairs = np.frombuffer(x, "<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["token", "n"])
 
-    return {r[0]: r[1] for r in tokens.select("ids").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n")).collect()}
+    rows = tokens.where("counts is not null").select("counts").mapInArrow(run, "token long, n long")
+    return {r[0]: r[1] for r in rows.groupBy("token").agg(F.sum("n")).collect()}
 
 
 def write_blocks(tokens: DataFrame, table: Table, kind: np.dtype, folder: str, block: int = BLOCK) -> None:
@@ -286,6 +292,9 @@ def write_blocks(tokens: DataFrame, table: Table, kind: np.dtype, folder: str, b
             id_type = batch.schema.field("id").type
             for key, blob, own in zip(*(batch.column(n).to_pylist() for n in ("id", "ids", "shard")), strict=True):
                 ids, at, shard = np.frombuffer(blob, kind), 0, own
+                if size and size + len(ids) > block >= len(ids):  # what fits into one block isn't cut
+                    yield out()
+                    held, pieces, size, number = [], [], 0, number + 1
                 while at < len(ids):
                     here = min(len(ids) - at, block - size)
                     held.append(ids[at : at + here])
@@ -352,13 +361,13 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int, id_col: s
     """Tokenises and writes a corpus into a new folder, documents in ascending id order.
 
     Null and empty texts have the end id alone. Null ids come first; rows with one id come in the order of their ids'
-    bytes. A document may span any number of blocks. Extra columns are ignored; an empty table gives an empty corpus."""
+    bytes. A document of more ids than a block has spans several; others lie in one. Extra columns are ignored; an empty table gives an empty corpus."""
     tokens = staged(token_rows(docs, id_col, text_col, path, end_id), "tokens")
     kind = encoder(path).kind
-    table = Table.of(token_counts(tokens, kind))
+    table = Table.of(token_counts(tokens))
     rows = pa.table({"id": table.ids.astype(np.int64), "freq": table.freq.astype(np.int64)})
     docs.sparkSession.createDataFrame(rows).coalesce(1).write.parquet(f"{folder}/table")
-    write_blocks(tokens, table, kind, folder, block)
+    write_blocks(tokens.where("ids is not null").select("id", "ids"), table, kind, folder, block)
     discard(tokens)
 
 
