@@ -63,6 +63,49 @@ def test_dedup_equals_brute_force(spark):
     assert got == brute(rows)
 
 
+def test_hot_passages_are_dealt_out(spark, monkeypatch):
+    """Passages that most texts have, whole, cut off or after one another; groups of at most a few suffixes."""
+    from vertexloom.llm import suffixes
+
+    rng = np.random.default_rng(7)
+    word = lambda: "".join(rng.choice(list("abcdeé"), rng.integers(2, 6)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    shared = [prose(n) for n in (50, 70, 140)]
+    rows = []
+    for i in range(90):
+        s = shared[int(rng.integers(0, 3))]
+        cut = int(rng.integers(0, len(s) // 2)) if i % 4 == 0 else 0
+        rows.append((i, prose(int(rng.integers(0, 30))) + s[cut:] + ("" if i % 5 else s[: len(s) // 2]) + prose(int(rng.integers(0, 30)))))
+    rows += [(500, rows[3][1]), (501, rows[3][1] + "!"), (502, "ab" * 900)]
+    df = spark.createDataFrame([(d, t, 0) for d, t in rows], SCHEMA).repartition(4)
+    want = brute(rows)
+    seen, deal = [], suffixes.deal_hot
+    monkeypatch.setattr(suffixes, "deal_hot", lambda *a: seen.append(deal(*a)) or seen[-1])
+    for hot in (6, 20):
+        monkeypatch.setattr(suffixes, "HOT", hot)
+        got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup(df).collect())
+        assert got == want
+        rest = seen[-1][1].groupBy("key").count()
+        assert 0 < rest.agg({"count": "max"}).first()[0] <= hot
+
+
+def test_equal_hashes_are_not_enough():
+    """Windows that share their right part and a hash of the left one, but not its bytes."""
+    from vertexloom.llm import suffixes
+
+    left = [b"abc" * 40, b"abd" * 40, b"abc" * 40]
+    args = np.array([0, 150, 150]), np.array([150] * 3), left, np.array([60] * 3), np.array([50] * 3), 200
+    who, off = suffixes.repeated_windows(*args)
+    assert set(zip(who.tolist(), off.tolist(), strict=True)) == {(i, o) for i in (0, 2) for o in range(50, 61)}
+    odd = suffixes._ODD.copy()
+    suffixes._ODD[3] = 0  # every left part has one hash
+    try:
+        who, off = suffixes.repeated_windows(*args)
+    finally:
+        suffixes._ODD[:] = odd
+    assert 1 not in who
+
+
 def test_long_text_is_cut_into_pieces(spark, monkeypatch):
     from vertexloom.llm import suffixes
 

@@ -4,13 +4,18 @@ Every window of `length` bytes is held by one anchor: the place in it whose k-by
 Equal windows have their anchors at the same offset, so only suffixes that start at anchors need to be sorted (about
 one in 85), and only those whose k bytes start an anchor elsewhere, too. Each task sorts its suffixes into runs, one
 for each range of anchor hashes, and front-codes them; a loser tree that carries the common prefixes merges the runs of
-a range. The common prefixes of neighbours in the merged order, with hashes of what stands left of the anchors, tell
-which windows occur more than once.
+a range. The common prefixes of neighbours in the merged order, with what stands left of the anchors, tell which windows
+occur more than once.
+
+Suffixes of an anchor that very many texts have would all meet in one range. They are dealt by more of what their windows
+hold: for a span of the windows' offsets, the bytes that all of them cover. Where that still brings too many different
+suffixes together, the span is halved. Suffixes with the same surroundings count as one that is there twice.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +33,8 @@ GRAM = 32
 PIECE = 1 << 20
 #: Suffixes in a task's runs, and in one range of hashes on average.
 RUN_SIZE, RANGE_SIZE = 1 << 16, 1 << 15
+#: Suffixes of one anchor beyond which they are dealt by more than the anchor, and that any finer group may have.
+HOT = 1 << 10
 #: Of a run's suffix: text key, anchor, largest and smallest offset of a window, bytes kept right and left.
 ENTRY = np.dtype([("k1", "<i8"), ("k2", "<i8"), ("at", "<i8"), ("far", "<u2"), ("near", "<u2"), ("right", "<u2"), ("left", "<u2"), ("lcp", "<u2"), ("lcs", "<u2")])
 
@@ -243,6 +250,26 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]):
             node //= 2
 
 
+RUNS = "range int, entries binary, rights binary, lefts binary"
+
+
+def packed_runs(held: dict[int, list]):
+    """Sorts and front-codes each range's (right, left, k1, k2, anchor, largest and smallest offset), and empties held."""
+    rows = []
+    for where, entries in held.items():
+        entries.sort(key=lambda e: e[0])
+        table = np.zeros(len(entries), ENTRY)
+        for name, col in zip(("k1", "k2", "at", "far", "near"), zip(*(e[2:] for e in entries), strict=True), strict=True):
+            table[name] = col
+        table["lcp"], rights = front_code([e[0] for e in entries])
+        table["lcs"], lefts = front_code([e[1] for e in entries])
+        table["right"], table["left"] = [len(e[0]) for e in entries], [len(e[1]) for e in entries]
+        rows.append((where, table.tobytes(), rights, lefts))
+    held.clear()
+    for k in range(0, len(rows), 256):
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[k : k + 256], strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["range", "entries", "rights", "lefts"])
+
+
 def suffix_runs(candidates: DataFrame, length: int, ranges: int) -> DataFrame:
     """candidates (k1, k2, z, places) to front-coded runs: (range, entries, rights, lefts)."""
 
@@ -251,21 +278,6 @@ def suffix_runs(candidates: DataFrame, length: int, ranges: int) -> DataFrame:
         n = 0
         unpack = zstandard.ZstdDecompressor()
 
-        def out():
-            rows = []
-            for where, entries in held.items():
-                entries.sort(key=lambda e: e[0])
-                table = np.zeros(len(entries), ENTRY)
-                for name, col in zip(("k1", "k2", "at", "far", "near"), zip(*(e[2:] for e in entries), strict=True), strict=True):
-                    table[name] = col
-                table["lcp"], rights = front_code([e[0] for e in entries])
-                table["lcs"], lefts = front_code([e[1] for e in entries])
-                table["right"], table["left"] = [len(e[0]) for e in entries], [len(e[1]) for e in entries]
-                rows.append((where, table.tobytes(), rights, lefts))
-            held.clear()
-            for k in range(0, len(rows), 256):
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[k : k + 256], strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["range", "entries", "rights", "lefts"])
-
         for batch in batches:
             for part in text_slices(batch, "z", 1 << 19):
                 texts = [unpack.decompress(z) if z else b"" for z in part.column("z").to_pylist()]
@@ -280,15 +292,84 @@ def suffix_runs(candidates: DataFrame, length: int, ranges: int) -> DataFrame:
                         held.setdefault(r, []).append((text[a : j + length], text[i:a][::-1], *keys[d], a, a - i, a - j))
                         n += 1
                 if n >= RUN_SIZE:
-                    yield from out()
+                    yield from packed_runs(held)
                     n = 0
-        yield from out()
+        yield from packed_runs(held)
+
+    return candidates.mapInArrow(run, RUNS)
 
-    return candidates.mapInArrow(run, "range int, entries binary, rights binary, lefts binary")
+
+def hot_suffixes(candidates: DataFrame, length: int) -> DataFrame:
+    """candidates (k1, k2, z, hot_places) to (h, k1, k2, at, lo, hi, left, right): the suffixes of hot anchors, with the
+    smallest and largest offset of their windows, the bytes to the left in reverse."""
+
+    def run(batches):
+        unpack = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for part in text_slices(batch, "z", 1 << 19):
+                texts = [unpack.decompress(z) if z else b"" for z in part.column("z").to_pylist()]
+                keys = np.stack([part.column(c).to_numpy() for c in ("k1", "k2")], 1).tolist()
+                wanted = [set(p) for p in part.column("hot_places").to_pylist()]
+                own, at, first, last, h = anchors(texts, length)
+                rows = [(g, *keys[d], a, a - j, a - i, texts[d][i:a][::-1], texts[d][a : j + length]) for d, a, i, j, g in zip(own.tolist(), at.tolist(), first.tolist(), last.tolist(), h.view(np.int64).tolist(), strict=True) if a in wanted[d]]
+                if rows:
+                    kinds = [pa.int64()] * 6 + [pa.binary()] * 2
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["h", "k1", "k2", "at", "lo", "hi", "left", "right"])
+
+    return candidates.mapInArrow(run, "h long, k1 long, k2 long, at long, lo long, hi long, left binary, right binary")
+
+
+def deal_hot(suffixes: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """(spans, rest): spans (k1, k2, lo, hi) of windows of suffixes whose surroundings others have, too; rest (key, k1, k2,
+    at, lo, hi, left, right): of different surroundings one suffix, in groups of at most HOT that share what all windows
+    of a span of offsets cover. Windows that are equal share it, and so stay together."""
+    columns = ["key", "a", "b", "k1", "k2", "at", "lo", "hi", "left", "right"]
+    now = suffixes.select(F.col("h").alias("key"), F.lit(0).cast("long").alias("a"), F.lit(length - GRAM).cast("long").alias("b"), *columns[3:])
+    spans, rest = [], []
+    while True:
+        own = now.withColumns({"lo": F.greatest("lo", "a"), "hi": F.least("hi", "b")}).where("lo <= hi")
+        own = own.withColumns({"left": F.substring("left", F.lit(1), F.col("hi").cast("int")), "right": F.substring("right", F.lit(1), (F.lit(length) - F.col("lo")).cast("int"))})
+        own = staged(own.withColumn("content", F.unhex(F.md5(F.concat("left", "right")))), "hot")
+        same = ["key", "lo", "hi", "content"]
+        kinds = staged(own.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "at")).alias("one"), *(F.first(c).alias(c) for c in ("a", "b", "left", "right"))), "hot-kinds")
+        again = own.join(kinds.where("n > 1").select(*same), same)
+        spans.append(again.select("k1", "k2", (F.col("at") - F.col("hi")).alias("lo"), (F.col("at") - F.col("lo") + length).alias("hi")))
+        many = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+        judged = kinds.join(many, "key").select("key", "a", "b", "one.*", "lo", "hi", "left", "right", "kinds")
+        rest.append(judged.where(F.col("kinds") <= HOT).drop("a", "b", "kinds"))
+        hot = judged.where(F.col("kinds") > HOT)
+        if hot.isEmpty():
+            break
+        half = F.floor((F.col("a") + F.col("b")) / 2)
+        halves = F.explode(F.array(F.struct(F.col("a").alias("x"), half.alias("y")), F.struct((half + 1).alias("x"), F.col("b").alias("y")))).alias("part")
+        parts = hot.select("*", halves).where("lo <= part.y and hi >= part.x")
+        inside = F.xxhash64(F.substring("left", F.lit(1), F.col("part.x").cast("int")), F.substring("right", F.lit(1), (F.lit(length) - F.col("part.y")).cast("int")), "part.x")
+        now = parts.select(inside.alias("key"), F.col("part.x").alias("a"), F.col("part.y").alias("b"), *columns[3:])
+    return reduce(DataFrame.unionByName, spans), reduce(DataFrame.unionByName, rest)
+
+
+def dealt_runs(rest: DataFrame, ranges: int) -> DataFrame:
+    """Suffixes (key, k1, k2, at, lo, hi, left, right) to front-coded runs, ranges by the key."""
+
+    def run(batches):
+        held: dict[int, list] = {}
+        n = 0
+        for batch in batches:
+            for part in text_slices(batch, "right", 1 << 22):
+                for where, *entry in zip(*(part.column(c).to_pylist() for c in ("range", "right", "left", "k1", "k2", "at", "hi", "lo")), strict=True):
+                    held.setdefault(where, []).append(tuple(entry))
+                n += part.num_rows
+                if n >= RUN_SIZE:
+                    yield from packed_runs(held)
+                    n = 0
+        yield from packed_runs(held)
+
+    return rest.withColumn("range", F.pmod(F.xxhash64("key"), F.lit(ranges)).cast("int")).mapInArrow(run, RUNS)
 
 
 def repeated_windows(lcp: np.ndarray, rights: np.ndarray, lefts: list[bytes], far: np.ndarray, near: np.ndarray, length: int):
-    """For suffixes in sorted order: (suffix, offset) of each window that some other window equals."""
+    """For suffixes in sorted order: (suffix, offset) of each window that some other window equals. Hashes bring windows
+    together; their bytes are compared."""
     who, off = [], []
     hashes = np.zeros(len(lefts), np.uint64)  # of the last o bytes before the anchor
     sizes = np.array([len(x) for x in lefts])
@@ -309,7 +390,11 @@ def repeated_windows(lcp: np.ndarray, rights: np.ndarray, lefts: list[bytes], fa
         s = same[order]
         eq = s[1:] == s[:-1]
         hit = np.zeros(len(ok), bool)
-        hit[order[1:][eq]] = hit[order[:-1][eq]] = True
+        a, b = order[1:][eq], order[:-1][eq]
+        for k in range(0, len(a), 1 << 12):
+            x, y = a[k : k + (1 << 12)], b[k : k + (1 << 12)]
+            true = (flat[ok[x], :o] == flat[ok[y], :o]).all(1)
+            hit[x[true]] = hit[y[true]] = True
         who.append(ok[hit])
         off.append(np.full(int(hit.sum()), o))
     return (np.concatenate(who), np.concatenate(off)) if who else (np.empty(0, np.int64), np.empty(0, np.int64))
@@ -367,24 +452,24 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     # Written out, so that the join shuffles both sides and Spark can split a hash that very many texts share.
     twice = staged(
         rows.groupBy("h")
-        .agg(*(f(c).alias(f"{n}_{c}") for c in ("k1", "at") for n, f in (("min", F.min), ("max", F.max))))
+        .agg(F.count(F.lit(1)).alias("n"), *(f(c).alias(f"{n}_{c}") for c in ("k1", "at") for n, f in (("min", F.min), ("max", F.max))))
         .where("min_k1 <> max_k1 or min_at <> max_at")
-        .select("h"),
+        .select("h", (F.col("n") > HOT).alias("hot")),
         "twice",
     )
-    places = rows.join(twice, "h").groupBy("k1").agg(F.collect_set("at").alias("places"))
+    places = rows.join(twice, "h").groupBy("k1").agg(F.collect_set(F.when(~F.col("hot"), F.col("at"))).alias("places"), F.collect_set(F.when(F.col("hot"), F.col("at"))).alias("hot_places"))
     texts = packed(docs).repartition("k1").dropDuplicates(["k1", "k2"])  # one shuffle serves both the copies and the join
     candidates = staged(texts.join(places, "k1"), "candidates")
     discard(rows, twice)
-    total = candidates.agg(F.sum(F.size("places"))).first()[0] or 0
-    ranges = max(shuffle_partitions(spark), -(-total // RANGE_SIZE))
-    found = (
-        suffix_runs(candidates, length, ranges)
-        .groupBy("range")
-        .applyInArrow(lambda t: merge_range(t, length), "k1 long, k2 long, lo long, hi long")
-        .groupBy("k1", "k2")
-        .agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    )
+    total, hot = candidates.agg(F.sum(F.size("places")), F.sum(F.size("hot_places"))).first()
+    ranges = max(shuffle_partitions(spark), -(-(total or 0) // RANGE_SIZE))
+    merged = lambda runs: runs.groupBy("range").applyInArrow(lambda t: merge_range(t, length), "k1 long, k2 long, lo long, hi long")
+    found = merged(suffix_runs(candidates.where("size(places) > 0"), length, ranges))
+    if hot:
+        spans, rest = deal_hot(hot_suffixes(candidates.where("size(hot_places) > 0"), length), length)
+        again = max(shuffle_partitions(spark), -(-hot // RANGE_SIZE))
+        found = found.unionByName(merged(dealt_runs(rest, again))).unionByName(spans)
+    found = found.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     return candidates.select("k1", "k2", "z").join(found, ["k1", "k2"])
 
 
