@@ -70,13 +70,6 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def stitch(left: list[int], right: list[int], start: int, end: int) -> int | None:
-    """The first boundary that both windows have; start: of the right window, end: of the left one. A boundary near the
-    left window's end isn't trusted, as what follows may change it."""
-    both = set(left).intersection(right)
-    return min((p for p in both if start < p <= end - MARGIN), default=None)
-
-
 def encode_texts(docs: DataFrame, id_col: str, text_col: str, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP, keep_ids: bool = False) -> DataFrame:
     """One row per row of docs: id, n_tokens, ids_sha256 (decimal ids, comma-joined), decoded_sha256 (bytes decoded from
     the ids), and with keep_ids the ids.
