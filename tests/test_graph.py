@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from vertexloom.functions import reasoning, scalar, vectors
 from vertexloom.operators import algorithms, paths, procedures, writes
-from vertexloom.plans.graph import ConstraintViolation, Graph, GraphError, ReadOnly, SemanticError
-from vertexloom.plans.match import both, having, into, match, node, optional, out, prop, value_of
+from vertexloom.plans.graph import ConstraintViolation, Graph, GraphError, NotFound, ReadOnly, Rels, SemanticError, TransactionError
+from vertexloom.plans.match import both, having, into, match, node, optional, out, prop, returned, value_of
 from vertexloom.sources.dump import dump_lines, export_dump, import_dump
 from vertexloom.sources.tables import load, save
 
@@ -89,10 +89,93 @@ def test_variable_length_equals_search(spark):
                 dist.setdefault(d, k)
     got = paths.shortest_paths(spark.createDataFrame(edges, "id long, src long, dst long"), spark.createDataFrame([(1,)], "id long"))
     assert {r.target: r.hops for r in got.collect()} == dist
-    with pytest.raises(SemanticError):
-        h = g.add_nodes("M", spark.createDataFrame([(1,)], "id long"))
-        h, _ = writes.create_rels(h, "E", "N", "M", spark.createDataFrame([(1, 1)], "src long, dst long"))
-        match(h, node("a", "N"), out("E", hops=(1, 2)), node("b"))
+
+
+def test_variable_length_across_labels(spark):
+    nodes = spark.createDataFrame([(1,), (2,), (3,)], "id long")
+    g = Graph.of(spark, {"N": nodes, "M": nodes}, {"E": ("N", "M", spark.createDataFrame([(1, 1, 1), (2, 1, 2)], "id long, src long, dst long"))})
+    g, _ = writes.create_rels(g, "E", "M", "N", spark.createDataFrame([(1, 2), (2, 1), (3, 3)], "src long, dst long"))
+    n, m = 1 << 40, 2 << 40
+    want = [("M", 1, [n + 1, m + 1]), ("M", 2, [n + 1, m + 2]), ("N", 2, [n + 1, m + 1, n + 2])]  # 2 leads back to the start
+    for hops in ((1, 5), (1, None)):
+        got = match(g, node("a", "N"), out("E", hops=hops, path="p"), node("b", fetch=False))
+        assert rows(got.where("a__id = 1").select("b__label", "b__id", "p__nodes")) == rows_of(want)
+        got = match(g, node("a", "N"), out("E", hops=hops, path="p"), node("b", "M"))
+        assert rows(got.where("a__id = 1").select("b__label", "b__id", "p__nodes")) == rows_of(want[:2])
+    assert match(g, node("a", "N"), both("E", hops=(2, 2)), node("b", "N", fetch=False)).where("a__id = 1").count() == 1
+
+
+def rows_of(items):
+    return sorted(items, key=str)
+
+
+def test_identity_of_relationships(spark, tmp_path):
+    """Ids are those of a type between two labels; files and keys don't share them."""
+    from vertexloom.sources.tables import with_row_ids
+
+    frame = spark.createDataFrame([(k, k) for k in range(40)], "a long, b long").repartition(4)
+    frame.write.parquet(f"{tmp_path}/t")
+    got = with_row_ids(spark.read.parquet(f"{tmp_path}/t"))
+    assert got.columns == ["a", "b", "id"] and got.select("id").distinct().count() == 40
+    people = spark.createDataFrame([(1, None), (2, 1), (3, 1)], "id long, boss long")
+    g = Graph.of(spark, {"P": people, "Q": spark.createDataFrame([(1,)], "id long")}).add_rels(Rels("BOSS", "P", "P", key="boss"))
+    g, _ = writes.create_rels(g, "BOSS", "Q", "P", spark.createDataFrame([(1, 2)], "src long, dst long"))
+    found = match(g, node("a"), out("BOSS", "r"), node("b"))
+    assert rows(found.select("r__ends", "r__id")) == [("P>P", 2), ("P>P", 3), ("Q>P", 4)]
+    h, stats = writes.delete_nodes(g, "P", spark.createDataFrame([(1,), (2,)], "id long"), detach=True)
+    assert (stats.nodes_deleted, stats.relationships_deleted) == (2, 3)
+    assert match(h, node("a"), out("BOSS"), node("b", fetch=False)).count() == 0 and rows(h.nodes["P"].df) == [(3, None)]
+    h, stats = writes.set_rel_property(g, "BOSS", "P", "P", "since", spark.createDataFrame([(2, 1999)], "id long, value int"))
+    assert rows(match(h, node("a", "P"), out("BOSS", "r"), node("b", "P")).select("r__id", "r__since")) == [(2, 1999), (3, None)] and stats.properties_set == 1
+    h, _ = writes.remove_rel_property(h, "BOSS", "P", "P", "since", spark.createDataFrame([(2,)], "id long"))
+    assert rows(h.rel_frame(h.rels["BOSS"][0]).select("id", "since")) == [(2, None), (3, None)]
+    assert g.get_relationship("BOSS", 2, src="P").count() == 1 and g.get_node("P", 9).count() == 0
+
+
+def test_kinds_of_errors(people, spark):
+    for kind, f in (
+        (NotFound, lambda: people.get_node("Nobody", 1)),
+        (NotFound, lambda: people.get_relationship("HATES", 1)),
+        (NotFound, lambda: writes.set_rel_property(people, "HATES", "Person", "Person", "x", spark.createDataFrame([(1, 1)], "id long, value int"))),
+        (SemanticError, lambda: returned(match(people, node("a", "Person")), "b.name")),
+        (TransactionError, lambda: _ended(people).commit()),
+        (TransactionError, lambda: _ended(people).apply(writes.create_index, "Person", "name")),
+    ):
+        with pytest.raises(kind):
+            f()
+    assert people.nodes_by_property("Person", "nothing", 1).count() == 0
+    big = Graph.of(spark, {"N": spark.createDataFrame([(1 << 41,)], "id long")})
+    with pytest.raises(Exception, match="too large"):
+        big.all_nodes().collect()
+    with pytest.raises(Exception, match="OVERFLOW"):
+        spark.range(1).select(F.lit(2**62) * F.lit(2)).collect()
+
+
+def _ended(graph):
+    tx = writes.Store(graph).begin()
+    tx.rollback()
+    return tx
+
+
+def test_tables_are_opened_when_asked_for(spark):
+    opened = []
+
+    def table():
+        opened.append(1)
+        return spark.createDataFrame([(1,)], "id long")
+
+    g = Graph(spark).add_nodes("A", table).add_nodes("B", spark.createDataFrame([(2,)], "id long"))
+    assert match(g, node("b", "B")).count() == 1 and not opened and g.nodes.code("A") == 1
+    assert match(g, node("a", "A")).count() == 1 and match(g, node("a", "A")).count() == 1 and len(opened) == 1
+
+
+def test_fixed_tables_are_cleared(spark):
+    from vertexloom.sources import scratch
+
+    df = scratch.fixed(spark.range(5))
+    assert df.count() == 5 and scratch.clear(spark) >= 1 and scratch.clear(spark) == 0
+    assert scratch.fixed(spark.range(1).select(F.lit(None).alias("nothing"))).count() == 1  # Parquet can't hold it
+    assert rows(scratch.numbered(spark.range(40).repartition(3), 5).select("id")) == rows(spark.range(5, 45))
 
 
 def test_writes_and_transactions(people, spark):
@@ -146,6 +229,11 @@ def test_dump_round_trip_and_saved_graphs(people, spark, tmp_path):
     again = load(spark, f"{tmp_path}/graph")
     assert again.node_count() == 3 and again.relationship_count() == 3 and again.indexes == {("Person", "age")}
     assert rows(dump_lines(again)) == rows(dump_lines(g))
+    hard = ["C:\\new\\table", "a\r\nb\n", "it's \\' \\\\n", "\\", "x, y: 'z'], [", "\u2028 line", "é😀", "'", "\\\n"]
+    text = spark.createDataFrame(list(enumerate(hard, 1)), "id long, name string").withColumn("tags", F.array("name", F.lit("]")))
+    export_dump(Graph.of(spark, {"T": text}), f"{tmp_path}/hard")
+    nodes, _ = import_dump(spark, f"{tmp_path}/hard")
+    assert {r.id - base: r.properties["name"] for r in nodes.collect()} == dict(enumerate(hard, 1))
     assert dump_lines(Graph(spark)).count() == 3
 
 
@@ -158,6 +246,7 @@ def test_scalars(spark):
     assert (value(scalar.head(items)), value(scalar.last(items)), value(scalar.tail(items))) == (1, None, [2, None])
     assert value(scalar.member(F.lit(7), items)) is False and value(scalar.member(F.lit(None).cast("int"), items)) is None
     assert value(scalar.to_boolean(F.lit("maybe"))) is None and value(scalar.int_divide(F.lit(-7), F.lit(2))) == -3
+    assert value(scalar.whole_match(F.lit("abc\n"), "abc")) is False and value(scalar.whole_match(F.lit("abc"), "a|abc")) is True
     assert value(scalar.simple_case(F.lit(None).cast("int"), [(F.lit(None).cast("int"), F.lit("null"))], F.lit("no"))) == "null"
 
 
@@ -193,6 +282,12 @@ def test_reasoning(spark):
     t = spark.range(1).select(reasoning.truth(F.lit(1.5), F.lit(-1.0)).alias("t"), reasoning.expectation(F.lit(0.8), F.lit(0.5)).alias("e"), reasoning.revision(F.lit(1.0), F.lit(0.5), F.lit(0.0), F.lit(0.5)).alias("r")).first()
     assert (t.t.frequency, t.t.confidence, round(t.e, 9), round(t.r.frequency, 9), round(t.r.confidence, 9)) == (1.0, 0.0, 0.65, 0.5, 0.666666667)
     assert reasoning.masked(tensors, "s_sign").first()["o_mant"] == 0.0
+    assert [reasoning.active_count(m) for m in ("all", "causal", "subject", ("s_exp",))] == [9, 3, 3, 1]
+    assert rows(reasoning.resonance(tensors, state="Crystallized").select("id")) == [(1,)] and reasoning.resonance(tensors, most_sign=0.5).count() == 2
+    assert reasoning.resonance(tensors, state="Crystallized", mask="subject").count() == 0 and reasoning.resonance(tensors, direction="Aligned", mask="causal").first()["s_exp"] == 0.9
+    steps = spark.createDataFrame([(1, 2, *[0.9, 0.1, 0.5] * 3), (2, 3, *[0.2, 0.3, 0.5] * 3), (1, 3, *[0.5] * 9), (3, 1, *[0.9, 0.1, 0.5] * 3)], "src long, dst long, " + ", ".join(f"{d} double" for d in reasoning.DIMENSIONS))
+    got = {r.target: (r.hops, round(r.sign, 9), round(r.exp, 9), round(r.mant, 9)) for r in reasoning.causal_paths(steps.where("src <> 1 or dst <> 3"), spark.createDataFrame([(1,)], "id long")).collect()}
+    assert got == {2: (1, 0.9, 0.1, 0.5), 3: (2, round(0.18 + 0.08, 9), 0.4, 0.25)}
 
 
 def test_shortest_paths_do_not_end_silently(spark, monkeypatch):
@@ -244,13 +339,17 @@ def test_whole_tables_are_reasoned_over(spark):
 
     read = lambda name: spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
     pairs = {(r.l_suppkey, r.l_partkey) for r in read("lineitem").collect()}
-    for name, end in (("nars_abduction_all", 1), ("nars_induction_all", 0)):
-        assert QUERIES[name](spark, "/root/testdata/sf0.001").count() == sum(n * (n - 1) for n in Counter(p[end] for p in pairs).values())
+    squares = lambda keys: sum(n * (n - 1) for n in Counter(keys).values())
+    assert QUERIES["nars_abduction_all"](spark, "/root/testdata/sf0.001").count() == squares(p for _, p in pairs)
+    assert QUERIES["nars_abduction"](spark, "/root/testdata/sf0.001").count() == squares(r.s_nationkey for r in read("supplier").collect())
+    assert QUERIES["nars_induction"](spark, "/root/testdata/sf0.001").count() == squares(r.o_custkey for r in read("orders").collect())
+    supplies = read("lineitem").select(F.xxhash64("l_suppkey", "l_partkey").alias("id"), F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.lit(0.5).alias("frequency"), F.lit(0.5).alias("confidence")).distinct()
+    assert reasoning.induction(supplies).count() == squares(s for s, _ in pairs)
     bought = {}
     for r in read("orders").join(read("lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).collect():
         bought.setdefault(r.o_custkey, set()).add(r.l_partkey)
     want = {(a, b, round(len(bought[a] & bought[b]) / len(bought[a] | bought[b]), 9)) for a, b in combinations(sorted(bought), 2) if bought[a] & bought[b]}
-    assert {tuple(r) for r in QUERIES["jaccard_similarity_all"](spark, "/root/testdata/sf0.001").collect()} == want and len(want) > 1000
+    assert {tuple(r) for r in QUERIES["jaccard_similarity"](spark, "/root/testdata/sf0.001").collect()} == want and len(want) > 1000
 
 
 def test_algorithms_and_procedures(spark, people):
@@ -261,6 +360,13 @@ def test_algorithms_and_procedures(spark, people):
     assert rows(procedures.call(people, "db.labels")) == [("Person",)]
     with pytest.raises(SemanticError):
         procedures.call(people, "no.such")
+    procedures.register("my.count", lambda g, label: g.nodes[label].df.groupBy().count())
+    assert rows(procedures.call(people, "my.count", "Person", yields=["count"])) == [(3,)]
+    loops = spark.createDataFrame([(7, 7), (1, 2), (2, 2)], "src long, dst long")
+    assert {r.id: r.component for r in algorithms.components(loops).collect()} == {7: 7, 1: 1, 2: 1}
+    marks = spark.createDataFrame([(1, 10), (1, 11), (2, 11), (3, 10), (3, 11), (3, 12)], "src long, dst long")
+    assert rows(algorithms.overlap(marks, spark.createDataFrame([(1, 3), (2, 9)], "a long, b long"))) == [(1, 3, 1.0), (2, 9, 0.0)]
+    assert rows(algorithms.nearest_neighbours(marks, 1).select("a", "b")) == [(1, 3), (2, 1), (3, 1)]
 
 
 def test_stream_of_events(spark, tmp_path):

@@ -31,15 +31,67 @@ def most_tensioned() -> Column:
     return F.struct(least["name"].alias("name"), least["value"].alias("value"))
 
 
+#: Masks: the dimensions that each keeps.
+MASKS = {
+    "all": DIMENSIONS,
+    "causal": tuple(d for d in DIMENSIONS if d.endswith("_sign")),
+    "subject": tuple(d for d in DIMENSIONS if d.startswith("s_")),
+    "predicate": tuple(d for d in DIMENSIONS if d.startswith("p_")),
+    "object": tuple(d for d in DIMENSIONS if d.startswith("o_")),
+}
+
+
+def active_count(mask: str | tuple[str, ...]) -> int:
+    """How many dimensions a mask, by its name or its dimensions, keeps."""
+    return len(set(MASKS[mask] if isinstance(mask, str) else mask))
+
+
 def masked(df: DataFrame, *kept: str) -> DataFrame:
-    """Zero but for the named dimensions."""
-    return df.withColumns({d: F.lit(0.0) for d in DIMENSIONS if d not in kept})
+    """Zero but for the named dimensions, or those of the masks named."""
+    wanted = {d for k in kept for d in MASKS.get(k, (k,))}
+    return df.withColumns({d: F.lit(0.0) for d in DIMENSIONS if d not in wanted})
 
 
 def perspective(df: DataFrame, by: str) -> DataFrame:
-    """Per key: the mean of each dimension and how many rows are in each state."""
+    """Per key: the mean of each dimension, how many rows are in each state and in all, the state that most are in (of
+    equal ones the first in order), and the dimension whose mean is least."""
     states = ("Crystallized", "Tensioned", "Uncertain")
-    return df.groupBy(by).agg(*(F.avg(d).alias(d) for d in DIMENSIONS), *(F.count(F.when(awareness_state() == s, 1)).alias(s.lower()) for s in states))
+    counts = df.groupBy(by).agg(*(F.avg(d).alias(d) for d in DIMENSIONS), *(F.count(F.when(awareness_state() == s, 1)).alias(s.lower()) for s in states), F.count(F.lit(1)).alias("total"))
+    main = F.array_max(F.array(*(F.struct(F.col(s.lower()).alias("n"), F.lit(-k).alias("place"), F.lit(s).alias("state")) for k, s in enumerate(states))))
+    return counts.withColumn("dominant", main["state"]).withColumn("most_tensioned", most_tensioned()["name"])
+
+
+def resonance(df: DataFrame, least_sign: float | None = None, most_sign: float | None = None, state: str | None = None, direction: str | None = None, mask: str | None = None) -> DataFrame:
+    """The rows whose tensors, seen through a mask, fit every bound that is given."""
+    seen = masked(df.select("*", *(F.col(d).alias(f"_{d}") for d in DIMENSIONS)), mask) if mask else df
+    tests = [agreement("sign") >= least_sign if least_sign is not None else None, agreement("sign") <= most_sign if most_sign is not None else None, awareness_state() == state if state else None, causal_direction() == direction if direction else None]
+    for test in tests:
+        seen = seen if test is None else seen.where(test)
+    return seen.select(*(F.col(f"_{c}").alias(c) if mask and c in DIMENSIONS else F.col(c) for c in df.columns))
+
+
+def composed(tensors: Column) -> Column:
+    """Of a list of structs sign, exp, mant along a path: signs agree where an even number of steps flips (XOR of chances),
+    exponents add, mantissas degrade by each other; and the holonomy of a cycle is its sign."""
+    start = F.struct(F.lit(1.0).alias("sign"), F.lit(0.0).alias("exp"), F.lit(1.0).alias("mant"))
+    step = lambda a, x: F.struct((a["sign"] * x["sign"] + (1 - a["sign"]) * (1 - x["sign"])).alias("sign"), (a["exp"] + x["exp"]).alias("exp"), (a["mant"] * x["mant"]).alias("mant"))
+    return F.aggregate(tensors, start, step)
+
+
+def causal_paths(edges: DataFrame, sources: DataFrame, most: int | None = None) -> DataFrame:
+    """(source, target, hops, sign, exp, mant) along the shortest path from each of sources (id) over edges (src, dst and
+    the nine dimensions): each step's kinds are the means of its dimensions. Of edges with one pair of ends the first by
+    its dimensions counts."""
+    from ..operators.paths import shortest_paths
+
+    means = [agreement(k).alias(k) for k in ("sign", "exp", "mant")]
+    steps = edges.select("src", "dst", F.struct(*means).alias("step")).groupBy("src", "dst").agg(F.min("step").alias("step"))
+    paths = shortest_paths(edges, sources, most).where("hops > 0")
+    each = paths.select("source", "target", "hops", F.posexplode(F.arrays_zip(F.slice("path", F.lit(1), F.col("hops")).alias("src"), F.slice("path", F.lit(2), F.col("hops")).alias("dst"))).alias("k", "edge"))
+    held = each.select("source", "target", "hops", "k", "edge.*").join(steps, ["src", "dst"])
+    folded = held.groupBy("source", "target", "hops").agg(F.sort_array(F.collect_list(F.struct("k", "step"))).alias("steps"))  # a path's steps
+    out = composed(F.transform("steps", lambda s: s["step"]))
+    return folded.withColumn("whole", out).select("source", "target", "hops", "whole.sign", "whole.exp", "whole.mant")
 
 
 def truth(frequency: Column, confidence: Column) -> Column:

@@ -59,7 +59,7 @@ def member(value: Column, items: Column) -> Column:
 
 def whole_match(text: Column, pattern: str) -> Column:
     """The pattern has to match the whole text."""
-    return text.rlike(f"^(?:{pattern})$")
+    return text.rlike(f"\\A(?:{pattern})\\z")
 
 
 def int_divide(a: Column, b: Column) -> Column:
@@ -83,16 +83,31 @@ def simple_case(subject: Column, pairs: list[tuple[Column, Column]], otherwise:
 def keys_of(df: DataFrame, var: str) -> Column:
     """The names of a bound variable's non-null properties, in order."""
     names = sorted(c.split("__", 1)[1] for c in df.columns if c.startswith(f"{var}__"))
-    names = [n for n in names if n not in ("id", "label", "labels", "src", "dst", "type")]
+    names = [n for n in names if n not in ("id", "label", "labels", "src", "dst", "type", "ends")]
     return F.array_compact(F.array(*(F.when(F.col(f"{var}__{n}").isNotNull(), n) for n in names)))
 
 
 def properties_of(df: DataFrame, var: str) -> Column:
     names = sorted(c.split("__", 1)[1] for c in df.columns if c.startswith(f"{var}__"))
-    names = [n for n in names if n not in ("id", "label", "labels", "src", "dst", "type")]
+    names = [n for n in names if n not in ("id", "label", "labels", "src", "dst", "type", "ends")]
     return F.struct(*(F.col(f"{var}__{n}").alias(n) for n in names))
 
 
+def length(text: Column) -> Column:
+    """Characters of a string."""
+    return F.char_length(text)
+
+
+def add(a: Column, b: Column, kind: T.DataType) -> Column:
+    """+ by kind: strings and lists are put together, numbers summed."""
+    return F.concat(a, b) if isinstance(kind, (T.StringType, T.ArrayType)) else a + b
+
+
+def unwind(value: Column, kind: T.DataType) -> Column:
+    """UNWIND: a row for each item of a list; none for null or an empty list, one for any other value."""
+    return F.explode(value if isinstance(kind, T.ArrayType) else F.array_compact(F.array(value)))
+
+
 def sum_or_zero(value: Column) -> Column:
     return F.coalesce(F.sum(value), F.lit(0))
 

@@ -66,6 +66,24 @@ def mant_agreement(d: Column) -> Column:
     return F.when(d["mant_elements_compared"] > 0, F.lit(1.0) - d["mant_bit_flips"] / (F.lit(float(MANT_BITS)) * d["mant_elements_compared"])).otherwise(0.0)
 
 
+def gate_pass_ratio(d: Column) -> Column:
+    """The share of elements whose mantissas were compared; 0 without elements."""
+    return F.when(d["total_elements"] > 0, d["mant_elements_compared"] / d["total_elements"]).otherwise(0.0)
+
+
+def spo_distance(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """struct of the distances of subject, predicate and object (lists of BF16 words), and of their total."""
+    each = {k: bf16_distance(a[k], b[k]) for k in ("subject", "predicate", "object")}
+    parts = F.struct(*(d.alias(k) for k, d in each.items()))
+    return F.transform(F.array(parts), lambda p: F.struct(*(p[k].alias(k) for k in each), (p["subject"]["score"] + p["predicate"]["score"] + p["object"]["score"]).alias("total")))[0]
+
+
+def awareness_tensor(spo: Column) -> list[Column]:
+    """The nine agreements of an SPO distance, under the names of `reasoning.DIMENSIONS`."""
+    kinds = (("sign", sign_agreement), ("exp", exp_agreement), ("mant", mant_agreement))
+    return [f(spo[part]).alias(f"{part[0]}_{kind}") for part in ("subject", "predicate", "object") for kind, f in kinds]
+
+
 @dataclass(frozen=True)
 class Codebook:
     """Each dimension's least and largest value; a constant dimension spans one."""
@@ -123,6 +141,55 @@ def full_distance(a: Column, b: Column, penalty: int = 16) -> Column:
     return nibble_distance(x["nibbles"], y["nibbles"]) + F.when(x["intensity"] != y["intensity"], penalty).otherwise(0)
 
 
+def spo_nibble_distance(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """struct of subject, predicate, object, their total, and the total by the largest that there is."""
+    each = {k: nibble_distance(a[k], b[k]) for k in ("subject", "predicate", "object")}
+    total = each["subject"] + each["predicate"] + each["object"]
+    size = F.size(a["subject"]) + F.size(a["predicate"]) + F.size(a["object"])
+    return F.struct(*(d.alias(k) for k, d in each.items()), total.alias("total"), (total / (F.lit(float(LEVELS)) * size)).alias("normalized"))
+
+
+def hamming_sweep(record: Column, asked: Column, threshold: int) -> tuple[Column, Column]:
+    """(distance, whether it is below the threshold): a step of a pipeline over records."""
+    d = hamming(record, asked)
+    return d.cast("long"), d < threshold
+
+
+def meta_filter(words: Column, place: int, mask: int, expected: int) -> tuple[Column, Column]:
+    """(0, whether a word, counted from 0, is as expected under a mask)."""
+    return F.lit(0).cast("long"), F.get(words, F.lit(place)).bitwiseAND(F.lit(mask)) == expected
+
+
+def vector_dot(record: Column, asked: Column) -> tuple[Column, Column]:
+    """(dot product, true)."""
+    return dot(record, asked), F.lit(True)
+
+
+def edge_bind(src: Column, rel: Column, dst: Column) -> Column:
+    """An edge of three words lists: XOR of the source, the relationship turned left by one bit, and the target turned
+    left by two."""
+    return bind(bind(src, F.transform(rel, lambda w: _turned(w, 1))), F.transform(dst, lambda w: _turned(w, 2)))
+
+
+def edge_unbind(edge: Column, src: Column, rel: Column) -> Column:
+    """The target of a bound edge, given the other two."""
+    rest = bind(bind(edge, src), F.transform(rel, lambda w: _turned(w, 1)))
+    return F.transform(rest, lambda w: _turned(w, 62))
+
+
+def _turned(word: Column, by: int) -> Column:
+    """A long's bits turned left."""
+    return F.shiftleft(word, by).bitwiseOR(F.shiftrightunsigned(word, 64 - by))
+
+
+def sweep(df: DataFrame, steps: list[tuple[Column, Column]]) -> DataFrame:
+    """The rows that pass every step (score, passed), with their scores: score_0, score_1 … A step is looked at only where
+    those before it passed."""
+    for k, (score, passed) in enumerate(steps):
+        df = df.withColumn(f"score_{k}", score).where(passed)
+    return df
+
+
 def hamming(a: Column, b: Column) -> Column:
     """Differing bits of two lists of integers."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
@@ -145,6 +212,21 @@ def euclidean(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x))
 
 
+#: Queries of a block, and rows of a share of the table that it meets in one task.
+QUERY_BLOCK, ROW_SHARE = 256, 1 << 16
+
+
+def each_with(rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """Every row beside every query, block by block: a share of the rows and a block of the queries meet in one task, so
+    that neither side is broadcast whole. Columns of the two must differ."""
+    blocks, shares = (-(-df.count() // size) or 1 for df, size in ((queries, QUERY_BLOCK), (rows, ROW_SHARE)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda df, n: F.pmod(F.xxhash64(df.columns[0]), F.lit(n)).cast("int")
+    left = rows.select("*", own(rows, shares).alias("_share"), every(blocks).alias("_block"))
+    right = queries.select("*", own(queries, blocks).alias("_block"), every(shares).alias("_share"))
+    return left.join(right, ["_share", "_block"]).drop("_share", "_block")
+
+
 def top_k(df: DataFrame, score: Column, k: int, *ties: str, largest: bool = True) -> DataFrame:
     """The k best rows, as a top-k without a full sort."""
     return df.withColumn("score", score).orderBy(F.desc("score") if largest else F.asc("score"), *ties).limit(k)

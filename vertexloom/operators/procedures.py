@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors
@@ -21,6 +21,11 @@ def procedure(name: str):
     return keep
 
 
+def register(name: str, f: Callable[..., DataFrame]) -> None:
+    """Adds a procedure of the caller's: a function from a graph and arguments to a DataFrame."""
+    _KNOWN[name] = f
+
+
 def call(graph: Graph, name: str, *args, yields: list[str] | None = None) -> DataFrame:
     if name not in _KNOWN:
         raise SemanticError(f"no procedure {name}")
@@ -28,6 +33,12 @@ def call(graph: Graph, name: str, *args, yields: list[str] | None = None) -> Dat
     return out.select(*yields) if yields else out
 
 
+def game_phase(board: Column) -> Column:
+    """The phase of a chess position by the letters of its text: up to 10 endgame, up to 24 middlegame, else opening."""
+    n = F.char_length(F.regexp_replace(board, "[^A-Za-z]", ""))
+    return F.when(n <= 10, "endgame").when(n <= 24, "middlegame").otherwise("opening")
+
+
 @procedure("db.labels")
 def _labels(graph: Graph) -> DataFrame:
     return graph.labels()

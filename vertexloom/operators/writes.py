@@ -4,14 +4,14 @@ in a checkpoint in the shared folder, so that a write never sees itself and a lo
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..plans.graph import ConstraintViolation, Graph, Nodes, ReadOnly, Rels, SemanticError
-from ..sources.scratch import fixed
+from ..plans.graph import ConstraintViolation, Graph, Nodes, NotFound, ReadOnly, Rels, SemanticError, TransactionError
+from ..sources.scratch import fixed, numbered
 
 
 @dataclass
@@ -28,15 +28,6 @@ class Stats:
         return Stats(*(a + b for a, b in zip(vars(self).values(), vars(other).values(), strict=True)))
 
 
-def _numbered(rows: DataFrame, start: int) -> DataFrame:
-    """Adds ids from start on. Rows are counted by partition first, so that no task sees them all."""
-    rows = fixed(rows.withColumn("_part", F.spark_partition_id()))
-    own = Window.partitionBy("_part").orderBy(F.monotonically_increasing_id())
-    sizes = rows.groupBy("_part").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    placed = rows.withColumn("_row", F.row_number().over(own)).join(F.broadcast(sizes), "_part")
-    return placed.withColumn("id", (F.col("_before") + F.col("_row") + start - 1).cast("long")).drop("_part", "_row", "_before")
-
-
 def _next_id(df: DataFrame | None) -> int:
     return 1 if df is None else (df.agg(F.max("id")).first()[0] or 0) + 1
 
@@ -62,7 +53,7 @@ def _with_rows(graph: Graph, label: str, rows: DataFrame) -> Graph:
 def create_nodes(graph: Graph, label: str, rows: DataFrame, *more_labels: str) -> tuple[Graph, Stats]:
     """A node for each row, its columns being the properties."""
     old = graph.nodes.get(label)
-    made = fixed(_numbered(rows.drop("id"), _next_id(old.df if old else None)))
+    made = fixed(numbered(rows.drop("id"), _next_id(old.df if old else None)))
     if more_labels or (old is not None and "labels" in old.df.columns):
         made = made.withColumn("labels", F.array(*(F.lit(x) for x in (label, *more_labels))))
         if old is not None and "labels" not in old.df.columns:
@@ -72,10 +63,11 @@ def create_nodes(graph: Graph, label: str, rows: DataFrame, *more_labels: str) -
 
 
 def create_rels(graph: Graph, kind: str, src_label: str, dst_label: str, rows: DataFrame) -> tuple[Graph, Stats]:
-    """A relationship for each row (src, dst, properties)."""
+    """A relationship for each row (src, dst, properties). Ids go on from the largest of the type, those that stand for
+    keys included."""
     tables = graph.rels.get(kind, [])
-    start = max((_next_id(t.df) for t in tables if t.df is not None), default=1)
-    made = fixed(_numbered(rows.drop("id"), start))
+    start = max((_next_id(graph.rel_frame(t)) for t in tables), default=1)
+    made = fixed(numbered(rows.drop("id"), start))
     out, joined = [], False
     for t in tables:
         if (t.src, t.dst) == (src_label, dst_label) and t.df is not None:
@@ -86,14 +78,37 @@ def create_rels(graph: Graph, kind: str, src_label: str, dst_label: str, rows: D
     return replace(graph, rels=graph.rels | {kind: out}), Stats(relationships_created=made.count())
 
 
+def _set(df: DataFrame, key: str, updates: DataFrame) -> tuple[DataFrame, int]:
+    new = fixed(updates.groupBy("id").agg(F.max("value").alias("_new"), F.lit(True).alias("_hit")))
+    old = F.col(key) if key in df.columns else F.lit(None)
+    return df.join(new, "id", "left").withColumn(key, F.when(F.col("_hit"), F.col("_new")).otherwise(old)).drop("_new", "_hit"), new.count()
+
+
 def set_property(graph: Graph, label: str, key: str, updates: DataFrame) -> tuple[Graph, Stats]:
     """updates (id, value): of several values for one node the largest stays; null removes the property."""
-    own = graph.nodes[label].df
-    new = fixed(updates.groupBy("id").agg(F.max("value").alias("_new"), F.lit(True).alias("_hit")))
-    old = F.col(key) if key in own.columns else F.lit(None)
-    df = own.join(new, "id", "left").withColumn(key, F.when(F.col("_hit"), F.col("_new")).otherwise(old)).drop("_new", "_hit")
+    df, n = _set(graph.nodes[label].df, key, updates)
     out = replace(graph, nodes=graph.nodes | {label: replace(graph.nodes[label], df=df)})
-    return _checked(out, label), Stats(properties_set=new.count())
+    return _checked(out, label), Stats(properties_set=n)
+
+
+def set_rel_property(graph: Graph, kind: str, src: str, dst: str, key: str, updates: DataFrame) -> tuple[Graph, Stats]:
+    """updates (id, value) for relationships of a type between two labels; of several values for one the largest stays,
+    null removes the property. A relationship that stands for a key gets a table of its own."""
+    out, n, found = [], 0, False
+    for t in graph.rels.get(kind, []):
+        if (t.src, t.dst) == (src, dst):
+            df, n = _set(graph.rel_frame(t), key, updates)
+            t, found = Rels(kind, src, dst, df), True
+        out.append(t)
+    if not found:
+        raise NotFound(f"no {kind} from {src} to {dst}")
+    return replace(graph, rels=graph.rels | {kind: out}), Stats(properties_set=n)
+
+
+def remove_rel_property(graph: Graph, kind: str, src: str, dst: str, key: str, ids: DataFrame) -> tuple[Graph, Stats]:
+    own = [graph.rel_frame(t) for t in graph.rels.get(kind, []) if (t.src, t.dst) == (src, dst)]
+    kind_of = dict(own[0].dtypes).get(key, "string") if own else "string"
+    return set_rel_property(graph, kind, src, dst, key, ids.select("id", F.lit(None).cast(kind_of).alias("value")))
 
 
 def merge_properties(graph: Graph, label: str, ids: DataFrame, values: dict[str, Any], replace_all: bool = False) -> tuple[Graph, Stats]:
@@ -131,39 +146,40 @@ def remove_label(graph: Graph, label: str, removed: str, ids: DataFrame) -> Grap
 
 
 def delete_nodes(graph: Graph, label: str, ids: DataFrame, detach: bool = False) -> tuple[Graph, Stats]:
-    """Without detach, a node that has relationships is an error."""
+    """Without detach, a node that has relationships is an error. With it, each relationship of a node that goes is deleted
+    and counted once; where a key stands for it, the key of a node that stays becomes null."""
     gone = fixed(ids.select("id").distinct())
+    mark = {end: gone.select(F.col("id").alias(end), F.lit(True).alias(f"_{end}")) for end in ("src", "dst")}
     rels, cut = {}, 0
     for kind, tables in graph.rels.items():
         out = []
         for t in tables:
-            edges = graph.rel_frame(t)
-            hit = [edges.join(gone.withColumnRenamed("id", end), end, "left_semi") for end, own in (("src", t.src), ("dst", t.dst)) if own == label]
-            n = sum(h.count() for h in hit) if hit else 0
-            if n and not detach:
-                raise ConstraintViolation(f"nodes of {label} still have {kind} relationships")
-            if n and t.held is None:
-                kept = edges
-                for end, own in (("src", t.src), ("dst", t.dst)):
-                    if own == label:
-                        kept = kept.join(gone.withColumnRenamed("id", end), end, "left_anti")
-                kept = kept.select(*edges.columns)
-                cut += edges.count() - kept.count()
-                t = replace(t, df=kept)
-            elif n:
+            ends = [end for end, own in (("src", t.src), ("dst", t.dst)) if own == label]
+            if ends:
+                edges = graph.rel_frame(t)
+                marked = edges
+                for end in ends:
+                    marked = marked.join(mark[end], end, "left")
+                hit = reduce(Column.__or__, (F.col(f"_{end}").isNotNull() for end in ends))
+                n = marked.where(hit).count()
+                if n and not detach:
+                    raise ConstraintViolation(f"nodes of {label} still have {kind} relationships")
                 cut += n
-                holder, key, other = t.held
-                if other == label and holder != label:  # the key goes with what it refers to
-                    own = graph.nodes[holder]
-                    mark = gone.select(F.col("id").alias("_gone"))
-                    df = own.df.join(mark, F.col(key) == F.col("_gone"), "left").withColumn(key, F.when(F.col("_gone").isNull(), F.col(key))).drop("_gone")
-                    graph = replace(graph, nodes=graph.nodes | {holder: replace(own, df=df)})
+                if n and t.held is None:
+                    t = replace(t, df=marked.where(~hit).select(*edges.columns))
+                elif n:
+                    holder, key, other = t.held
+                    if other == label:  # the key goes with what it refers to
+                        own = graph.nodes[holder]
+                        df = own.df.join(gone.select(F.col("id").alias("_gone")), F.col(key) == F.col("_gone"), "left")
+                        df = df.withColumn(key, F.when(F.col("_gone").isNull(), F.col(key))).drop("_gone")
+                        graph = replace(graph, nodes=graph.nodes | {holder: replace(own, df=df)})
             out.append(t)
         rels[kind] = out
     own = graph.nodes[label]
     df = own.df.join(gone, "id", "left_anti")
     n = own.df.join(gone, "id", "left_semi").count()
-    return replace(graph, nodes=graph.nodes | {label: replace(own, df=df)}, rels=rels), Stats(nodes_deleted=n, relationships_deleted=cut)
+    return replace(graph, nodes=graph.nodes | {label: replace(own, df=df)}, rels=graph.rels | rels), Stats(nodes_deleted=n, relationships_deleted=cut)
 
 
 def delete_rels(graph: Graph, kind: str, ids: DataFrame) -> tuple[Graph, Stats]:
@@ -222,7 +238,7 @@ class Transaction:
     def apply(self, change, *args: Any, **kwargs: Any):
         """change: a write of this module; its graph argument is the working snapshot."""
         if not self.open:
-            raise SemanticError("the transaction has ended")
+            raise TransactionError("the transaction has ended")
         if not self.write:
             raise ReadOnly("a read-only transaction can't write")
         out = change(self.graph, *args, **kwargs)
@@ -231,6 +247,8 @@ class Transaction:
         return rest[0] if len(rest) == 2 else None
 
     def commit(self) -> Stats:
+        if not self.open:
+            raise TransactionError("the transaction has ended")
         self.store.graph, self.open = self.graph, False
         return self.stats
 

@@ -7,12 +7,16 @@ a node table stands for has no rows of its own: expanding it adds no join.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from functools import reduce
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import numbered
+
 #: Ids of different labels share one space when labels are mixed: a label's number stands above this bit.
 LABEL_SHIFT = 40
 
@@ -33,6 +37,59 @@ class ReadOnly(GraphError):
     """A write through a read-only handle."""
 
 
+class TypeMismatch(GraphError):
+    """A value of a kind that an operation doesn't take."""
+
+
+class NotFound(GraphError):
+    """A label, type or id that the graph doesn't have."""
+
+
+class ExecutionError(GraphError, RuntimeError):
+    """A limit that a running query hits."""
+
+
+class TransactionError(GraphError):
+    """A use of a transaction that has ended."""
+
+
+@dataclass(frozen=True)
+class Later:
+    """A table that is opened when it is first asked for. Its nodes have one label each."""
+
+    make: Callable[[], Any]
+    code: int = 0
+
+
+class Tables(dict):
+    """Tables by name; those that are Later are opened, and kept, on access."""
+
+    def __getitem__(self, name):
+        value = super().__getitem__(name)
+        if isinstance(value, Later):
+            value = value.make()
+            super().__setitem__(name, value)
+        return value
+
+    def get(self, name, default=None):
+        return self[name] if name in self else default
+
+    def values(self):
+        return [self[k] for k in self]
+
+    def items(self):
+        return [(k, self[k]) for k in self]
+
+    def __or__(self, other):
+        return Tables({**{k: dict.__getitem__(self, k) for k in self}, **other})
+
+    def code(self, name) -> int:
+        return dict.__getitem__(self, name).code
+
+    def pending(self, name) -> bool:
+        return isinstance(dict.__getitem__(self, name), Later)
+
+
 @dataclass(frozen=True)
 class Nodes:
     label: str
@@ -72,12 +129,17 @@ class Graph:
     """An immutable snapshot; writes return another."""
 
     spark: SparkSession
-    nodes: dict[str, Nodes] = field(default_factory=dict)
-    rels: dict[str, list[Rels]] = field(default_factory=dict)
+    nodes: Tables = field(default_factory=Tables)
+    rels: Tables = field(default_factory=Tables)
     indexes: frozenset[tuple[str, str]] = frozenset()
     unique: frozenset[tuple[str, str]] = frozenset()
     required: frozenset[tuple[str, str]] = frozenset()
 
+    def __post_init__(self):
+        for name in ("nodes", "rels"):
+            if not isinstance(getattr(self, name), Tables):
+                object.__setattr__(self, name, Tables(getattr(self, name)))
+
     @staticmethod
     def of(spark: SparkSession, nodes: dict[str, DataFrame], rels: dict[str, tuple[str, str, DataFrame]] | None = None) -> Graph:
         """nodes: label to DataFrame with id; rels: type to (source label, target label, DataFrame with src, dst)."""
@@ -87,8 +149,19 @@ class Graph:
             tables.setdefault(kind, []).append(Rels(kind, src, dst, df if "id" in df.columns else with_ids(df)))
         return Graph(spark, made, tables)
 
-    def add_nodes(self, label: str, df: DataFrame, code: int | None = None) -> Graph:
-        return replace(self, nodes=self.nodes | {label: Nodes(label, df, code or len(self.nodes) + 1)})
+    def add_nodes(self, label: str, df: DataFrame | Callable[[], DataFrame], code: int | None = None) -> Graph:
+        """df may be a function that opens the table; it is called once the table is asked for."""
+        code = code or len(self.nodes) + 1
+        table = Nodes(label, df, code) if isinstance(df, DataFrame) else Later(lambda: Nodes(label, df(), code), code)
+        return replace(self, nodes=self.nodes | {label: table})
+
+    def tables_of(self, label: str) -> list[str]:
+        """The names of the tables whose nodes may have a label: its own, and those whose nodes have several."""
+        return [k for k in self.nodes if k == label or self.several(k)]
+
+    def several(self, name: str) -> bool:
+        """Whether a table's nodes may have more labels than its name."""
+        return name in self.nodes and not self.nodes.pending(name) and "labels" in self.nodes[name].df.columns
 
     def add_rels(self, rels: Rels) -> Graph:
         return replace(self, rels=self.rels | {rels.type: [*self.rels.get(rels.type, []), rels]})
@@ -129,7 +202,9 @@ class Graph:
         return reduce(DataFrame.unionByName, parts)
 
     def shared_id(self, label: str, local: Column) -> Column:
-        return F.lit(self.nodes[label].code << LABEL_SHIFT) + local
+        """An id of the space that all labels share; raises where a local one is too large for it."""
+        fits = (local >= 0) & (local < 1 << LABEL_SHIFT)
+        return F.when(fits | local.isNull(), F.lit(self.nodes.code(label) << LABEL_SHIFT) + local).otherwise(F.raise_error(F.lit(f"an id of {label} is too large")).cast("long"))
 
     def labels(self) -> DataFrame:
         """The labels that nodes have; a table of one label is read for a single row."""
@@ -146,7 +221,27 @@ class Graph:
         return self.all_rels().count()
 
     def nodes_by_property(self, label: str, key: str, value) -> DataFrame:
-        return self.nodes[label].df.where(F.col(key) == value)
+        """The label's nodes whose property equals a value; none where no node has the property."""
+        df = self._table(label).df
+        return df.where(F.col(key) == value) if key in df.columns else df.where(F.lit(False))
+
+    def _table(self, label: str) -> Nodes:
+        if label not in self.nodes:
+            raise NotFound(f"no label {label}")
+        return self.nodes[label]
+
+    def get_node(self, label: str, node_id: int) -> DataFrame:
+        """A node by its id: one row or none; the filter reaches the scan."""
+        return self._table(label).df.where(F.col("id") == node_id)
+
+    def get_relationship(self, kind: str, rel_id: int, src: str | None = None, dst: str | None = None) -> DataFrame:
+        """(type, start, end, id, src, dst) of the type's relationships with an id; the ends' labels tell those of
+        several tables apart."""
+        if kind not in self.rels:
+            raise NotFound(f"no type {kind}")
+        own = [r for r in self.rels[kind] if src in (None, r.src) and dst in (None, r.dst)]
+        parts = [self.rel_frame(r).where(F.col("id") == rel_id).select(F.lit(kind).alias("type"), F.lit(r.src).alias("start"), F.lit(r.dst).alias("end"), "id", "src", "dst") for r in own]
+        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], "type string, start string, end string, id long, src long, dst long")
 
     def relationships_of(self, label: str, node_id: int, direction: str = "both", types: list[str] | None = None) -> DataFrame:
         """(type, id, src, dst) of a node's relationships; a loop counts once."""
@@ -169,7 +264,5 @@ class Graph:
 
 
 def with_ids(df: DataFrame, start: int = 1) -> DataFrame:
-    """Adds stable ids: rows in the order of all their columns. For small tables; large ones bring ids."""
-    from pyspark.sql.window import Window
-
-    return df.withColumn("id", (F.row_number().over(Window.orderBy(*[c for c in df.columns if not dict(df.dtypes)[c].startswith("map")])) + start - 1).cast("long"))
+    """Adds ids from start on, fixed in the shared folder."""
+    return numbered(df.drop("id"), start)

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import Graph, Nodes, Rels, SemanticError
@@ -32,7 +32,7 @@ class Rel:
     direction: str
     var: str | None = None
     props: tuple[tuple[str, Any], ...] = ()
-    hops: tuple[int, int] | None = None
+    hops: tuple[int, int | None] | None = None
     path: str | None = None
 
 
@@ -44,15 +44,15 @@ def _types(types: str | list[str] | None) -> tuple[str, ...]:
     return () if types is None else (types,) if isinstance(types, str) else tuple(types)
 
 
-def out(types=None, var: str | None = None, hops: tuple[int, int] | None = None, path: str | None = None, **props: Any) -> Rel:
+def out(types=None, var: str | None = None, hops: tuple[int, int | None] | None = None, path: str | None = None, **props: Any) -> Rel:
     return Rel(_types(types), "out", var, tuple(props.items()), hops, path)
 
 
-def into(types=None, var: str | None = None, hops: tuple[int, int] | None = None, path: str | None = None, **props: Any) -> Rel:
+def into(types=None, var: str | None = None, hops: tuple[int, int | None] | None = None, path: str | None = None, **props: Any) -> Rel:
     return Rel(_types(types), "in", var, tuple(props.items()), hops, path)
 
 
-def both(types=None, var: str | None = None, hops: tuple[int, int] | None = None, path: str | None = None, **props: Any) -> Rel:
+def both(types=None, var: str | None = None, hops: tuple[int, int | None] | None = None, path: str | None = None, **props: Any) -> Rel:
     return Rel(_types(types), "both", var, tuple(props.items()), hops, path)
 
 
@@ -77,11 +77,9 @@ def _where(df: DataFrame, props) -> DataFrame:
 
 def bind_nodes(graph: Graph, n: Node, tables: list[Nodes] | None = None) -> DataFrame:
     """The candidates of a node pattern, columns prefixed by its variable. The label of the table is a column too."""
-    if tables is None:
-        first = n.labels[:1]
-        own = [t for t in graph.nodes.values() if not first or t.label == first[0] or "labels" in t.df.columns]
-    else:
-        own = tables
+    own = tables
+    if own is None:
+        own = [graph.nodes[k] for k in graph.tables_of(n.labels[0])] if n.labels else graph.nodes.values()
     parts = []
     for t in own:
         df = t.df
@@ -104,7 +102,7 @@ def _edges(graph: Graph, r: Rel, tables: list[Rels]) -> DataFrame:
     parts = []
     for t in tables:
         df = _where(graph.rel_frame(t), r.props)
-        own = [F.lit(t.type).alias(f"{name}__type"), *(F.col(c).alias(f"{name}__{c}") for c in df.columns)]
+        own = [F.lit(t.type).alias(f"{name}__type"), F.lit(f"{t.src}>{t.dst}").alias(f"{name}__ends"), *(F.col(c).alias(f"{name}__{c}") for c in df.columns)]
         ahead = df.select(F.col("src").alias("_near"), F.lit(t.src).alias("_near_label"), F.col("dst").alias("_far"), F.lit(t.dst).alias("_far_label"), *own)
         back = df.select(F.col("dst").alias("_near"), F.lit(t.dst).alias("_near_label"), F.col("src").alias("_far"), F.lit(t.src).alias("_far_label"), *own)
         if r.direction in ("out", "both"):
@@ -114,7 +112,7 @@ def _edges(graph: Graph, r: Rel, tables: list[Rels]) -> DataFrame:
         if r.direction == "both":
             parts.append(back.where("_near <> _far") if t.src == t.dst else back)
     if not parts:
-        return graph.spark.createDataFrame([], f"_near long, _near_label string, _far long, _far_label string, {name}__id long, {name}__src long, {name}__dst long, {name}__type string")
+        return graph.spark.createDataFrame([], f"_near long, _near_label string, _far long, _far_label string, {name}__id long, {name}__src long, {name}__dst long, {name}__type string, {name}__ends string")
     df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return df if r.var else df.drop(*(c for c in df.columns if c.startswith("_r__")))
 
@@ -131,7 +129,7 @@ def _possible(tables: list[Rels], direction: str, near: set[str] | None, far: se
 def _tables_of(graph: Graph, n: Node) -> set[str] | None:
     if not n.labels:
         return None
-    return {t.label for t in graph.nodes.values() if t.label == n.labels[0] or "labels" in t.df.columns}
+    return set(graph.tables_of(n.labels[0]))
 
 
 def match(graph: Graph, *pattern: Node | Rel, into_df: DataFrame | None = None) -> DataFrame:
@@ -168,7 +166,7 @@ def _start(graph: Graph, first: Node, r: Rel, n: Node) -> DataFrame | None:
     if r.hops or n.var == first.var:
         return None
     tables = _possible(graph.rel_tables(list(r.types)), r.direction, _tables_of(graph, first), _tables_of(graph, n))
-    if not tables or any("labels" in graph.nodes[x].df.columns for t in tables for x in (t.src, t.dst) if x in graph.nodes):
+    if not tables or any(graph.several(x) for t in tables for x in (t.src, t.dst)):
         return None
     short = _shortcut(tables, r)
     if short:
@@ -183,12 +181,12 @@ def _start(graph: Graph, first: Node, r: Rel, n: Node) -> DataFrame | None:
 
 
 def _expand(graph: Graph, df: DataFrame, here: Node, r: Rel, n: Node) -> DataFrame:
-    tables = _possible(graph.rel_tables(list(r.types)), r.direction, _tables_of(graph, here), _tables_of(graph, n))
     seen = f"{n.var}__id" in df.columns
     if r.hops:
         from ..operators.paths import expand_paths
 
-        return expand_paths(graph, df, here, r, n, tables, seen)
+        return expand_paths(graph, df, here, r, n, graph.rel_tables(list(r.types)), seen)
+    tables = _possible(graph.rel_tables(list(r.types)), r.direction, _tables_of(graph, here), _tables_of(graph, n))
     short = None if seen else _shortcut(tables, r)
     if short:
         t, ahead = short
@@ -251,8 +249,29 @@ def having(left: DataFrame, right: DataFrame, negate: bool = False) -> DataFrame
 
 
 def distinct_edges(df: DataFrame, *vars_: str) -> DataFrame:
-    """Relationship uniqueness: keeps rows whose named relationships of one type differ."""
+    """Relationship uniqueness: keeps rows whose named relationships differ. Ids are those of a type between two labels,
+    so type and ends tell relationships apart, too."""
     for i, a in enumerate(vars_):
         for b in vars_[:i]:
-            df = df.where((prop(a) != prop(b)) | (prop(a, "type") != prop(b, "type")))
+            df = df.where((prop(a) != prop(b)) | (prop(a, "type") != prop(b, "type")) | (prop(a, "ends") != prop(b, "ends")))
     return df
+
+
+def argument(spark: SparkSession) -> DataFrame:
+    """One row without columns: where a query without a pattern starts."""
+    return spark.range(1).select()
+
+
+def return_all(df: DataFrame) -> DataFrame:
+    """RETURN *: each bound variable, in name order, as a struct of its columns."""
+    names = sorted({c.split("__", 1)[0] for c in df.columns if "__" in c and not c.startswith("_")})
+    return df.select(*(F.struct(*(F.col(c).alias(c.split("__", 1)[1]) for c in df.columns if c.startswith(f"{v}__"))).alias(v) for v in names))
+
+
+def returned(df: DataFrame, *items: str) -> DataFrame:
+    """RETURN of variables' properties under their default names: returned(df, "n.name") has a column n.name."""
+    out = []
+    for item in items:
+        var, _, key = item.partition(".")
+        out.append(value_of(df, var, key or "id").alias(item))
+    return df.select(*out)

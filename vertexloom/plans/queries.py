@@ -2,37 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import reasoning, scalar, vectors
 from ..operators import algorithms, paths, procedures, writes
 from ..sources.dump import dump_lines
-from ..sources.tables import star_graph
 from ..streaming import events as stream
 from .graph import Graph
 from .match import both, distinct_edges, having, into, join_patterns, match, node, optional, out, prop, value_of
+from .registry import QUERIES, SQL, cents, query
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None):
-    def keep(f: Callable[[Graph], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(star_graph(spark, sf_dir))
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return keep
-
-
-def cents(value):
-    """Sums of doubles in whole hundredths: engines add in different orders."""
-    return F.round(F.sum(F.round(value * 100).cast("long")) / 100.0, 2)
-
+__all__ = ["QUERIES", "SQL"]
 
 # Scans, filters, projections
 
@@ -70,10 +51,10 @@ def in_list(g: Graph) -> DataFrame:
     return match(g, node("p", "Part")).where(scalar.member(prop("p", "p_size"), F.array(F.lit(1), F.lit(5), F.lit(9)))).select(prop("p").alias("id"))
 
 
-@query("SELECT n_name AS name FROM nation WHERE starts_with(n_name, 'I') OR ends_with(n_name, 'A') OR contains(n_name, 'NI')")
+@query("SELECT p_partkey AS id FROM part WHERE (starts_with(p_name, 'red') OR ends_with(p_name, 'bolt')) AND NOT contains(p_name, 'd w')")
 def starts_ends_contains(g: Graph) -> DataFrame:
-    name = prop("n", "n_name")
-    return match(g, node("n", "Nation")).where(name.startswith("I") | name.endswith("A") | name.contains("NI")).select(name.alias("name"))
+    name = prop("p", "p_name")
+    return match(g, node("p", "Part")).where((name.startswith("red") | name.endswith("bolt")) & ~name.contains("d w")).select(prop("p").alias("id"))
 
 
 @query("SELECT n_name AS name FROM nation WHERE regexp_full_match(n_name, '.*[AEIOU]{2}.*|NATION_1.')")
@@ -271,6 +252,13 @@ def edge_unique_two_hop(g: Graph) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT n_name AS nation, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) * (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS pairs FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer) AND n_nationkey IN (SELECT s_nationkey FROM supplier)")
+def edge_unique_two_tables(g: Graph) -> DataFrame:
+    """Customer, nation, supplier: the two relationships are of one type and may have one id, but are never the same."""
+    rows = distinct_edges(match(g, node("c", "Customer", fetch=False), out("IN_NATION", "r"), node("n", "Nation"), into("IN_NATION", "s"), node("x", "Supplier", fetch=False)), "r", "s")
+    return rows.groupBy(prop("n", "n_name").alias("nation")).agg(F.count(F.lit(1)).alias("pairs"))
+
+
 @query("SELECT c_custkey AS id, count(o_orderkey) AS orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'F' GROUP BY 1")
 def optional_match(g: Graph) -> DataFrame:
     done = match(g, node("c", "Customer", fetch=False), out("PLACED"), node("o", "PurchaseOrder", o_orderstatus="F"))
@@ -283,10 +271,10 @@ def exists_semi(g: Graph) -> DataFrame:
     return having(match(g, node("c", "Customer")), big).select(prop("c").alias("id"))
 
 
-@query("SELECT c_custkey AS id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey AS id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')")
 def not_exists_anti(g: Graph) -> DataFrame:
-    placed = match(g, node("c", "Customer", fetch=False), out("PLACED"), node("o", "PurchaseOrder", fetch=False))
-    return having(match(g, node("c", "Customer")), placed, negate=True).select(prop("c").alias("id"))
+    urgent = match(g, node("c", "Customer", fetch=False), out("PLACED"), node("o", "PurchaseOrder", o_orderpriority="1-URGENT", o_orderstatus="F"))
+    return having(match(g, node("c", "Customer")), urgent, negate=True).select(prop("c").alias("id"))
 
 
 # Aggregation
@@ -357,11 +345,24 @@ def path_length(g: Graph) -> DataFrame:
     return rows.select(paths.path_start("p").alias("start"), paths.path_end("p").alias("stop"), F.array_join(paths.path_nodes("p"), ">").alias("path"), F.size(paths.path_triples("p")).alias("length"))
 
 
-@query(f"WITH RECURSIVE {_NEXT}, w AS (SELECT 0::BIGINT AS source, 0::BIGINT AS target, 0 AS hops UNION ALL SELECT source, dst, hops + 1 FROM w JOIN n ON target = src WHERE hops < 6) SELECT source, target, min(hops) AS hops FROM w GROUP BY 1, 2")
+_ID = {"Region": 1, "Nation": 2, "Customer": 3, "Supplier": 4, "Part": 5, "PurchaseOrder": 6}
+
+
+def _shared(label: str, key: str) -> str:
+    """The id in the space that all labels share, in SQL."""
+    return f"({_ID[label] << 40} + {key})"
+
+
+_TREE = f"""t AS (SELECT {_shared("Region", "n_regionkey")} AS src, {_shared("Nation", "n_nationkey")} AS dst FROM nation UNION ALL SELECT {_shared("Nation", "c_nationkey")}, {_shared("Customer", "c_custkey")} FROM customer
+UNION ALL SELECT {_shared("Nation", "s_nationkey")}, {_shared("Supplier", "s_suppkey")} FROM supplier UNION ALL SELECT {_shared("Customer", "o_custkey")}, {_shared("PurchaseOrder", "o_orderkey")} FROM orders)"""
+
+
+@query(f"WITH RECURSIVE {_TREE}, w AS (SELECT {_shared('Region', 'r_regionkey')} AS source, {_shared('Region', 'r_regionkey')} AS target, 0 AS hops FROM region UNION ALL SELECT source, dst, hops + 1 FROM w JOIN t ON target = src) SELECT source, target, min(hops) AS hops FROM w GROUP BY 1, 2")
 def shortest_path(g: Graph) -> DataFrame:
-    edges = g.rel_frame(g.rels["NEXT"][0])
-    start = g.nodes["Event"].df.where("id = 0").select("id")
-    return paths.shortest_paths(edges, start, most=6).select("source", "target", "hops")
+    """From every region to all it reaches: nations, their customers and suppliers, and orders."""
+    down = g.all_rels(["IN_REGION", "IN_NATION"]).select(F.col("dst").alias("src"), F.col("src").alias("dst")).unionByName(g.all_rels(["PLACED"]).select("src", "dst"))
+    start = g.nodes["Region"].df.select(g.shared_id("Region", F.col("id")).alias("id"))
+    return paths.shortest_paths(down, start).select("source", "target", "hops")
 
 
 # Writes
@@ -411,15 +412,6 @@ def merge_relationships(g: Graph) -> DataFrame:
 
 # Reasoning and vectors
 
-_TRUTH = "t AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem WHERE l_partkey % 20 = 0 AND l_suppkey % 5 = 0), u AS (SELECT src * 1099511627776 + dst AS id, src, dst, (src % 10) / 10.0::DOUBLE AS f, (dst % 9) / 10.0::DOUBLE AS c FROM t)"
-
-
-def _opinions(g: Graph) -> DataFrame:
-    """SUPPLIES relationships of some suppliers and parts with truth values made from their keys."""
-    rows = g.rel_frame(g.rels["SUPPLIES"][0]).where("dst % 20 = 0 and src % 5 = 0")
-    return rows.select("id", "src", "dst", ((F.col("src") % 10) / 10.0).alias("frequency"), ((F.col("dst") % 9) / 10.0).alias("confidence"))
-
-
 @query("WITH n AS (SELECT c_custkey AS a, c_nationkey::BIGINT AS b, (c_custkey % 10) / 10.0::DOUBLE AS f1, 0.9::DOUBLE AS c1 FROM customer), r AS (SELECT n_nationkey::BIGINT AS b, n_regionkey::BIGINT AS d, 0.8::DOUBLE AS f2, (n_nationkey % 7) / 10.0::DOUBLE AS c2 FROM nation) SELECT a AS src, d AS dst, round(f1 * f2, 9) AS frequency, round(c1 * c2 * (f1 * f2), 9) AS confidence FROM n JOIN r USING (b)")
 def nars_deduction_2hop(g: Graph) -> DataFrame:
     """Customer to nation, nation to region: customer to region. Ends are told apart by the shared id space."""
@@ -430,32 +422,38 @@ def nars_deduction_2hop(g: Graph) -> DataFrame:
     return found.select(F.col("src").bitwiseAND(F.lit(local)).alias("src"), F.col("dst").bitwiseAND(F.lit(local)).alias("dst"), F.round("frequency", 9).alias("frequency"), F.round("confidence", 9).alias("confidence"))
 
 
-@query(f"WITH {_TRUTH} SELECT a.src AS src, a.dst AS via, b.src AS dst, round(a.f, 9) AS frequency, round(a.c * b.c * b.f, 9) AS confidence FROM u a JOIN u b ON a.dst = b.dst AND a.id <> b.id")
+_NEAR = "u AS (SELECT s_suppkey AS id, s_suppkey AS src, s_nationkey::BIGINT AS dst, (s_suppkey % 10) / 10.0::DOUBLE AS f, (s_nationkey % 9) / 10.0::DOUBLE AS c FROM supplier)"
+_BOUGHT = "u AS (SELECT o_orderkey AS id, o_custkey AS src, o_orderkey AS dst, (o_custkey % 10) / 10.0::DOUBLE AS f, (o_orderkey % 9) / 10.0::DOUBLE AS c FROM orders)"
+
+
+def _opinions(rows: DataFrame) -> DataFrame:
+    """Relationships with truth values made from their ends."""
+    return rows.select("id", "src", "dst", ((F.col("src") % 10) / 10.0).alias("frequency"), ((F.col("dst") % 9) / 10.0).alias("confidence"))
+
+
+def _rounded(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"frequency": F.round("frequency", 9), "confidence": F.round("confidence", 9)})
+
+
+@query(f"WITH {_NEAR} SELECT a.src AS src, a.dst AS via, b.src AS dst, round(a.f, 9) AS frequency, round(a.c * b.c * b.f, 9) AS confidence FROM u a JOIN u b ON a.dst = b.dst AND a.id <> b.id")
 def nars_abduction(g: Graph) -> DataFrame:
-    return reasoning.abduction(_opinions(g)).withColumns({"frequency": F.round("frequency", 9), "confidence": F.round("confidence", 9)})
+    """All suppliers of a nation, two by two."""
+    return _rounded(reasoning.abduction(_opinions(g.rel_frame(next(r for r in g.rels["IN_NATION"] if r.src == "Supplier")))))
 
 
-@query(f"WITH {_TRUTH} SELECT a.dst AS src, a.src AS via, b.dst AS dst, round(b.f, 9) AS frequency, round(a.c * b.c * a.f, 9) AS confidence FROM u a JOIN u b ON a.src = b.src AND a.id <> b.id")
+@query(f"WITH {_BOUGHT} SELECT a.dst AS src, a.src AS via, b.dst AS dst, round(b.f, 9) AS frequency, round(a.c * b.c * a.f, 9) AS confidence FROM u a JOIN u b ON a.src = b.src AND a.id <> b.id")
 def nars_induction(g: Graph) -> DataFrame:
-    return reasoning.induction(_opinions(g)).withColumns({"frequency": F.round("frequency", 9), "confidence": F.round("confidence", 9)})
+    """All orders of a customer, two by two."""
+    return _rounded(reasoning.induction(_opinions(g.rel_frame(g.rels["PLACED"][0]))))
 
 
 _TRUTHS = "t AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem), u AS (SELECT src * 1099511627776 + dst AS id, src, dst, (src % 10) / 10.0::DOUBLE AS f, (dst % 9) / 10.0::DOUBLE AS c FROM t)"
 
 
-def _all_opinions(g: Graph) -> DataFrame:
-    """All SUPPLIES relationships with truth values made from their keys."""
-    return g.rel_frame(g.rels["SUPPLIES"][0]).select("id", "src", "dst", ((F.col("src") % 10) / 10.0).alias("frequency"), ((F.col("dst") % 9) / 10.0).alias("confidence"))
-
-
 @query(f"WITH {_TRUTHS} SELECT a.src AS src, a.dst AS via, b.src AS dst, round(a.f, 9) AS frequency, round(a.c * b.c * b.f, 9) AS confidence FROM u a JOIN u b ON a.dst = b.dst AND a.id <> b.id")
 def nars_abduction_all(g: Graph) -> DataFrame:
-    return reasoning.abduction(_all_opinions(g)).withColumns({"frequency": F.round("frequency", 9), "confidence": F.round("confidence", 9)})
-
-
-@query(f"WITH {_TRUTHS} SELECT a.dst AS src, a.src AS via, b.dst AS dst, round(b.f, 9) AS frequency, round(a.c * b.c * a.f, 9) AS confidence FROM u a JOIN u b ON a.src = b.src AND a.id <> b.id")
-def nars_induction_all(g: Graph) -> DataFrame:
-    return reasoning.induction(_all_opinions(g)).withColumns({"frequency": F.round("frequency", 9), "confidence": F.round("confidence", 9)})
+    """All suppliers of a part, two by two."""
+    return _rounded(reasoning.abduction(_opinions(g.rel_frame(g.rels["SUPPLIES"][0]))))
 
 
 _NINE = ", ".join(f"((vec_id * {k + 3}) % 11) / 10.0::DOUBLE AS {d}" for k, d in enumerate(reasoning.DIMENSIONS))
@@ -475,11 +473,15 @@ def nib4_codebook(g: Graph) -> DataFrame:
 
 
 def _asked(rows: DataFrame, vector: str) -> DataFrame:
-    """Every row beside each query, the rows whose id is divisible by 50."""
-    return rows.crossJoin(rows.where("id % 50 = 0").select(F.col("id").alias("query"), F.col(vector).alias("q")))
+    """Every row beside each query, the rows whose id is divisible by 50, in blocks."""
+    return vectors.each_with(rows, rows.where("id % 50 = 0").select(F.col("id").alias("query"), F.col(vector).alias("q")))
 
 
-@query(None)
+_BOOK = "b AS (SELECT d, min(v) AS lo, CASE WHEN abs(max(v) - min(v)) >= 1e-9 THEN max(v) ELSE min(v) + 1 END AS hi FROM (SELECT unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS d FROM embeddings) GROUP BY 1)"
+_NIBBLES = f"{_BOOK}, n AS (SELECT vec_id, d, greatest(0, least(15, round((v - lo) / (hi - lo) * 15)::INTEGER)) AS n FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS d FROM embeddings) JOIN b USING (d))"
+
+
+@query(f"WITH {_NIBBLES}, s AS (SELECT a.vec_id AS query, x.vec_id AS id, sum(abs(a.n - x.n))::INTEGER AS distance, string_agg(upper(to_hex(x.n)), ':' ORDER BY d) AS hex FROM n a JOIN n x USING (d) WHERE a.vec_id % 50 = 0 GROUP BY 1, 2) SELECT query, id, distance, hex FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY distance, id) <= 10")
 def nib4_knn(g: Graph) -> DataFrame:
     book = vectors.Codebook.fit(g.nodes["Vec"].df, "embedding")
     rows = g.nodes["Vec"].df.select("id", book.encode(F.col("embedding")).alias("n"))
@@ -487,39 +489,37 @@ def nib4_knn(g: Graph) -> DataFrame:
     return near.select("query", "id", F.col("score").alias("distance"), vectors.nibble_hex(F.col("n")).alias("hex"))
 
 
-@query(None)
+_WORDS = "x AS (SELECT vec_id, d, (v::FLOAT + 2::FLOAT)::DOUBLE AS v FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS d FROM embeddings)), e AS (SELECT vec_id, d, CASE WHEN v < 0 THEN 1 ELSE 0 END AS s, abs(v) AS v, CASE WHEN v = 0 THEN 0 ELSE floor(log2(abs(v)))::INTEGER + 127 END AS e FROM x), w AS (SELECT vec_id, d, s, e, CASE WHEN e = 0 THEN 0 ELSE floor((v / pow(2, e - 127) - 1) * 128)::INTEGER END AS m FROM e)"
+
+
+@query(f"WITH {_WORDS}, p AS (SELECT a.vec_id AS query, b.vec_id AS id, (a.s <> b.s)::INTEGER AS f, abs(a.e - b.e) AS e, a.s = b.s AND abs(a.e - b.e) <= 2 AS near, bit_count(xor(a.m, b.m)) AS m FROM w a JOIN w b USING (d) WHERE a.vec_id % 50 = 0), t AS (SELECT query, id, sum(f)::BIGINT AS f, sum(e)::BIGINT AS e, coalesce(sum(m) FILTER (near), 0)::BIGINT AS m, count(*) FILTER (near) AS c, count(*) AS n FROM p GROUP BY 1, 2) SELECT query, id, 64 * f + 4 * e + m AS score, f AS sign_flips, e AS exp_delta_sum, m AS mant_bit_flips, round(1 - (64 * f + 4 * e + m) / (1084.0::DOUBLE * n), 9) AS similarity, round(1 - f / n::DOUBLE, 9) AS sign, round(1 - e / (255.0::DOUBLE * n), 9) AS exp, round(CASE WHEN c > 0 THEN 1 - m / (7.0::DOUBLE * c) ELSE 0 END, 9) AS mant, round(c / n::DOUBLE, 9) AS gate FROM t")
 def bf16_distance(g: Graph) -> DataFrame:
     rows = g.nodes["Vec"].df.select("id", vectors.to_bf16("embedding").alias("w"))
     d = _asked(rows, "w").select("query", "id", vectors.bf16_distance(F.col("w"), F.col("q")).alias("d"))
-    return d.select("query", "id", "d.score", "d.sign_flips", "d.exp_delta_sum", "d.mant_bit_flips", F.round(vectors.bf16_similarity(F.col("d")), 9).alias("similarity"))
-
-
-@query("SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 0)::DOUBLE[]), 6) AS score FROM embeddings ORDER BY list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 0)::DOUBLE[]) DESC, vec_id LIMIT 10")
-def cosine_knn(g: Graph) -> DataFrame:
-    asked = g.nodes["Vec"].df.where("id = 0").first()["embedding"]
-    return procedures.call(g, "db.index.vector.queryNodes", "Vec", "embedding", 10, asked).select("id", F.round("score", 6).alias("score"))
-
-
-@query("SELECT vec_id AS id, round(list_distance(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 1)::DOUBLE[]), 6) AS l2, round(list_inner_product(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 1)::DOUBLE[]), 6) AS dot FROM embeddings")
-def vector_distances(g: Graph) -> DataFrame:
-    rows = g.nodes["Vec"].df
-    near = rows.crossJoin(F.broadcast(rows.where("id = 1").select(F.col("embedding").alias("q"))))  # one query row
-    return near.select("id", F.round(vectors.euclidean(F.col("embedding"), F.col("q")), 6).alias("l2"), F.round(vectors.dot(F.col("embedding"), F.col("q")), 6).alias("dot"))
+    ratios = {"similarity": vectors.bf16_similarity, "sign": vectors.sign_agreement, "exp": vectors.exp_agreement, "mant": vectors.mant_agreement, "gate": vectors.gate_pass_ratio}
+    return d.select("query", "id", "d.score", "d.sign_flips", "d.exp_delta_sum", "d.mant_bit_flips", *(F.round(f(F.col("d")), 9).alias(n) for n, f in ratios.items()))
 
 
 @query("WITH q AS (SELECT vec_id AS query, embedding AS e FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query, vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]) AS s FROM embeddings, q) SELECT query, id, round(s, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY s DESC, id) <= 10")
-def cosine_knn_all(g: Graph) -> DataFrame:
-    rows = g.nodes["Vec"].df
-    near = vectors.top_k_each(_asked(rows, "embedding"), "query", vectors.cosine(F.col("embedding"), F.col("q")), 10, "id")
+def cosine_knn(g: Graph) -> DataFrame:
+    near = vectors.top_k_each(_asked(g.nodes["Vec"].df.select("id", "embedding"), "embedding"), "query", vectors.cosine(F.col("embedding"), F.col("q")), 10, "id")
     return near.select("query", "id", F.round("score", 6).alias("score"))
 
 
 @query("SELECT q.vec_id AS query, v.vec_id AS id, round(list_distance(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS l2, round(list_inner_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS dot FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0")
-def vector_distances_all(g: Graph) -> DataFrame:
-    near = _asked(g.nodes["Vec"].df, "embedding")
+def vector_distances(g: Graph) -> DataFrame:
+    near = _asked(g.nodes["Vec"].df.select("id", "embedding"), "embedding")
     return near.select("query", "id", F.round(vectors.euclidean(F.col("embedding"), F.col("q")), 6).alias("l2"), F.round(vectors.dot(F.col("embedding"), F.col("q")), 6).alias("dot"))
 
 
+@query("SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1)::DOUBLE[]), 6) AS score FROM embeddings ORDER BY list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1)::DOUBLE[]) DESC, vec_id LIMIT 10")
+def vector_query(g: Graph) -> DataFrame:
+    """The procedure: the ten nearest to one vector that the caller gives, here that of the smallest id."""
+    first = g.nodes["Vec"].df.orderBy("id").select("embedding").first()
+    asked = first["embedding"] if first else [0.0]
+    return procedures.call(g, "db.index.vector.queryNodes", "Vec", "embedding", 10, asked).select("id", F.round("score", 6).alias("score"))
+
+
 @query("SELECT o_orderkey AS id, bit_count(xor(o_orderkey, o_custkey))::INTEGER AS distance FROM orders WHERE bit_count(xor(o_orderkey, o_custkey)) < 6")
 def hamming_sweep(g: Graph) -> DataFrame:
     rows = g.nodes["PurchaseOrder"].df.select("id", vectors.hamming(F.array("o_orderkey"), F.array("o_custkey")).alias("distance"))
@@ -544,10 +544,9 @@ def relationships_of_node(g: Graph) -> DataFrame:
     return g.relationships_of("Customer", 7, "out")
 
 
-@query("SELECT n_name AS name, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) + (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS degree FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer UNION SELECT s_nationkey FROM supplier)")
+@query(f"WITH {_TREE} SELECT id, count(*) AS degree FROM (SELECT src AS id FROM t UNION ALL SELECT dst FROM t) GROUP BY 1")
 def degree(g: Graph) -> DataFrame:
-    found = g.degrees(["IN_NATION"]).withColumnRenamed("id", "shared")
-    return found.join(g.nodes["Nation"].df, F.col("shared") == g.shared_id("Nation", F.col("id"))).select(F.col("n_name").alias("name"), "degree")
+    return g.degrees(["IN_REGION", "IN_NATION", "PLACED"])
 
 
 @query("SELECT user_id AS id, count(*) AS n FROM events GROUP BY 1")
@@ -559,26 +558,41 @@ def component_sizes(g: Graph) -> DataFrame:
     return sizes.join(own.withColumnRenamed("id", "component"), "component").select(F.col("user_id").alias("id"), "n")
 
 
-@query(None)
+def _page_rank_sql(rounds: int) -> str:
+    """page_rank unrolled."""
+    parts = [f"t AS (SELECT {_shared('Nation', 'n_nationkey')} AS src, {_shared('Region', 'n_regionkey')} AS dst FROM nation UNION ALL SELECT {_shared('Customer', 'c_custkey')}, {_shared('Nation', 'c_nationkey')} FROM customer UNION ALL SELECT {_shared('Supplier', 's_suppkey')}, {_shared('Nation', 's_nationkey')} FROM supplier)"]
+    parts += ["o AS (SELECT src, count(*) AS n FROM t GROUP BY 1)", "v AS (SELECT DISTINCT id FROM (SELECT src AS id FROM t UNION ALL SELECT dst FROM t))", "c AS (SELECT count(*)::DOUBLE AS n FROM v)", "r0 AS (SELECT id, 1.0::DOUBLE / n AS rank FROM v, c)"]
+    for k in range(rounds):
+        parts.append(f"l{k} AS (SELECT coalesce(sum(rank), 0) AS lost FROM r{k} WHERE id NOT IN (SELECT src FROM o))")
+        parts.append(f"g{k} AS (SELECT dst, sum(rank / n) AS got FROM t JOIN r{k} ON src = id JOIN o USING (src) GROUP BY 1)")
+        parts.append(f"r{k + 1} AS (SELECT v.id, 0.15::DOUBLE / n + 0.85::DOUBLE * (coalesce(got, 0) + lost / n) AS rank FROM v CROSS JOIN c CROSS JOIN l{k} LEFT JOIN g{k} ON v.id = dst)")
+    return f"WITH {', '.join(parts)} SELECT id, round(rank, 9) AS rank FROM r{rounds}"
+
+
+@query(_page_rank_sql(5))
 def page_rank(g: Graph) -> DataFrame:
-    ranks = algorithms.page_rank(g.all_rels(["IN_NATION", "IN_REGION"]).select("src", "dst"), rounds=5)
-    region = g.nodes["Region"].df.select(g.shared_id("Region", F.col("id")).alias("id"), "r_name")
-    return ranks.join(region, "id").select(F.col("r_name").alias("region"), F.round("rank", 9).alias("rank"))
+    return algorithms.page_rank(g.all_rels(["IN_NATION", "IN_REGION"]), rounds=5).select("id", F.round("rank", 9).alias("rank"))
 
 
-@query("WITH e AS (SELECT DISTINCT o_custkey AS a, l_partkey AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey) SELECT x.a AS a, y.a AS b, round(count(*) / ((SELECT count(*) FROM e WHERE a = x.a) + (SELECT count(*) FROM e WHERE a = y.a) - count(*))::DOUBLE, 9) AS similarity FROM e x JOIN e y ON x.b = y.b WHERE x.a < 40 AND y.a = x.a + 1 GROUP BY 1, 2")
-def jaccard_similarity(g: Graph) -> DataFrame:
-    """Customers with the next customer, by the parts that they bought."""
-    bought = match(g, node("c", "Customer", fetch=False), out("PLACED"), node("o", "PurchaseOrder", fetch=False), out("HAS_PART"), node("p", "Part", fetch=False)).select(prop("c").alias("src"), prop("p").alias("dst"))
-    pairs = g.nodes["Customer"].df.where("id < 40").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
-    return algorithms.jaccard(bought, pairs).where("similarity > 0").withColumn("similarity", F.round("similarity", 9))
+_COMMON = "e AS (SELECT DISTINCT o_custkey AS a, l_partkey AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey), n AS (SELECT a, count(*) AS n FROM e GROUP BY 1), m AS (SELECT x.a AS a, y.a AS b, count(*) AS m FROM e x JOIN e y ON x.b = y.b AND x.a < y.a GROUP BY 1, 2)"
 
 
-@query("WITH e AS (SELECT DISTINCT o_custkey AS a, l_partkey AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey), n AS (SELECT a, count(*) AS n FROM e GROUP BY 1), m AS (SELECT x.a AS a, y.a AS b, count(*) AS m FROM e x JOIN e y ON x.b = y.b AND x.a < y.a GROUP BY 1, 2) SELECT m.a AS a, m.b AS b, round(m / (p.n + q.n - m)::DOUBLE, 9) AS similarity FROM m JOIN n p ON p.a = m.a JOIN n q ON q.a = m.b")
-def jaccard_similarity_all(g: Graph) -> DataFrame:
+def _bought(g: Graph) -> DataFrame:
+    rows = match(g, node("c", "Customer", fetch=False), out("PLACED"), node("o", "PurchaseOrder", fetch=False), out("HAS_PART"), node("p", "Part", fetch=False))
+    return rows.select(prop("c").alias("src"), prop("p").alias("dst"))
+
+
+@query(f"WITH {_COMMON} SELECT m.a AS a, m.b AS b, round(m / (p.n + q.n - m)::DOUBLE, 9) AS similarity FROM m JOIN n p ON p.a = m.a JOIN n q ON q.a = m.b")
+def jaccard_similarity(g: Graph) -> DataFrame:
     """All pairs of customers that bought a part in common."""
-    bought = match(g, node("c", "Customer", fetch=False), out("PLACED"), node("o", "PurchaseOrder", fetch=False), out("HAS_PART"), node("p", "Part", fetch=False)).select(prop("c").alias("src"), prop("p").alias("dst"))
-    return algorithms.jaccard_all(bought).withColumn("similarity", F.round("similarity", 9))
+    return algorithms.similar_all(_bought(g)).withColumn("similarity", F.round("similarity", 9))
+
+
+@query(f"WITH {_COMMON} SELECT c_custkey AS a, c_custkey + 1 AS b, round(coalesce(m / least(p.n, q.n)::DOUBLE, 0), 9) AS similarity FROM customer LEFT JOIN n p ON p.a = c_custkey LEFT JOIN n q ON q.a = c_custkey + 1 LEFT JOIN m ON m.a = c_custkey AND m.b = c_custkey + 1")
+def overlap_similarity(g: Graph) -> DataFrame:
+    """Each customer with the next, by the parts that they bought."""
+    pairs = g.nodes["Customer"].df.select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    return algorithms.overlap(_bought(g), pairs).withColumn("similarity", F.round("similarity", 9))
 
 
 @query(None)
@@ -594,3 +608,6 @@ def tumbling_counts(g: Graph) -> DataFrame:
 @query("WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k")
 def session_counts(g: Graph) -> DataFrame:
     return stream.sessions(g.nodes["Event"].df).select("user_id", "start", "n")
+
+
+from . import queries_more  # noqa: E402, F401  (registers the rest)

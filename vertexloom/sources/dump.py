@@ -10,11 +10,17 @@ from pyspark.sql import types as T
 
 from ..plans.graph import Graph
 
+# Characters of strings and how they are written, the escape itself first.
+ESCAPES = (("\\", "\\\\"), ("'", "\\'"), ("\n", "\\n"), ("\r", "\\r"))
+
 
 def literal(value: Column, kind: T.DataType) -> Column:
     """A value as a literal; kinds without one are null."""
     if isinstance(kind, T.StringType):
-        text = F.concat(F.lit("'"), F.replace(F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("\n"), F.lit("\\n")), F.lit("'"))
+        text = value
+        for plain, written in ESCAPES:
+            text = F.replace(text, F.lit(plain), F.lit(written))
+        text = F.concat(F.lit("'"), text, F.lit("'"))
     elif isinstance(kind, (T.IntegralType, T.BooleanType)):
         text = value.cast("string")
     elif isinstance(kind, T.FractionalType):
@@ -57,13 +63,14 @@ def export_dump(graph: Graph, path: str) -> None:
     dump_lines(graph).repartitionByRange("part").sortWithinPartitions("part").select("line").write.text(path)
 
 
-_PAIR = r"""(\w+): ('(?:[^'\\]|\\.)*'|\[[^\]]*\]|[^,\[\]']+)"""
+#: key: value. Possessive, so that the pattern reads long strings without recursion.
+_PAIR = r"""(?s)(\w+): ('(?:[^'\\]|\\.)*+'|\[(?:'(?:[^'\\]|\\.)*+'|[^'\]])*+\]|[^,\[\]']+)"""
 
 
 def import_dump(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """nodes (id, labels, properties map of literals' text) and relationships (type, src, dst, properties) of a dump; in
     bulk, so that a relationship joins its own two nodes only."""
-    lines = spark.read.text(path).select(F.col("value").alias("line"))
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("value").alias("line"))
 
     def pairs(text: Column) -> Column:
         keys = F.regexp_extract_all(text, F.lit(_PAIR), F.lit(1))
@@ -71,15 +78,19 @@ def import_dump(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         return F.map_filter(F.map_from_arrays(keys, values), lambda k, v: k != "_id")
 
     def _plain(v: Column) -> Column:
-        bare = F.substring(v, 2, F.length(v) - 2)
-        for a, b in (("\\n", "\n"), ("\\'", "'"), ("\\\\", "\\")):
-            bare = F.replace(bare, F.lit(a), F.lit(b))
-        return F.when(v.startswith("'"), bare).otherwise(v)
+        # Escaped escapes are cut at first, so that what is between them is read once.
+        def read(part: Column) -> Column:
+            for plain, written in ESCAPES[1:]:
+                part = F.replace(part, F.lit(written), F.lit(plain))
+            return part
+
+        bare = F.split(F.substring(v, 2, F.length(v) - 2), r"\\\\")
+        return F.when(v.startswith("'"), F.array_join(F.transform(bare, read), "\\")).otherwise(v)
 
     own = lines.where(F.col("line").startswith("CREATE"))
-    inside = F.regexp_extract("line", r"\{(.*)\}\);$", 1)
+    inside = F.regexp_extract("line", r"(?s)\{(.*)\}\);$", 1)
     nodes = own.select(F.regexp_extract("line", r"_id: (\d+)", 1).cast("long").alias("id"), F.split(F.regexp_extract("line", r"^CREATE \(n:([\w:]+)", 1), ":").alias("labels"), pairs(inside).alias("properties"))
     tied = lines.where(F.col("line").startswith("MATCH"))
-    ends = r"^MATCH \(a \{_id: (\d+)\}\), \(b \{_id: (\d+)\}\) CREATE \(a\)-\[:(\w+)(?: \{(.*)\})?\]->\(b\);$"
+    ends = r"(?s)^MATCH \(a \{_id: (\d+)\}\), \(b \{_id: (\d+)\}\) CREATE \(a\)-\[:(\w+)(?: \{(.*)\})?\]->\(b\);$"
     rels = tied.select(F.regexp_extract("line", ends, 3).alias("type"), F.regexp_extract("line", ends, 1).cast("long").alias("src"), F.regexp_extract("line", ends, 2).cast("long").alias("dst"), pairs(F.regexp_extract("line", ends, 4)).alias("properties"))
     return nodes, rels

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..plans.graph import Graph, Nodes, Rels
+from ..plans.graph import Graph, Later, Nodes, Rels
 
 # Label, table, key column; type, source label, key column of the source, target label.
 NODE_TABLES = (("Region", "region", "r_regionkey"), ("Nation", "nation", "n_nationkey"), ("Customer", "customer", "c_custkey"), ("Supplier", "supplier", "s_suppkey"), ("Part", "part", "p_partkey"), ("PurchaseOrder", "orders", "o_orderkey"))
@@ -19,29 +19,57 @@ KEY_RELS = (("IN_REGION", "Nation", "n_regionkey", "Region"), ("IN_NATION", "Cus
 
 def star_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """Nodes keep their table's columns besides id. PLACED and DID are keys of orders and events; HAS_PART and FROM_SUPPLIER are the
-    lines, with their measures; SUPPLIES the different pairs; DID and NEXT come from events."""
-    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    lines, with their measures; SUPPLIES the different pairs; DID and NEXT come from events. Tables are opened when a
+    query asks for them."""
+
+    def read(name: str) -> DataFrame:
+        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+    def keyed(name: str, key: str):
+        return lambda: read(name).withColumn("id", F.col(key).cast("long"))
+
     graph = Graph(spark)
     for code, (label, name, key) in enumerate(NODE_TABLES, 1):
-        graph = graph.add_nodes(label, read(name).withColumn("id", F.col(key).cast("long")), code)
+        graph = graph.add_nodes(label, keyed(name, key), code)
     for label, name, key, code in MORE_TABLES:
-        graph = graph.add_nodes(label, read(name).withColumn("id", F.col(key).cast("long")), code)
-    events = read("events")
-    graph = graph.add_nodes("User", events.where("user_id is not null").select(F.col("user_id").alias("id"), "user_id").distinct(), 7)
+        graph = graph.add_nodes(label, keyed(name, key), code)
+    graph = graph.add_nodes("User", lambda: read("events").where("user_id is not null").select(F.col("user_id").alias("id"), "user_id").distinct(), 7)
     for kind, src, key, dst in KEY_RELS:
         graph = graph.add_rels(Rels(kind, src, dst, key=key))
-    lines = read("lineitem")
     graph = graph.add_rels(Rels("PLACED", "Customer", "PurchaseOrder", back="o_custkey"))
-    measures = [c for c in lines.columns if c not in ("l_orderkey", "l_partkey", "l_suppkey")]
-    rows = lines.select("*", F.col("_metadata.row_index").alias("id"))
-    graph = graph.add_rels(Rels("HAS_PART", "PurchaseOrder", "Part", rows.select("id", F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"), *measures)))
-    graph = graph.add_rels(Rels("FROM_SUPPLIER", "PurchaseOrder", "Supplier", rows.select("id", F.col("l_orderkey").alias("src"), F.col("l_suppkey").alias("dst"), *measures)))
-    pairs = lines.select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
-    graph = graph.add_rels(Rels("SUPPLIES", "Supplier", "Part", pairs.select((F.col("src") * (1 << 40) + F.col("dst")).alias("id"), "src", "dst")))
+
+    def of_lines(kind: str, key: str, dst: str):
+        def make() -> list[Rels]:
+            rows = with_row_ids(read("lineitem"))
+            measures = [c for c in rows.columns if c not in ("id", "l_orderkey", "l_partkey", "l_suppkey")]
+            return [Rels(kind, "PurchaseOrder", dst, rows.select("id", F.col("l_orderkey").alias("src"), F.col(key).alias("dst"), *measures))]
+
+        return Later(make)
+
+    def supplies() -> list[Rels]:
+        pairs = read("lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
+        fits = F.col("src").between(0, (1 << 23) - 1) & F.col("dst").between(0, (1 << 40) - 1)
+        both = F.when(fits, F.col("src") * (1 << 40) + F.col("dst")).otherwise(F.raise_error(F.lit("a key is too large")).cast("long"))
+        return [Rels("SUPPLIES", "Supplier", "Part", pairs.select(both.alias("id"), "src", "dst"))]
+
+    def nexts() -> list[Rels]:
+        after = F.lead("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+        return [Rels("NEXT", "Event", "Event", read("events").select(F.col("event_id").alias("id"), F.col("event_id").alias("src"), after.alias("dst")).where("dst is not null"))]
+
+    made = {"HAS_PART": of_lines("HAS_PART", "l_partkey", "Part"), "FROM_SUPPLIER": of_lines("FROM_SUPPLIER", "l_suppkey", "Supplier"), "SUPPLIES": Later(supplies)}
+    graph = replace(graph, rels=graph.rels | made)
     graph = graph.add_rels(Rels("DID", "User", "Event", back="user_id"))
-    after = F.lead("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    nexts = events.select(F.col("event_id").alias("id"), F.col("event_id").alias("src"), after.alias("dst")).where("dst is not null")
-    return graph.add_rels(Rels("NEXT", "Event", "Event", nexts))
+    return replace(graph, rels=graph.rels | {"NEXT": Later(nexts)})
+
+
+def with_row_ids(df: DataFrame) -> DataFrame:
+    """Adds as id a row's place in its file, and above bit 40 the file's place among the table's files."""
+    rows = df.select("*", F.col("_metadata.row_index").alias("id"), F.col("_metadata.file_path").alias("_file"))
+    if len(df.inputFiles()) < 2:
+        return rows.drop("_file")
+    files = sorted(r[0] for r in rows.select("_file").distinct().collect())
+    numbers = df.sparkSession.createDataFrame([(f, k) for k, f in enumerate(files)], "_file string, _no long")  # a row for each file
+    return rows.join(numbers, "_file").withColumn("id", F.col("_no") * (1 << 40) + F.col("id")).drop("_file", "_no")
 
 
 def save(graph: Graph, path: str) -> None:
