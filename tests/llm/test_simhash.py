@@ -93,3 +93,13 @@ def test_empty_and_null_ids(spark):
     assert simhash_groups(spark.createDataFrame([], SCHEMA)).count() == 0
     got = simhash_groups(spark.createDataFrame([(None, "a b c d", ""), (3, "a b c d", "")], SCHEMA)).collect()
     assert sorted((r.doc_id is None, r.component_id) for r in got) == [(False, 3), (True, 3)]
+
+
+def test_scratch_is_cleared(spark):
+    from vertexloom.llm.common import clear_scratch, discard, staged
+
+    clear_scratch(spark)
+    one, two = staged(spark.range(3), "one"), staged(spark.range(4), "two")
+    assert two.count() == 4
+    discard(one)
+    assert clear_scratch(spark) == 1 and clear_scratch(spark) == 0

@@ -30,22 +30,42 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Folders that staged() has written, by application.
+_written: dict[str, list[str]] = {}
+
+
 def staged(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage, and a lost executor costs a reread only."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.option("compression", codec).parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes staged tables that no later plan reads."""
     for table in tables:
-        jvm = table.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(table._scratch_path)
-        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        own = _written.get(table.sparkSession.sparkContext.applicationId, [])
+        if table._scratch_path in own:
+            own.remove(table._scratch_path)
+        _delete(table.sparkSession, table._scratch_path)
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Deletes what is left of this application's staged tables, those of results included: to be called once results have
+    been read. How many went."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
