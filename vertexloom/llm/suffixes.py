@@ -9,7 +9,7 @@ occur more than once.
 
 Suffixes of an anchor that very many texts have would all meet in one range. They are dealt by more of what their windows
 hold: for a span of the windows' offsets, the bytes that all of them cover. Where that still brings too many different
-suffixes together, the span is halved. Suffixes with the same surroundings count as one that is there twice.
+suffixes together, the span is cut into four. Suffixes with the same surroundings count as one that is there twice.
 """
 
 from __future__ import annotations
@@ -332,7 +332,10 @@ def deal_hot(suffixes: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
         own = staged(own.withColumn("content", F.unhex(F.md5(F.concat("left", "right")))), "hot")
         same = ["key", "lo", "hi", "content"]
         kinds = staged(own.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "at")).alias("one"), *(F.first(c).alias(c) for c in ("a", "b", "left", "right"))), "hot-kinds")
-        again = own.join(kinds.where("n > 1").select(*same), same)
+        # What very many have is a table of its own, at most a row for each HOT suffixes: small enough to broadcast, by
+        # Spark's bound, or joined as a skewed key is. The rest has no hot keys.
+        common_ = staged(kinds.where(F.col("n") > HOT).select(*same), "hot-common")
+        again = own.join(common_, same).unionByName(own.join(common_, same, "left_anti").join(kinds.where((F.col("n") > 1) & (F.col("n") <= HOT)).select(*same), same))
         spans.append(again.select("k1", "k2", (F.col("at") - F.col("hi")).alias("lo"), (F.col("at") - F.col("lo") + length).alias("hi")))
         many = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
         judged = kinds.join(many, "key").select("key", "a", "b", "one.*", "lo", "hi", "left", "right", "kinds")
@@ -340,9 +343,9 @@ def deal_hot(suffixes: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
         hot = judged.where(F.col("kinds") > HOT)
         if hot.isEmpty():
             break
-        half = F.floor((F.col("a") + F.col("b")) / 2)
-        halves = F.explode(F.array(F.struct(F.col("a").alias("x"), half.alias("y")), F.struct((half + 1).alias("x"), F.col("b").alias("y")))).alias("part")
-        parts = hot.select("*", halves).where("lo <= part.y and hi >= part.x")
+        width = F.ceil((F.col("b") - F.col("a") + 1) / 4)
+        first = F.explode(F.sequence("a", "b", width)).alias("x")
+        parts = hot.select("*", first, width.alias("width")).withColumn("part", F.struct("x", F.least(F.col("b"), F.col("x") + F.col("width") - 1).alias("y"))).where("lo <= part.y and hi >= part.x")
         inside = F.xxhash64(F.substring("left", F.lit(1), F.col("part.x").cast("int")), F.substring("right", F.lit(1), (F.lit(length) - F.col("part.y")).cast("int")), "part.x")
         now = parts.select(inside.alias("key"), F.col("part.x").alias("a"), F.col("part.y").alias("b"), *columns[3:])
     return reduce(DataFrame.unionByName, spans), reduce(DataFrame.unionByName, rest)
