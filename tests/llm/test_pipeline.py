@@ -72,3 +72,32 @@ def test_stages_keep_columns_and_stand_empty_tables(spark, tmp_path):
                 assert dict(out.dtypes) == dict(docs.dtypes)
             assert out.count() == len(rows), name
     assert docs.where(F.col("doc_id").isNull()).count() == 2
+
+
+def test_near_dedup_keeps_every_text_of_an_id(spark):
+    kind = "doc_id long, text string, lang string, source string, n_chars long, _scratch map<string,int>"
+    rows = [(1, "one two three four five six", "en", "s", 1, {"a": 1}), (1, "other words than those before", "en", "s", 1, None), (1, "one two three four five six", "en", "s", 1, {"a": 2}), (2, "one two three four five six", "de", "s", 1, None)]
+    rows += [(None, "other words than those before", None, None, None, None), (None, "alone", None, None, None, None), (None, "alone", None, None, None, None), (3, None, None, None, None, None), (4, "", None, None, None, None)]
+    docs = spark.createDataFrame(rows, kind)
+    out = pipeline.near_dedup(spark, docs, "")
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert got == sorted([(1, "one two three four five six"), (1, "other words than those before"), (None, "alone"), (3, None)], key=str)
+
+
+def test_very_long_texts_go_through_all_stages(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    vocab = [f"w{k}" for k in range(3000)]
+    prose = lambda n: " ".join(rng.choice(vocab, n))
+    item, passage = prose(40), prose(80)
+    long = prose(120_000)
+    docs = [(1, long), (2, long + " " + prose(500)), (3, prose(90_000) + " " + item + " " + prose(10)), (4, prose(50_000) + " " + passage), (5, passage + " " + prose(30))]
+    docs += [(10 + k, prose(50) + (" idiot moron" if k % 3 == 0 else "")) for k in range(60)]
+    frame = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(d, 1, int(d >= 10 and d % 3 == 1)) for d, _ in docs], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.doc_id: r.n_tokens for r in pipeline.run(spark, str(tmp_path)).collect()}
+    assert set(got) == {1, 4, 5, *(10 + k for k in range(60) if k % 3)}
+    whole = {r.doc_id: r.n_tokens for r in pipeline.encode(spark, frame, "").collect()}
+    assert got[1] == whole[1] and got[4] < whole[4] and got[5] < whole[5]
