@@ -212,7 +212,9 @@ class Graph:
         return reduce(DataFrame.unionByName, parts).distinct() if parts else self.spark.createDataFrame([], "label string")
 
     def relationship_types(self) -> list[str]:
-        return sorted(t for t, tables in self.rels.items() if any(self.rel_frame(r).limit(1).count() for r in tables))
+        """The types that have relationships, in order; of each table a single row is read."""
+        parts = [self.rel_frame(r).limit(1).select(F.lit(t).alias("type")) for t, tables in self.rels.items() for r in tables]
+        return sorted({r.type for r in reduce(DataFrame.unionByName, parts).collect()}) if parts else []
 
     def node_count(self) -> int:
         return self.all_nodes().count()
