@@ -35,6 +35,8 @@ PIECE = 1 << 20
 RUN_SIZE, RANGE_SIZE = 1 << 16, 1 << 15
 #: Suffixes of one anchor beyond which they are dealt by more than the anchor, and that any finer group may have.
 HOT = 1 << 10
+#: Rows, of some 60 bytes, of surroundings that over HOT suffixes have, up to which they are broadcast.
+BROADCAST_ROWS = 1 << 17
 #: Of a run's suffix: text key, anchor, largest and smallest offset of a window, bytes kept right and left.
 ENTRY = np.dtype([("k1", "<i8"), ("k2", "<i8"), ("at", "<i8"), ("far", "<u2"), ("near", "<u2"), ("right", "<u2"), ("left", "<u2"), ("lcp", "<u2"), ("lcs", "<u2")])
 
@@ -324,18 +326,19 @@ def deal_hot(suffixes: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     at, lo, hi, left, right): of different surroundings one suffix, in groups of at most HOT that share what all windows
     of a span of offsets cover. Windows that are equal share it, and so stay together."""
     columns = ["key", "a", "b", "k1", "k2", "at", "lo", "hi", "left", "right"]
-    now = suffixes.select(F.col("h").alias("key"), F.lit(0).cast("long").alias("a"), F.lit(length - GRAM).cast("long").alias("b"), *columns[3:])
+    now = staged(suffixes.select(F.col("h").alias("key"), F.lit(0).cast("long").alias("a"), F.lit(length - GRAM).cast("long").alias("b"), *columns[3:]), "hot")
     spans, rest = [], []
     while True:
         own = now.withColumns({"lo": F.greatest("lo", "a"), "hi": F.least("hi", "b")}).where("lo <= hi")
         own = own.withColumns({"left": F.substring("left", F.lit(1), F.col("hi").cast("int")), "right": F.substring("right", F.lit(1), (F.lit(length) - F.col("lo")).cast("int"))})
-        own = staged(own.withColumn("content", F.unhex(F.md5(F.concat("left", "right")))), "hot")
+        own = own.withColumn("content", F.unhex(F.md5(F.concat("left", "right"))))
         same = ["key", "lo", "hi", "content"]
         kinds = staged(own.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "at")).alias("one"), *(F.first(c).alias(c) for c in ("a", "b", "left", "right"))), "hot-kinds")
-        # What very many have is a table of its own, at most a row for each HOT suffixes: small enough to broadcast, by
-        # Spark's bound, or joined as a skewed key is. The rest has no hot keys.
-        common_ = staged(kinds.where(F.col("n") > HOT).select(*same), "hot-common")
-        again = own.join(common_, same).unionByName(own.join(common_, same, "left_anti").join(kinds.where((F.col("n") > 1) & (F.col("n") <= HOT)).select(*same), same))
+        # What very many have, at most a row for each HOT suffixes, is broadcast if it is small, so that it is no hot key;
+        # beyond that, it is joined as skewed keys are. The rest has no hot keys.
+        usual = kinds.where(F.col("n") > HOT).select(*same)
+        usual = F.broadcast(usual) if usual.count() <= BROADCAST_ROWS else usual
+        again = own.join(usual, same).unionByName(own.join(usual, same, "left_anti").join(kinds.where((F.col("n") > 1) & (F.col("n") <= HOT)).select(*same), same))
         spans.append(again.select("k1", "k2", (F.col("at") - F.col("hi")).alias("lo"), (F.col("at") - F.col("lo") + length).alias("hi")))
         many = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
         judged = kinds.join(many, "key").select("key", "a", "b", "one.*", "lo", "hi", "left", "right", "kinds")
