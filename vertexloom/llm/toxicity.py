@@ -35,7 +35,7 @@ P, SPAN, DECAY = 4, 6, 0.6
 BOUND = 0.7
 #: Training texts at most of each label (those of the smallest hashes), landmarks at most, rounds, the worst words and
 #: other words of a text that are examples, and the share below which shares of toxic words count alike.
-TEXTS, LANDMARKS, ROUNDS, WORST, OTHERS, LEAST_SHARE = 2000, 400, 2, 8, 3, 0.002
+TEXTS, LANDMARKS, ROUNDS, WORST, OTHERS, LEAST_SHARE = 2000, 400, 3, 8, 3, 0.002
 #: Bits of the table of subsequence weights, and of the sums that the discriminant is made of.
 SLOTS, SUM_SLOTS = 22, 18
 _OFFSETS = [(0, *c) for c in combinations(range(1, SPAN), P - 1)]
@@ -194,12 +194,15 @@ def variants(word: str) -> list[str]:
     return [word[:k] + chr(97 + zlib.crc32(f"{word}{k}".encode()) % 26) + word[k:] for k in range(1, len(word))]
 
 
-def fit_words(weights: dict[int, dict[str, float]], landmarks: int = LANDMARKS) -> Model:
-    """The SVM over weighted examples {label: {word: weight}}; landmarks are the words that speak most for each label."""
+def fit_words(weights: dict[int, dict[str, float]], before: Model | None = None, landmarks: int = LANDMARKS) -> Model:
+    """The SVM over weighted examples {label: {word: weight}}. Landmarks are the words that speak most for each label, and
+    the words of clean texts that the classifier before takes for the worst."""
     pos, neg = weights[1], weights[0]
     every = sorted({*pos, *neg})
     gain = {w: pos.get(w, 0.0) - neg.get(w, 0.0) for w in every}
-    marks = list(dict.fromkeys([*sorted(every, key=lambda w: (-gain[w], w))[: landmarks * 2 // 3], *sorted(neg, key=lambda w: (-neg[w], w))[: landmarks // 3]]))
+    margin = {} if before is None else dict(zip(clean := sorted(neg), before.margins(clean).tolist(), strict=True))
+    wrong = sorted((w for w in margin if gain[w] < 0), key=lambda w: (-margin[w], w))[: landmarks // 4]
+    marks = list(dict.fromkeys([*sorted(every, key=lambda w: (-gain[w], w))[: landmarks // 2], *wrong, *sorted(neg, key=lambda w: (-neg[w], w))[: landmarks // 4]]))
     used = np.unique(slots(subsequences(marks)[1]))
     place = np.full(1 << SLOTS, -1, np.int32)
     place[used] = np.arange(len(used))
@@ -294,7 +297,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
         weights = {y: {r.word: r.weight / n[y] for r in words if r.label == y} for y in (0, 1)}
         if not (weights[0] and weights[1]):
             break
-        model = fit_words(weights)
+        model = fit_words(weights, model)
     shared = spark.sparkContext.broadcast(model)
 
     def share(bags, ys, state):
