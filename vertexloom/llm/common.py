@@ -73,10 +73,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts a batch into runs of rows of about `limit` text bytes; a longer text is a run of its own."""
+    """Cuts a batch into runs of rows of about `limit` text bytes; a longer text is a run of its own. column: texts, or
+    their sizes."""
     import pyarrow.compute as pc
 
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    sizes = batch.column(column)
+    if not pa.types.is_integer(sizes.type):
+        sizes = pc.binary_length(sizes)
+    sizes = pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False)
     start, held = 0, 0
     for row, size in enumerate(sizes):
         if held and held + size > limit:

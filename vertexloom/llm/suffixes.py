@@ -153,7 +153,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """(k1, k2, z): the different texts, compressed, for the one shuffle that they take part in."""
+    """(k1, k2, z, size): the different texts, compressed, for the one shuffle that they take part in, and their bytes."""
 
     def run(batches):
         seen: set[bytes] = set()
@@ -167,9 +167,9 @@ def packed(docs: DataFrame) -> DataFrame:
                 if len(seen) > 1 << 18:
                     seen.clear()
                 if new:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[new, 0]), pa.array(keys[new, 1]), pa.array([press.compress(texts[i]) for i in new], pa.binary())], ["k1", "k2", "z"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[new, 0]), pa.array(keys[new, 1]), pa.array([press.compress(texts[i]) for i in new], pa.binary()), pa.array([len(texts[i]) for i in new], pa.int64())], ["k1", "k2", "z", "size"])
 
-    return docs.select("text").mapInArrow(run, "k1 long, k2 long, z binary")
+    return docs.select("text").mapInArrow(run, "k1 long, k2 long, z binary, size long")
 
 
 def common(x: bytes, y: bytes, known: int) -> int:
@@ -281,7 +281,7 @@ def suffix_runs(candidates: DataFrame, length: int, ranges: int) -> DataFrame:
         unpack = zstandard.ZstdDecompressor()
 
         for batch in batches:
-            for part in text_slices(batch, "z", 1 << 19):
+            for part in text_slices(batch, "size"):
                 texts = [unpack.decompress(z) if z else b"" for z in part.column("z").to_pylist()]
                 keys = np.stack([part.column(c).to_numpy() for c in ("k1", "k2")], 1).tolist()
                 places = part.column("places").to_pylist()
@@ -308,7 +308,7 @@ def hot_suffixes(candidates: DataFrame, length: int) -> DataFrame:
     def run(batches):
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            for part in text_slices(batch, "z", 1 << 19):
+            for part in text_slices(batch, "size"):
                 texts = [unpack.decompress(z) if z else b"" for z in part.column("z").to_pylist()]
                 keys = np.stack([part.column(c).to_numpy() for c in ("k1", "k2")], 1).tolist()
                 wanted = [set(p) for p in part.column("hot_places").to_pylist()]
@@ -450,7 +450,7 @@ def covered(spans: list[tuple[int, int]]) -> list[list[int]]:
 
 
 def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """(k1, k2, z, spans): of each different text with repeated windows that isn't itself repeated whole, its compressed
+    """(k1, k2, z, size, spans): of each different text with repeated windows that isn't itself repeated whole, its compressed
     bytes and the packed (lo, hi) pairs that windows of `length` bytes which also start elsewhere cover."""
     spark = docs.sparkSession
     docs = docs.select(F.col(text_col).alias("text"))
@@ -476,7 +476,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH
         again = max(shuffle_partitions(spark), -(-hot // RANGE_SIZE))
         found = found.unionByName(merged(dealt_runs(rest, again))).unionByName(spans)
     found = found.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    return candidates.select("k1", "k2", "z").join(found, ["k1", "k2"])
+    return candidates.select("k1", "k2", "z", "size").join(found, ["k1", "k2"])
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep_text: bool = False) -> DataFrame:
@@ -490,7 +490,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def cut(batches):
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            for part in text_slices(batch, "z", 1 << 19):
+            for part in text_slices(batch, "size"):
                 removed, spans, digests, kept_texts = [], [], [], []
                 for z, pairs in zip(part.column("z").to_pylist(), part.column("spans").to_pylist(), strict=True):
                     text, runs = unpack.decompress(z), covered([(p["lo"], p["hi"]) for p in pairs])
