@@ -103,3 +103,14 @@ def test_scratch_is_cleared(spark):
     assert two.count() == 4
     discard(one)
     assert clear_scratch(spark) == 1 and clear_scratch(spark) == 0
+
+
+def test_batches_are_bounded(spark):
+    from vertexloom.llm.common import BATCH_BYTES, bounded_batches
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for given, want in (("64m", str(BATCH_BYTES)), ("1m", "1m"), ("-1", str(BATCH_BYTES))):
+        spark.conf.set(name, given)
+        bounded_batches(spark)
+        assert spark.conf.get(name) == want
+    spark.conf.unset(name)

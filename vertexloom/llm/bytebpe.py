@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import staged, text_slices
+from .common import bounded_batches, staged, text_slices
 
 #: Characters of a chunk and of the overlap; characters before a window's end where lookahead may still change a boundary.
 CHUNK, OVERLAP, MARGIN = 1 << 15, 512, 4
@@ -77,6 +77,7 @@ def encode_texts(docs: DataFrame, id_col: str, text_col: str, path: str, pattern
     Null texts are empty: no tokens, digests of the empty string. Repeated rows and ids, null ids included, stay as they
     come; extra columns are ignored; an empty table gives an empty result. Texts of any length are exact: only those
     over one chunk are shuffled, chunk by chunk."""
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     out_type = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>"

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes that a task holds as Python objects at once.
 SLICE_BYTES = 1 << 20
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 8 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -72,6 +74,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_BYTES, unless the session has a lower bound: long texts take less memory beside the
+    heap and in the tasks' Python."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch into runs of rows of about `limit` text bytes; a longer text is a run of its own. column: texts, or
     their sizes."""

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import text_slices
+from .common import bounded_batches, text_slices
 
 #: Walks, tables of each, and places that a table samples; with these, the tables' recall of passages at the very budget
 #: of a fifth is above 0.98. Words of an item's part at most (half the bits of a step), and the share of a walk's steps
@@ -226,6 +226,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     Null, empty and wordless texts and items match nothing. Repeated rows and items each get their rows; null ids stay;
     extra columns are ignored; empty tables give an empty result. Whole texts are read, in overlapping blocks of words
     if long. Items are collected item_bytes of text at a time, a pass over the documents for each."""
+    bounded_batches(docs.sparkSession)
     id_type, item_type = docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
     wanted = items.select(F.col(item_col).alias("item"), F.col(item_text).alias("text"))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import text_slices
+from .common import bounded_batches, text_slices
 
 #: Characters of an n-gram, tables, bits of a table's slots.
 GRAM, TABLES, SLOTS = 4, 2, 18
@@ -96,6 +96,7 @@ class Filter:
 def learn(docs: DataFrame, picked: Column, text_col: str = "text", lang_col: str = "lang") -> Filter:
     """A filter from the rows that `picked` picks with text and language: counts are made in Spark; the driver gets at
     most GRAMS rows of a language."""
+    bounded_batches(docs.sparkSession)
     rows = docs.where(picked & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     # Texts are chosen by their hashes, so that neither a common language nor copies of a text bring texts to one task.
     rows = rows.withColumn("hash", F.xxhash64("text"))
@@ -128,6 +129,7 @@ def identify(docs: DataFrame, model: Filter, text_col: str = "text") -> DataFram
     with score 0. Columns of those names are replaced; repeated rows stay; an empty table gives an empty result."""
     from pyspark.sql import types as T
 
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^SLOTS words for each table and 64 languages
     plain = docs.drop("lang_pred", "score")
     schema = T.StructType([*plain.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, discard, staged, text_slices
+from .common import bounded_batches, connected_components, discard, staged, text_slices
 from .simhash import SEED, Groups, fingerprint_links, majority
 
 #: Words of a shingle, and the differing bits of two fingerprints that the trie proposes.
@@ -176,6 +176,7 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Texts with the same set of shingles are one. Null and wordless texts are alike. Repeated rows and ids stay; null ids
     are never a component_id unless a group has no other; extra columns are ignored; an empty table gives an empty
     result."""
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, scratch_path, shuffle_partitions, staged, text_slices
+from .common import bounded_batches, discard, scratch_path, shuffle_partitions, staged, text_slices
 
 SCALE, LOW = 18, np.uint64(1 << 31)
 LANES, BLOCK, EVERY = 4096, 1 << 20, 64
@@ -362,6 +362,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int, id_col: s
 
     Null and empty texts have the end id alone. Null ids come first; rows with one id come in the order of their ids'
     bytes. A document of more ids than a block has spans several; others lie in one. Extra columns are ignored; an empty table gives an empty corpus."""
+    bounded_batches(docs.sparkSession)
     tokens = staged(token_rows(docs, id_col, text_col, path, end_id), "tokens")
     kind = encoder(path).kind
     table = Table.of(token_counts(tokens))

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, discard, staged, text_slices
+from .common import bounded_batches, connected_components, discard, staged, text_slices
 
 SEED = 42
 #: Bits of the trie that the cut may use, its least depth, and the fingerprints that a node holds before it is split.
@@ -234,6 +234,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null or wordless texts have fingerprint zero and link like any other; fewer than `width` words are one shingle.
     Repeated rows, and ids that repeat, stay as they come. Null ids stay, but are never a component_id unless a group
     has no other. Extra columns are ignored; an empty table gives an empty result."""
+    bounded_batches(docs.sparkSession)
     prints = staged(fingerprints(docs, id_col, text_col, width), "fingerprints")
     classes = staged(prints.groupBy("fp").agg(F.min("id").alias("rep")), "classes")
     found = staged(fingerprint_links(classes, budget), "links")

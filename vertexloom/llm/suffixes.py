@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, shuffle_partitions, staged, text_slices
+from .common import bounded_batches, discard, shuffle_partitions, staged, text_slices
 
 LENGTH = 200
 #: Bytes that an anchor's hash covers (a power of two).
@@ -453,6 +453,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     """(k1, k2, z, size, spans): of each different text with repeated windows that isn't itself repeated whole, its compressed
     bytes and the packed (lo, hi) pairs that windows of `length` bytes which also start elsewhere cover."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.select(F.col(text_col).alias("text"))
     rows = staged(anchor_rows(docs, length), "anchors")
     # Written out, so that the join shuffles both sides and Spark can split a hash that very many texts share.

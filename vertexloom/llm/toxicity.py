@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, staged, text_slices
+from .common import bounded_batches, discard, staged, text_slices
 
 P, SPAN, DECAY = 4, 6, 0.6
 #: The score from which a text counts as toxic.
@@ -245,6 +245,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
     that `learn` picks; whole texts. Of rows with one id the least text counts, of several labels the larger. With one
     label only, or none, all texts score alike."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     known = labels.where(F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).alias("label"))
     ids = docs.where(learn & F.col(text_col).isNotNull()).select(id_col).distinct().join(known, id_col)
     chosen = [tuple(r) for y in (0, 1) for r in ids.where(F.col("label") == y).orderBy(F.xxhash64(id_col), id_col).limit(texts).collect()]
@@ -313,6 +314,7 @@ def score_texts(docs: DataFrame, model: Model, text_col: str = "text", threshold
     """All columns of docs with score (0 to 1) and predicted (1 from the threshold on). Null, empty and wordless texts
     score as no toxic word at all does. A column score or predicted of docs is replaced. Repeated rows stay; an empty
     table gives an empty result."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     plain = docs.drop("score", "predicted")
     schema = T.StructType([*plain.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])

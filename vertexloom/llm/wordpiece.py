@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import bounded_batches, text_slices
 
 _WORDS = re.compile(r"\w+|[^\w\s]")
 REMEMBERED = 200_000
@@ -97,6 +97,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     Null and empty texts have none. Repeated rows and null ids stay; extra columns are ignored; an empty table gives an
     empty result."""
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
