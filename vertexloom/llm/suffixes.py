@@ -34,7 +34,7 @@ PIECE = 1 << 20
 #: Suffixes in a task's runs, and in one range of hashes on average.
 RUN_SIZE, RANGE_SIZE = 1 << 16, 1 << 15
 #: Suffixes of one anchor beyond which they are dealt by more than the anchor, and that any finer group may have.
-HOT = 1 << 10
+HOT = 1 << 12
 #: Rows, of some 60 bytes, of surroundings that over HOT suffixes have, up to which they are broadcast.
 BROADCAST_ROWS = 1 << 17
 #: Of a run's suffix: text key, anchor, largest and smallest offset of a window, bytes kept right and left.
