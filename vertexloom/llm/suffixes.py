@@ -33,8 +33,9 @@ GRAM = 32
 PIECE = 1 << 20
 #: Suffixes in a task's runs, and in one range of hashes on average.
 RUN_SIZE, RANGE_SIZE = 1 << 16, 1 << 15
-#: Suffixes of one anchor beyond which they are dealt by more than the anchor, and that any finer group may have.
-HOT = 1 << 12
+#: Suffixes of one anchor beyond which they are dealt by more than the anchor, and that any finer group may have: as many
+#: as a usual range.
+HOT = RANGE_SIZE
 #: Rows, of some 60 bytes, of surroundings that over HOT suffixes have, up to which they are broadcast.
 BROADCAST_ROWS = 1 << 17
 #: Of a run's suffix: text key, anchor, largest and smallest offset of a window, bytes kept right and left.
@@ -338,7 +339,8 @@ def deal_hot(suffixes: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
         # beyond that, it is joined as skewed keys are. The rest has no hot keys.
         usual = kinds.where(F.col("n") > HOT).select(*same)
         usual = F.broadcast(usual) if usual.count() <= BROADCAST_ROWS else usual
-        again = own.join(usual, same).unionByName(own.join(usual, same, "left_anti").join(kinds.where((F.col("n") > 1) & (F.col("n") <= HOT)).select(*same), same))
+        some = kinds.where((F.col("n") > 1) & (F.col("n") <= HOT)).select(*same)
+        again = own.join(usual, same, "left_semi").unionByName(own.join(usual, same, "left_anti").join(some, same, "left_semi"))
         spans.append(again.select("k1", "k2", (F.col("at") - F.col("hi")).alias("lo"), (F.col("at") - F.col("lo") + length).alias("hi")))
         many = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
         judged = kinds.join(many, "key").select("key", "a", "b", "one.*", "lo", "hi", "left", "right", "kinds")
